@@ -38,6 +38,14 @@ class DictionaryStep:
         return normalize_words(df, cols, key_cols, self.dictionary)
 
 
+def _tagger(k):
+    return lambda w, i: F.struct(F.lit(k).alias("k"), i.alias("i"), w.alias("w"))
+
+
+def _is_tag(k):
+    return lambda x: x["k"] == k
+
+
 def plural_lemma_dictionary(words: DataFrame, word_col: str = "word") -> DataFrame:
     """Noun lemma table built from the vocabulary itself.
 
@@ -71,7 +79,7 @@ def normalize_words(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str],
     """
     others = [c for c in df.columns if c not in cols and c not in key_cols]
     items = F.concat(*[
-        F.transform(whitespace_tokens(c), lambda w, i, k=k: F.struct(F.lit(k).alias("k"), i.alias("i"), w.alias("w")))
+        F.transform(whitespace_tokens(c), _tagger(k))
         for k, c in enumerate(cols)])
     toks = df.select(*key_cols, *others, F.explode_outer(items).alias("t")) \
         .select(*key_cols, *others, "t.k", "t.i", F.col("t.w").alias("word"))
@@ -85,7 +93,7 @@ def normalize_words(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str],
     groups = j.groupBy(*key_cols).agg(
         *[F.first(c).alias(c) for c in others],
         F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("k", "i", "w")))).alias("_t"))
-    rebuilt = [F.array_join(F.transform(F.filter("_t", lambda x, k=k: x["k"] == k), lambda x: x["w"]), " ").alias(c)
+    rebuilt = [F.array_join(F.transform(F.filter("_t", _is_tag(k)), lambda x: x["w"]), " ").alias(c)
                for k, c in enumerate(cols)]
     return groups.select(*key_cols, *others, *rebuilt).select(*df.columns)
 

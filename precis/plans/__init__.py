@@ -4,6 +4,7 @@ import importlib
 
 _MODULES = (
     "metric_queries",
+    "text_queries",
 )
 
 

@@ -72,7 +72,7 @@ def remove_words(x: str, words: list[str] | None = None) -> str:
 
 
 def expand_contractions(x: str) -> str:
-    pat = q(contraction_pattern())
+    pat = q(contraction_pattern(guard=False))
     m = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in CONTRACTIONS.items()) + "}"
     return (f"(SELECT parts[1] || array_to_string(list_transform(range(1, len(found) + 1), "
             f"lambda k: {m}[found[k]] || parts[k + 1]), '') "
