@@ -5,6 +5,7 @@ import importlib
 _MODULES = (
     "metric_queries",
     "text_queries",
+    "sequence_queries",
 )
 
 
