@@ -6,6 +6,7 @@ _MODULES = (
     "metric_queries",
     "text_queries",
     "sequence_queries",
+    "rank_queries",
 )
 
 

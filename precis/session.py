@@ -55,3 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def cut_lineage(df: DataFrame, tag: str = "state") -> DataFrame:
+    """Materialise ``df`` as a Parquet table under ``spark.checkpoint.dir``
+    and read it back: the plan is cut, the data is computed once (unlike
+    ``DataFrame.checkpoint``, which runs the plan a second time to write it),
+    and the files live on the shared storage the cluster names, so losing
+    an executor loses nothing."""
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/precis-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

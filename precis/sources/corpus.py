@@ -50,7 +50,7 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
         split_of("doc_id").alias("split"),
         F.col("doc_id"),
         F.col("text").alias("document"),
-        F.coalesce(F.element_at(split_sentences("text"), 1), F.lit("")).alias("summary"),
+        F.coalesce(F.try_element_at(split_sentences("text"), F.lit(1)), F.lit("")).alias("summary"),
     )
 
 
