@@ -33,6 +33,9 @@ from ..functions.text import rank_words, split_sentences, whitespace_tokens
 from ..session import cut_lineage
 
 K = ["doc_id", "i"]
+# A row of the cosine graph whose weights sum to (numerically) zero is
+# dangling: exactly zero for a zero vector or a one-sentence document.
+DANGLING_EPS = 1e-12
 
 
 # ------------------------------------------------------------------ inputs
@@ -334,8 +337,8 @@ def embedding_textrank_scores(vecs: DataFrame, alpha: float = PAGERANK_ALPHA, to
 
     def round_(st):
         x = st["x"]
-        y = F.zip_with(x, F.col("S"), lambda xi, si: F.when(si != 0, xi / si).otherwise(F.lit(0.0)))
-        dang = F.aggregate(F.zip_with(x, F.col("S"), lambda xi, si: F.when(si == 0, xi).otherwise(F.lit(0.0))),
+        y = F.zip_with(x, F.col("S"), lambda xi, si: F.when(F.abs(si) > DANGLING_EPS, xi / si).otherwise(F.lit(0.0)))
+        dang = F.aggregate(F.zip_with(x, F.col("S"), lambda xi, si: F.when(F.abs(si) <= DANGLING_EPS, xi).otherwise(F.lit(0.0))),
                            F.lit(0.0), lambda a, b: a + b)
         yv = F.aggregate(F.zip_with(y, F.col("U"), lambda yi, ui: F.transform(ui, lambda v: v * yi)), zero2,
                          lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
