@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, rouge_tokens, whitespace_tokens
 
-_ZERO = F.lit(0).cast("long")
+def _zero():
+    return F.lit(0).cast("long")
 
 
 def _c(c) -> Column:
@@ -34,16 +35,16 @@ def clipped_overlap(pred_grams, ref_grams) -> Column:
         F.transform(_c(pred_grams), lambda g: F.struct(g.alias("g"), F.lit(0).alias("s"))),
         F.transform(_c(ref_grams), lambda g: F.struct(g.alias("g"), F.lit(1).alias("s"))),
     ))
-    init = F.struct(F.lit(None).cast("string").alias("g"), _ZERO.alias("cp"),
-                    _ZERO.alias("cr"), _ZERO.alias("m"))
+    init = F.struct(F.lit(None).cast("string").alias("g"), _zero().alias("cp"),
+                    _zero().alias("cr"), _zero().alias("m"))
 
     def step(acc, x):
         same = acc["g"].eqNullSafe(x["g"])
         is_p = F.when(x["s"] == 0, 1).otherwise(0).cast("long")
         return F.struct(
             x["g"].alias("g"),
-            (F.when(same, acc["cp"]).otherwise(_ZERO) + is_p).alias("cp"),
-            (F.when(same, acc["cr"]).otherwise(_ZERO) + (1 - is_p)).alias("cr"),
+            (F.when(same, acc["cp"]).otherwise(_zero()) + is_p).alias("cp"),
+            (F.when(same, acc["cr"]).otherwise(_zero()) + (1 - is_p)).alias("cr"),
             F.when(same, acc["m"]).otherwise(acc["m"] + F.least(acc["cp"], acc["cr"])).alias("m"),
         )
 
@@ -136,7 +137,7 @@ def rouge_scores(pred_tokens, ref_tokens, types: Sequence[str] = ("rouge1", "rou
         if t == "rougeL":
             lcs = lcs_length(p, r)
             empty = (F.size(p) == 0) | (F.size(r) == 0)
-            lcs = F.when(empty, _ZERO).otherwise(lcs)
+            lcs = F.when(empty, _zero()).otherwise(lcs)
             cols += _prf(lcs, F.size(p), F.size(r), t)
         else:
             n = int(t.replace("rouge", ""))

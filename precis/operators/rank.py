@@ -13,8 +13,8 @@ Design notes (scale):
   iteration never materialises sentence pairs: each round is two
   aggregates over word rows.
 * Embedding TextRank's cosine weights are dot products of unit vectors, so
-  a round needs the document's weighted vector sum only; the iteration
-  runs inside the document's row (its state is O(sentences x dims)).
+  a round needs the document's weighted vector sum only: two O(sentences x
+  dims) products in a per-document numpy kernel (``applyInPandas``).
 * LexRank thresholds each pair similarity, which needs the exact pair
   value; pairs are generated only from words with non-zero idf.
 * Iterations stop per document (each document converges on its own) and
@@ -307,6 +307,34 @@ def _dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def _pagerank_cosine_kernel(alpha: float, tol: float, max_iter: int):
+    """Per-document numpy kernel for :func:`embedding_textrank_scores`."""
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        v = np.vstack(pdf["vec"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
+        n = len(pdf)
+        nrm = np.sqrt((v * v).sum(axis=1))
+        u = np.divide(v, nrm[:, None], out=np.zeros_like(v), where=nrm[:, None] > 0)
+        uu = (u * u).sum(axis=1)
+        s = u @ u.sum(axis=0) - uu                      # row sums of the cosine graph
+        dangling = np.abs(s) <= DANGLING_EPS
+        inv = np.where(dangling, 0.0, 1.0 / np.where(dangling, 1.0, s))
+        x = np.full(n, 1.0 / n)
+        for _ in range(max_iter):
+            y = x * inv
+            nx = alpha * (u @ (u.T @ y) - y * uu + x[dangling].sum() / n) + (1 - alpha) / n
+            err = np.abs(nx - x).sum()
+            x = nx
+            if err < n * tol:
+                break
+        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "i": pdf["i"].to_numpy(), "score": x})
+
+    return run
+
+
 def embedding_textrank_scores(vecs: DataFrame, alpha: float = PAGERANK_ALPHA, tol: float = PAGERANK_TOL,
                               max_iter: int = 100) -> DataFrame:
     """R1 + R7: PageRank over the complete cosine graph (zero diagonal).
@@ -316,43 +344,15 @@ def embedding_textrank_scores(vecs: DataFrame, alpha: float = PAGERANK_ALPHA, to
     document's vector sum, and one round is
     ``x'_j = a (u_j . Y - y_j |u_j|^2 + D / N) + (1 - a) / N`` with
     ``y_i = x_i / s_i`` (0 for dangling rows), ``Y = sum y_i u_i`` and ``D``
-    the dangling mass.  A round costs O(sentences x dims) and runs inside
-    the document's row; it stops once the L1 change is below ``N * tol``.
+    the dangling mass.  A round is two matrix-vector products of size
+    sentences x dims, so it runs as a per-document numpy kernel
+    (``applyInPandas``: Spark shuffles the vectors by document once, Arrow
+    moves them in batches); the N x N matrix is never formed.  Iteration
+    stops once the L1 change is below ``N * tol``.
     """
-    unit = vecs.select(*K, "vec", F.sqrt(_dot(F.col("vec"), F.col("vec"))).alias("nrm")) \
-        .select(*K, F.when(F.col("nrm") > 0, F.transform("vec", lambda v: v / F.col("nrm")))
-                .otherwise(F.col("vec")).alias("u"))
-    doc = unit.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "u"))).alias("s"))
-    n = F.size("s")
-    dim = F.size(F.col("s")[0]["u"])
-    zero = F.array_repeat(F.lit(0.0), dim)
-    tvec = F.aggregate(F.col("s"), zero, lambda acc, e: F.zip_with(acc, e["u"], lambda a, b: a + b))
-    doc = doc.select("doc_id", F.transform("s", lambda e: e["u"]).alias("U"), tvec.alias("T"))
-    uu = F.transform("U", lambda u: _dot(u, u))
-    srow = F.zip_with(F.transform("U", lambda u: _dot(u, F.col("T"))), uu, lambda a, b: a - b)
-    doc = doc.select("doc_id", "U", uu.alias("uu"), srow.alias("S"), F.size("U").alias("N"))
-    x0 = F.array_repeat(1.0 / F.col("N"), F.col("N"))
-    dimc = F.size(F.col("U")[0])
-    zero2 = F.array_repeat(F.lit(0.0), dimc)
-
-    def round_(st):
-        x = st["x"]
-        y = F.zip_with(x, F.col("S"), lambda xi, si: F.when(F.abs(si) > DANGLING_EPS, xi / si).otherwise(F.lit(0.0)))
-        dang = F.aggregate(F.zip_with(x, F.col("S"), lambda xi, si: F.when(F.abs(si) <= DANGLING_EPS, xi).otherwise(F.lit(0.0))),
-                           F.lit(0.0), lambda a, b: a + b)
-        yv = F.aggregate(F.zip_with(y, F.col("U"), lambda yi, ui: F.transform(ui, lambda v: v * yi)), zero2,
-                         lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-        lin = F.zip_with(F.transform("U", lambda u: _dot(u, yv)),
-                         F.zip_with(y, F.col("uu"), lambda yi, q: yi * q), lambda a, b: a - b)
-        nx = F.transform(lin, lambda v: F.lit(alpha) * (v + dang / F.col("N")) + (1 - alpha) / F.col("N"))
-        err = F.aggregate(F.zip_with(nx, x, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b)
-        return F.struct(F.when(st["done"], x).otherwise(nx).alias("x"),
-                        (st["done"] | (err < F.col("N") * tol)).alias("done"))
-
-    init = F.struct(x0.alias("x"), F.lit(False).alias("done"))
-    final = F.aggregate(F.sequence(F.lit(1), F.lit(max_iter)), init, lambda st, _: round_(st))
-    res = doc.select("doc_id", final["x"].alias("x"))
-    return res.select("doc_id", F.posexplode("x").alias("i", "score"))
+    kernel = _pagerank_cosine_kernel(alpha, tol, max_iter)
+    return vecs.select("doc_id", "i", "vec").groupBy("doc_id").applyInPandas(
+        kernel, "doc_id long, i int, score double")
 
 
 def embedding_textrank_order(scores: DataFrame, sents: DataFrame, n: int) -> DataFrame:

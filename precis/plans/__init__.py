@@ -8,6 +8,8 @@ _MODULES = (
     "sequence_queries",
     "rank_queries",
     "vector_queries",
+    "sampling_queries",
+    "stream_queries",
 )
 
 
