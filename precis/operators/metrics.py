@@ -10,8 +10,11 @@ same statistics work as streaming state (ST1, ST2).
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,26 +54,47 @@ def clipped_overlap(pred_grams, ref_grams) -> Column:
     return F.aggregate(tagged, init, step, lambda acc: acc["m"] + F.least(acc["cp"], acc["cr"]))
 
 
-def lcs_length(pred_tokens, ref_tokens) -> Column:
-    """Longest common subsequence length, by the Hunt-Szymanski reduction.
+def _lcs_one(p, r) -> int:
+    """Hunt-Szymanski: for each prediction token, the reference positions
+    holding it in descending order; the LCS is the longest strictly
+    increasing run, kept with patience tails and binary search."""
+    if p is None or r is None or len(p) == 0 or len(r) == 0:
+        return 0
+    where: dict = {}
+    for j, t in enumerate(r):
+        where.setdefault(t, []).append(j)
+    tails: list = []
+    for t in p:
+        for j in reversed(where.get(t, ())):
+            k = bisect_left(tails, j)
+            if k == len(tails):
+                tails.append(j)
+            else:
+                tails[k] = j
+    return len(tails)
+
+
+def _lcs_batch(p: pd.Series, r: pd.Series) -> pd.Series:
+    return pd.Series([_lcs_one(a, b) for a, b in zip(p, r)], dtype="int64")
 
-    For each prediction token (in order) list the reference positions that
-    hold the same token, in descending order; the LCS is the longest
-    strictly increasing run of that list, kept with the patience "tails"
-    array (each tail is the smallest end of an increasing run of that
-    length).
-    """
-    p, r = _c(pred_tokens), _c(ref_tokens)
-    matches = F.flatten(F.transform(p, lambda t: F.reverse(F.filter(
-        F.transform(r, lambda x, j: F.when(x == t, j).otherwise(F.lit(-1))),
-        lambda j: j >= 0))))
 
-    def step(tails, x):
-        k = F.size(F.filter(tails, lambda t: t < x))
-        return F.when(k == F.size(tails), F.concat(tails, F.array(x))) \
-            .otherwise(F.transform(tails, lambda t, i: F.when(i == k, x).otherwise(t)))
+_LCS_UDF = []
 
-    return F.size(F.aggregate(matches, F.array().cast("array<int>"), step)).cast("long")
+
+def _lcs_udf(p, r):
+    if not _LCS_UDF:  # created lazily: a UDF needs an active session
+        _LCS_UDF.append(F.pandas_udf(_lcs_batch, "long"))
+    return _LCS_UDF[0](p, r)
+
+
+def lcs_length(pred_tokens, ref_tokens) -> Column:
+    """Longest common subsequence length of two token arrays.
+
+    A per-row helper in an Arrow-batched pandas UDF: the cost is
+    O(matching pairs x log n), which stays small even for whole-document
+    texts where an array fold (O(matches x LCS)) would not.
+    """
+    return _lcs_udf(_c(pred_tokens), _c(ref_tokens))
 
 
 # ---------------------------------------------------------------- BLEU (M1)

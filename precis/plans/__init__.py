@@ -10,6 +10,7 @@ _MODULES = (
     "vector_queries",
     "sampling_queries",
     "stream_queries",
+    "report_queries",
 )
 
 

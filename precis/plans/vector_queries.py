@@ -16,7 +16,7 @@ from ..operators.metrics import cosine
 from ..session import table
 from ..sources.corpus import conversation_pairs
 from . import duck
-from .rank_queries import BASE, MAX_ITER, TIE_NUDGE, _f, _rounded, _unrolled
+from .rank_queries import BASE, MAX_ITER, TIE_NUDGE, _f, _unrolled
 from .registry import register
 
 
@@ -224,7 +224,7 @@ def _r1_sql(k: int) -> str:
             f"FROM y{r} y JOIN dg{r} dg USING (doc_id) LEFT JOIN ln{r} l USING (doc_id, i))")
 
     body = _unrolled("nodes", step, k, PAGERANK_TOL, norm="l1", scale_by_n=True)
-    return head + ", " + body + f" SELECT doc_id, i, {_rs('x')} AS score FROM x{k}"
+    return head + ", " + body + f" SELECT doc_id, i, printf('%.6e', x)::DOUBLE AS score FROM x{k}"
 
 
 @register("r1_embedding_textrank", _r1_sql(MAX_ITER))
@@ -233,4 +233,8 @@ def r1_embedding_textrank(spark, sf):
     wv, dim = _doc_vectors(spark, sf)
     sents = R.sentence_table(table(spark, sf, "documents"))
     vecs = R.sentence_vectors(sents, wv, dim)
-    return _rounded(R.embedding_textrank_scores(vecs, max_iter=MAX_ITER))
+    # Row sums of a cosine graph can be near zero, where the normalised
+    # iteration grows large; compare on 7 significant digits.
+    s = R.embedding_textrank_scores(vecs, max_iter=MAX_ITER)
+    return s.select("doc_id", F.col("i").cast("long").alias("i"),
+                    F.format_string("%.6e", F.col("score")).cast("double").alias("score"))
