@@ -153,20 +153,17 @@ def m4_rouge_mean(spark, sf):
 def _m7_sql() -> str:
     src = (f"SELECT conv_id, turn, {duck.scoring('prediction')} AS prediction, "
            f"{duck.scoring('reference')} AS reference FROM pairs")
-    bleu = _bleu_sql("prediction", "reference", "src", ["conv_id", "turn"], [], names=lambda n: f"BLEU-{n}")
+    bleu = _bleu_sql("prediction", "reference", "src", ["conv_id", "turn"], [])
     r12 = _rouge_sql("prediction", "reference", "src", ["conv_id", "turn"])
-    lcs = _LCS_SQL.replace("WITH RECURSIVE " + PAIRS_CTE + ", ", "").replace("FROM pairs", "FROM src")
-    return (
-        "WITH RECURSIVE " + PAIRS_CTE + f", src AS ({src}), "
-        f"b AS ({bleu}), r AS ({r12}), l AS ({lcs.replace('WITH ', 'WITH RECURSIVE ', 0)}) "
-        "SELECT metric, value FROM (UNPIVOT (SELECT b.*, r.rouge1_fmeasure AS \"ROUGE-1-fmeasure\", "
-        "r.rouge2_fmeasure AS \"ROUGE-2-fmeasure\", l.rougeL_fmeasure AS \"ROUGE-L-fmeasure\", "
-        "r.rouge1_recall AS \"ROUGE-1-recall\", r.rouge2_recall AS \"ROUGE-2-recall\", "
-        "l.rougeL_recall AS \"ROUGE-L-recall\" FROM b, r, l) ON COLUMNS(*) INTO NAME metric VALUE value)"
-    )
-
-
-@register("m7_evaluate_metrics")
+    lcs = _LCS_SQL.replace("WITH RECURSIVE " + PAIRS_CTE + ", ", "WITH RECURSIVE ").replace("FROM pairs)", "FROM src)")
+    sel = [f"SELECT 'BLEU-{n}' AS metric, bleu_{n} AS value FROM b" for n in range(1, 5)]
+    sel += [f"SELECT 'ROUGE-{t}-{m}' AS metric, {src_}.rouge{t}_{m} AS value FROM {src_}"
+            for m in ("fmeasure", "recall") for t, src_ in (("1", "r"), ("2", "r"), ("L", "l"))]
+    return ("WITH " + PAIRS_CTE + f", src AS ({src}), b AS ({bleu}), r AS ({r12}), l AS ({lcs}) "
+            + " UNION ALL ".join(sel))
+
+
+@register("m7_evaluate_metrics", _m7_sql())
 def m7_evaluate_metrics(spark, sf):
     """All ten metrics after the scoring pipeline, long form (metric, value)."""
     out = evaluate_metrics(_pairs(spark, sf))
