@@ -81,22 +81,20 @@ def _iterate(x0: DataFrame, step, tol: float, max_iter: int, norm: str = "l2",
     a lost executor recomputes at most one round.
     """
     x = x0.withColumn("done", F.lit(False))
+    per_doc = Window.partitionBy("doc_id")
     for r in range(1, max_iter + 1):
         live = x.where(~F.col("done"))
         nx = step(live.select("doc_id", "i", "N", "x")).select("doc_id", "i", F.col("x").alias("nx"))
         upd = live.join(nx, K, "left").withColumn("nx", F.coalesce("nx", F.lit(0.0)))
         d = F.col("nx") - F.col("x")
-        err = upd.groupBy("doc_id").agg(
-            (F.sqrt(F.sum(d * d)) if norm == "l2" else F.sum(F.abs(d))).alias("err"),
-            F.first("N").alias("_n"))
-        lim = F.lit(tol) * F.col("_n") if scale_tol_by_n else F.lit(tol)
-        stop = (F.col("err") < lim) if scale_tol_by_n else (F.col("err") <= lim)
-        upd = upd.join(err.select("doc_id", stop.alias("stop")), "doc_id") \
-            .select("doc_id", "i", "N", F.col("nx").alias("x"), F.col("stop").alias("done"))
+        # The per-document change as a window: one exchange, no join back.
+        err = F.sqrt(F.sum(d * d).over(per_doc)) if norm == "l2" else F.sum(F.abs(d)).over(per_doc)
+        stop = (err < F.lit(tol) * F.col("N")) if scale_tol_by_n else (err <= F.lit(tol))
+        upd = upd.select("doc_id", "i", "N", F.col("nx").alias("x"), stop.alias("done"))
         x = x.where(F.col("done")).unionByName(upd)
         if r < max_iter:
             x = _checkpoint(x)
-            if x.where(~F.col("done")).isEmpty():
+            if r % 4 == 0 and x.where(~F.col("done")).isEmpty():
                 break
     return x.select("doc_id", "i", F.col("x").alias("score"))
 
@@ -226,8 +224,8 @@ def textrank_scores(sents: DataFrame, damping: float = TEXTRANK_DAMPING, tol: fl
         yw = wc.join(y, K).groupBy("doc_id", "w", F.col("L").alias("Lb")).agg(F.sum(F.col("c") * F.col("y")).alias("ysum"))
         u = wc.join(yw, ["doc_id", "w"]).groupBy(*K).agg(
             F.sum(F.col("c") * _g(F.col("L"), F.col("Lb")) * F.col("ysum")).alias("u"))
-        xs = x.groupBy("doc_id").agg(F.sum("x").alias("xsum"))
-        return x.select(*K, "N").join(xs, "doc_id").join(u, K, "left").select(
+        xs = x.select(*K, "N", F.sum("x").over(Window.partitionBy("doc_id")).alias("xsum"))
+        return xs.join(u, K, "left").select(
             *K, ((1 - damping) / F.col("N") * F.col("xsum") + damping * F.coalesce("u", F.lit(0.0))).alias("x"))
 
     return _iterate(x0, step, tol, max_iter)
@@ -377,10 +375,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = PAGERANK_ALPHA,
     x0 = nd.select(*K, "N", (1.0 / F.col("N")).alias("x"))
 
     def step(x: DataFrame) -> DataFrame:
-        dang = x.join(nd.select(*K, "ws"), K).groupBy("doc_id").agg(
-            F.sum(F.when(F.col("ws") == 0, F.col("x")).otherwise(0.0)).alias("D"))
+        xd = x.join(nd.select(*K, "ws"), K).select(
+            *K, "N", "x", F.sum(F.when(F.col("ws") == 0, F.col("x")).otherwise(0.0))
+            .over(Window.partitionBy("doc_id")).alias("D"))
         flow = x.join(wn, K).groupBy("doc_id", F.col("j").alias("i")).agg(F.sum(F.col("x") * F.col("p")).alias("f"))
-        return x.select(*K, "N").join(dang, "doc_id").join(flow, K, "left").select(
+        return xd.join(flow, K, "left").select(
             *K, (alpha * (F.coalesce("f", F.lit(0.0)) + F.col("D") / F.col("N")) + (1 - alpha) / F.col("N")).alias("x"))
 
     return _iterate(x0, step, tol, max_iter, norm="l1", scale_tol_by_n=True)
