@@ -16,7 +16,7 @@ Design notes (scale):
   a round needs the document's weighted vector sum only: two O(sentences x
   dims) products in a per-document numpy kernel (``applyInPandas``).
 * LexRank thresholds each pair similarity, which needs the exact pair
-  value; pairs are generated only from words with non-zero idf.
+  value; candidates come from exact prefix filtering (rare words only).
 * Iterations stop per document (each document converges on its own) and
   lineage is cut with ``checkpoint()`` into ``spark.checkpoint.dir``.
 """
@@ -237,20 +237,36 @@ def lexrank_edges(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD) -> Dat
     """Binary LexRank edges ``(doc_id, i, j)`` (both directions, self loops).
 
     tf = count / max count in the sentence, idf = ln(N / (1 + n_w)); pair
-    similarity is the idf-weighted cosine.  Only words with non-zero idf can
-    add to a similarity, so only they generate pairs.
+    similarity is the idf-weighted cosine, and an edge needs it above
+    ``threshold``.  Candidates come from exact prefix filtering: with the
+    sentence vector normalised and its words ordered rarest first, the
+    prefix is the shortest run whose remaining (suffix) norm is below the
+    threshold.  A pair above the threshold must share a word in one
+    sentence's prefix (the suffix can add less than the threshold), so only
+    prefix words are joined to the other sentences' words - frequent words
+    sit in suffixes and generate no pairs.  The exact similarity is then
+    computed for the candidates only.
     """
     wc = word_counts(sentence_words(sents))
     n = _doc_sizes(sents)
     df_ = wc.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("nw")).join(n, "doc_id") \
-        .select("doc_id", "w", F.log(F.col("N") / (1 + F.col("nw"))).alias("idf"))
+        .select("doc_id", "w", "nw", F.log(F.col("N") / (1 + F.col("nw"))).alias("idf"))
     tf = wc.withColumn("mx", F.max("c").over(Window.partitionBy(*K))) \
-        .join(df_, ["doc_id", "w"]).select(*K, "w", (F.col("c") / F.col("mx") * F.col("idf")).alias("a"))
+        .join(df_, ["doc_id", "w"]).select(*K, "w", "nw", (F.col("c") / F.col("mx") * F.col("idf")).alias("a"))
     norm = tf.groupBy(*K).agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("nrm"))
     nz = tf.where(F.col("a") != 0)
-    a = nz.select("doc_id", F.col("i"), "w", F.col("a").alias("ai"))
-    b = nz.select("doc_id", F.col("i").alias("j"), "w", F.col("a").alias("aj"))
-    dots = a.join(b, ["doc_id", "w"]).where(F.col("i") < F.col("j")) \
+    unit = nz.join(norm, K).select(*K, "w", "nw", "a", (F.col("a") / F.col("nrm")).alias("u"))
+    # Suffix mass from each word to the end, rarest words first; a small
+    # margin keeps the prefix a superset under rounding.
+    order = Window.partitionBy(*K).orderBy(F.desc("nw"), F.desc("w")).rowsBetween(Window.unboundedPreceding, 0)
+    prefix = unit.withColumn("rest", F.sum(F.col("u") * F.col("u")).over(order)) \
+        .where(F.col("rest") >= threshold * threshold * (1 - 1e-9)).select("doc_id", "i", "w")
+    probe = nz.select("doc_id", F.col("i").alias("j"), "w")
+    cand = prefix.join(probe, ["doc_id", "w"]).where(F.col("i") != F.col("j")) \
+        .select("doc_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    ai = nz.select("doc_id", "i", "w", F.col("a").alias("ai"))
+    aj = nz.select("doc_id", F.col("i").alias("j"), "w", F.col("a").alias("aj"))
+    dots = cand.join(ai, ["doc_id", "i"]).join(aj, ["doc_id", "j", "w"]) \
         .groupBy("doc_id", "i", "j").agg(F.sum(F.col("ai") * F.col("aj")).alias("dot"))
     ni = norm.select("doc_id", "i", F.col("nrm").alias("ni"))
     nj = norm.select("doc_id", F.col("i").alias("j"), F.col("nrm").alias("nj"))
