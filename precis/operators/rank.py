@@ -94,7 +94,7 @@ def _iterate(x0: DataFrame, step, tol: float, max_iter: int, norm: str = "l2",
         x = x.where(F.col("done")).unionByName(upd)
         if r < max_iter:
             x = _checkpoint(x)
-            if r % 4 == 0 and x.where(~F.col("done")).isEmpty():
+            if x.where(~F.col("done")).isEmpty():
                 break
     return x.select("doc_id", "i", F.col("x").alias("score"))
 
@@ -253,28 +253,34 @@ def lexrank_edges(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD) -> Dat
         .select("doc_id", "w", "nw", F.log(F.col("N") / (1 + F.col("nw"))).alias("idf"))
     tf = wc.withColumn("mx", F.max("c").over(Window.partitionBy(*K))) \
         .join(df_, ["doc_id", "w"]).select(*K, "w", "nw", (F.col("c") / F.col("mx") * F.col("idf")).alias("a"))
+    # Five branches read the word weights: materialise them once.
+    tf = _checkpoint(tf)
     norm = tf.groupBy(*K).agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("nrm"))
     nz = tf.where(F.col("a") != 0)
     unit = nz.join(norm, K).select(*K, "w", "nw", "a", (F.col("a") / F.col("nrm")).alias("u"))
     # Suffix mass from each word to the end, rarest words first; a small
     # margin keeps the prefix a superset under rounding.
     order = Window.partitionBy(*K).orderBy(F.desc("nw"), F.desc("w")).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = unit.withColumn("rest", F.sum(F.col("u") * F.col("u")).over(order)) \
-        .where(F.col("rest") >= threshold * threshold * (1 - 1e-9)).select("doc_id", "i", "w")
-    probe = nz.select("doc_id", F.col("i").alias("j"), "w")
-    cand = prefix.join(probe, ["doc_id", "w"]).where(F.col("i") != F.col("j")) \
-        .select("doc_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    ai = nz.select("doc_id", "i", "w", F.col("a").alias("ai"))
-    aj = nz.select("doc_id", F.col("i").alias("j"), "w", F.col("a").alias("aj"))
-    dots = cand.join(ai, ["doc_id", "i"]).join(aj, ["doc_id", "j", "w"]) \
-        .groupBy("doc_id", "i", "j").agg(F.sum(F.col("ai") * F.col("aj")).alias("dot"))
+    marked = unit.withColumn("pre", F.sum(F.col("u") * F.col("u")).over(order) >= threshold * threshold * (1 - 1e-9))
+    probe = nz.select("doc_id", F.col("i").alias("j"), "w", F.col("a").alias("aj"))
+    # Ordered candidate (i, j): i's prefix words found in j (the only join
+    # that can pair sentences).  A pair above the threshold matches through
+    # both sentences' prefixes, so both directions appear.
+    pre = marked.where("pre").select("doc_id", "i", "w", "a")
+    part = pre.join(probe, ["doc_id", "w"]).where(F.col("i") != F.col("j")) \
+        .groupBy("doc_id", "i", "j").agg(F.sum(F.col("a") * F.col("aj")).alias("dot"))
+    # Exact remainder for those candidates only: i's few suffix words.
+    suf = marked.where(~F.col("pre")).select("doc_id", "i", "w", "a")
+    rest = part.select("doc_id", "i", "j").join(suf, ["doc_id", "i"]).join(probe, ["doc_id", "j", "w"]) \
+        .select("doc_id", "i", "j", (F.col("a") * F.col("aj")).alias("dot"))
+    dots = part.unionByName(rest).groupBy("doc_id", "i", "j").agg(F.sum("dot").alias("dot"))
     ni = norm.select("doc_id", "i", F.col("nrm").alias("ni"))
     nj = norm.select("doc_id", F.col("i").alias("j"), F.col("nrm").alias("nj"))
     sim = dots.join(ni, ["doc_id", "i"]).join(nj, ["doc_id", "j"]) \
         .where((F.col("ni") > 0) & (F.col("nj") > 0)) \
         .where(F.col("dot") / (F.col("ni") * F.col("nj")) > threshold).select("doc_id", "i", "j")
     selfs = norm.where(F.col("nrm") > 0).select("doc_id", "i", F.col("i").alias("j"))
-    return sim.unionByName(sim.select("doc_id", F.col("j").alias("i"), F.col("i").alias("j"))).unionByName(selfs)
+    return sim.unionByName(selfs)
 
 
 def lexrank_scores(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD, tol: float = LEXRANK_EPSILON,

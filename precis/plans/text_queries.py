@@ -90,6 +90,14 @@ def t6_remove_stop_words(spark, sf):
     return _docs(spark, sf).select("doc_id", T.remove_words(F.lower("text"), STOP_WORDS).alias("text"))
 
 
+@register("j4_stop_word_anti_join", f"SELECT doc_id, {duck.remove_words('lower(text)')} AS text FROM documents")
+def j4_stop_word_anti_join(spark, sf):
+    """T6 with the word list as a table: left anti join on the exploded words."""
+    d = _docs(spark, sf).select("doc_id", T.to_lower("text").alias("text"))
+    stop = spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
+    return C.remove_words_by_table(d, ["text"], ["doc_id"], stop)
+
+
 _S_STEM_SQL = ("CASE WHEN regexp_matches(w, '[^ae]ies$') THEN regexp_replace(w, 'ies$', 'y') "
                "WHEN regexp_matches(w, '[^aeo]es$') THEN regexp_replace(w, 'es$', 'e') "
                "WHEN regexp_matches(w, '[^us]s$') THEN regexp_replace(w, 's$', '') ELSE w END")

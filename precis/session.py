@@ -54,7 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read a driver table.
+
+    A file written as one row group scans as one non-empty split, which
+    would leave every core but one idle for the text work that follows; in
+    that case (fewer scan partitions than cores) the rows are spread
+    round-robin.  Inputs with many row groups are left as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
 
 
 def cut_lineage(df: DataFrame, tag: str = "state") -> DataFrame:
