@@ -1,9 +1,10 @@
 """Registered grid, reporting and file queries (M8, J5, W1 to W6, F13,
 S2, S3, S7 to S11).
 
-The grid is (simple, nothing) x (Lsa, Luhn, KL) x ten metrics over the
-whole ``documents`` table; it is computed once per session and kept as a
-table under ``spark.checkpoint.dir`` for the reporting queries.
+M8 is (simple, nothing) x (Lsa, Luhn, KL) x ten metrics over the whole
+``documents`` table, computed once per session and kept as a table under
+``spark.checkpoint.dir``.  The reporting queries (J5, W1 to W6, F13, S8/S9)
+use a grid DuckDB can rebuild, so each has an oracle.
 """
 
 from __future__ import annotations
@@ -45,52 +46,130 @@ def m8_grid(spark, sf):
     return _grid(spark, sf).select("pipeline", "model", "metric", F.round("value", 6).alias("value"))
 
 
-@register("w1_sum_over_models")
+# ------------------------------------------------------------------ reporting grid
+# W1 to W6, F13 and S8/S9 report over a grid that DuckDB can rebuild: the
+# conversation pairs under two cleanings ("nothing", "scoring") and two
+# "models" (the assistant turn, and its lead sentence), scored by ROUGE-1/2.
+
+R_PIPES = ("nothing", "scoring")
+R_MODELS = ("assistant", "lead")
+R_METRICS = tuple(f"{t}_{m}" for t in ("rouge1", "rouge2") for m in ("precision", "recall", "fmeasure"))
+
+
+def _report_grid(spark, sf):
+    from ..functions.cleaning import scoring_columns
+    from ..functions.text import split_sentences
+    from ..operators.metrics import rouge
+    from ..operators.select import concat_all
+
+    pairs = conversation_pairs(table(spark, sf, "conversations"))
+    parts = []
+    for pipe in R_PIPES:
+        for model in R_MODELS:
+            pred = F.col("prediction") if model == "assistant" else \
+                F.coalesce(F.try_element_at(split_sentences("prediction"), F.lit(1)), F.lit(""))
+            ref = F.col("reference")
+            if pipe == "scoring":
+                pred, ref = scoring_columns(pred), scoring_columns(ref)
+            parts.append(pairs.select("conv_id", "turn", F.lit(pipe).alias("pipeline"), F.lit(model).alias("model"),
+                                      pred.alias("prediction"), ref.alias("reference")))
+    r = rouge(concat_all(parts), types=("rouge1", "rouge2"), group_cols=["pipeline", "model"])
+    r = r.select("pipeline", "model", *[F.round(c, 6).alias(c) for c in R_METRICS])
+    return r.unpivot(["pipeline", "model"], list(R_METRICS), "metric", "value")
+
+
+def _report_grid_sql() -> str:
+    from .metric_queries import _rouge_sql
+    lead = f"coalesce({duck.sentences('prediction')}[1], '')"
+    src = " UNION ALL ".join([
+        "SELECT conv_id, turn, 'nothing' AS pipeline, 'assistant' AS model, prediction, reference FROM pairs",
+        f"SELECT conv_id, turn, 'nothing', 'lead', {lead}, reference FROM pairs",
+        f"SELECT conv_id, turn, 'scoring', 'assistant', {duck.scoring('prediction')}, {duck.scoring('reference')} FROM pairs",
+        f"SELECT conv_id, turn, 'scoring', 'lead', {duck.scoring(lead)}, {duck.scoring('reference')} FROM pairs"])
+    q = _rouge_sql("prediction", "reference", "src", ["conv_id", "turn"], group=["pipeline", "model"])
+    return (f"pairs AS ({duck.PAIRS}), src AS ({src}), gw AS ({q}), "
+            "g AS (SELECT pipeline, model, metric, value FROM (UNPIVOT gw ON COLUMNS(* EXCLUDE (pipeline, model)) "
+            "INTO NAME metric VALUE value))")
+
+
+_G = _report_grid_sql()
+
+
+@register("j5_report_grid", f"WITH {_G} SELECT pipeline, model, metric, value FROM g")
+def j5_report_grid(spark, sf):
+    """Pipelines x models x metrics, planned as a union of shared
+    per-pair rows and one grouped aggregate."""
+    return _report_grid(spark, sf)
+
+
+
+
+def _ord(col: str, names) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = '{n}' THEN {k}" for k, n in enumerate(names)) + f" ELSE {len(names)} END"
+
+
+@register("w1_sum_over_models",
+          f"WITH {_G} SELECT metric, pipeline, round(sum(value), 6) AS avg FROM g GROUP BY metric, pipeline")
 def w1_sum_over_models(spark, sf):
-    return W.sum_over_models(_grid(spark, sf))
+    w = W.sum_over_models(_report_grid(spark, sf))
+    return w.select("metric", "pipeline", F.round("avg", 6).alias("avg"))
 
 
-@register("w2_best_pipeline")
+@register("w2_best_pipeline",
+          f"WITH {_G}, s AS (SELECT metric, pipeline, round(sum(value), 6) AS avg FROM g GROUP BY metric, pipeline) "
+          f"SELECT metric, pipeline, avg FROM s QUALIFY row_number() OVER (PARTITION BY metric ORDER BY avg DESC, "
+          f"{_ord('pipeline', R_PIPES)}) = 1")
 def w2_best_pipeline(spark, sf):
-    return W.best_per(W.sum_over_models(_grid(spark, sf)), "metric", "pipeline", "avg", PIPELINES)
+    w = W.sum_over_models(_report_grid(spark, sf))
+    w = w.select("metric", "pipeline", F.round("avg", 6).alias("avg"))
+    return W.best_per(w, "metric", "pipeline", "avg", R_PIPES)
 
 
-@register("w3_metric_by_model")
+@register("w3_metric_by_model",
+          f"WITH {_G} SELECT metric, " + ", ".join(f"max(value) FILTER (WHERE model = '{m}') AS {m}" for m in R_MODELS)
+          + " FROM g WHERE pipeline = 'scoring' GROUP BY metric")
 def w3_metric_by_model(spark, sf):
-    return W.metric_by_model(_grid(spark, sf), "simple", MODELS)
+    return W.metric_by_model(_report_grid(spark, sf), "scoring", R_MODELS)
 
 
-@register("w4_best_model")
+@register("w4_best_model",
+          f"WITH {_G} SELECT metric, model, value FROM g WHERE pipeline = 'scoring' QUALIFY row_number() OVER "
+          f"(PARTITION BY metric ORDER BY value DESC, {_ord('model', R_MODELS)}) = 1")
 def w4_best_model(spark, sf):
-    g = _grid(spark, sf).where(F.col("pipeline") == "simple")
-    return W.best_per(g, "metric", "model", "value", MODELS)
+    g = _report_grid(spark, sf).where(F.col("pipeline") == "scoring")
+    return W.best_per(g, "metric", "model", "value", R_MODELS)
 
 
-@register("w5_transpose")
+@register("w5_transpose",
+          f"WITH {_G} SELECT metric, " + ", ".join(f"max(value) FILTER (WHERE model = '{m}') AS {m}" for m in R_MODELS)
+          + " FROM g WHERE pipeline = 'nothing' GROUP BY metric")
 def w5_transpose(spark, sf):
     """Model x metric (one row per model) -> metric x model."""
-    g = _grid(spark, sf).where(F.col("pipeline") == "nothing")
-    wide = g.groupBy("model").pivot("metric", list(METRIC_NAMES)).agg(F.first("value"))
-    return W.transpose(wide, "model", list(METRIC_NAMES), "metric", MODELS)
+    g = _report_grid(spark, sf).where(F.col("pipeline") == "nothing")
+    wide = g.groupBy("model").pivot("metric", list(R_METRICS)).agg(F.first("value"))
+    return W.transpose(wide, "model", list(R_METRICS), "metric", R_MODELS)
 
 
-@register("w6_names")
+@register("w6_names",
+          f"WITH {_G} SELECT DISTINCT 'metric' AS kind, metric AS name FROM g UNION ALL "
+          "SELECT DISTINCT 'pipeline', pipeline FROM g UNION ALL SELECT DISTINCT 'model', model FROM g")
 def w6_names(spark, sf):
-    return W.names(_grid(spark, sf))
+    return W.names(_report_grid(spark, sf))
 
 
-@register("f13_merge_results")
+@register("f13_merge_results",
+          f"WITH {_G} SELECT * FROM g WHERE pipeline = 'nothing' UNION ALL SELECT * FROM g WHERE pipeline = 'scoring'")
 def f13_merge_results(spark, sf):
     """Two result sets (one per pipeline) merged by name."""
-    g = _grid(spark, sf)
-    return g.where(F.col("pipeline") == "simple").unionByName(g.where(F.col("pipeline") == "nothing"))
+    g = _report_grid(spark, sf)
+    return g.where(F.col("pipeline") == "nothing").unionByName(g.where(F.col("pipeline") == "scoring"))
 
 
-@register("s8_s9_grid_json")
+@register("s8_s9_grid_json", f"WITH {_G} SELECT pipeline, model, metric, value FROM g")
 def s8_s9_grid_json(spark, sf):
     """S8 writes the nested JSON (pipeline keys as stored by the original,
     ``CourpusPreprocessor(name)``), S9 reads it back into the long table."""
-    g = _grid(spark, sf).withColumn("pipeline", F.concat(F.lit("CourpusPreprocessor("), "pipeline", F.lit(")")))
+    g = _report_grid(spark, sf).withColumn("pipeline", F.concat(F.lit("CourpusPreprocessor("), "pipeline", F.lit(")")))
     path = _scratch(spark, "grid-json")
     RS.write_grid(g, path)
     return RS.read_grid(spark, path).select("pipeline", "model", "metric", F.round("value", 6).alias("value"))
