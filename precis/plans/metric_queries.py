@@ -150,9 +150,10 @@ def m4_rouge_mean(spark, sf):
 
 # --------------------------------------------------------------- M7 all ten
 
-def _m7_sql() -> str:
+def _m7_sql(clean: bool = True) -> str:
     src = (f"SELECT conv_id, turn, {duck.scoring('prediction')} AS prediction, "
-           f"{duck.scoring('reference')} AS reference FROM pairs")
+           f"{duck.scoring('reference')} AS reference FROM pairs") if clean else \
+        "SELECT conv_id, turn, prediction, reference FROM pairs"
     bleu = _bleu_sql("prediction", "reference", "src", ["conv_id", "turn"], [])
     r12 = _rouge_sql("prediction", "reference", "src", ["conv_id", "turn"])
     lcs = _LCS_SQL.replace("WITH RECURSIVE " + PAIRS_CTE + ", ", "WITH RECURSIVE ").replace("FROM pairs)", "FROM src)")

@@ -175,7 +175,13 @@ def s8_s9_grid_json(spark, sf):
     return RS.read_grid(spark, path).select("pipeline", "model", "metric", F.round("value", 6).alias("value"))
 
 
-@register("s10_s11_run_metrics")
+def _runs_sql() -> str:
+    from .metric_queries import _m7_sql
+    return (f"SELECT 'cleaned' AS model, metric, round(value, 6) AS value FROM ({_m7_sql(True)}) UNION ALL "
+            f"SELECT 'raw' AS model, metric, round(value, 6) AS value FROM ({_m7_sql(False)})")
+
+
+@register("s10_s11_run_metrics", _runs_sql())
 def s10_s11_run_metrics(spark, sf):
     """S11 writes one metric file per scored run (two runs over the
     conversation pairs, one with decoder settings), S10 reads them back

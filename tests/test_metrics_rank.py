@@ -195,3 +195,27 @@ def test_assemble_ties_and_order(spark):
     sc = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (0, 2, 2.0)], "doc_id long, i int, score double")
     assert R.assemble(sc, s, 2).first()["summary"] == "y two. z three."
     assert R.assemble(sc, s, 1).first()["summary"] == "y two."
+
+
+def test_lexrank_prefix_filter_matches_all_pairs(spark):
+    """Edges from prefix-filtered candidates equal the brute-force graph."""
+    rng = np.random.default_rng(3)
+    vocab = ["w" + chr(97 + k) for k in range(12)]
+    docs = [[" ".join(rng.choice(vocab, rng.integers(1, 7))) + "." for _ in range(rng.integers(2, 9))] for _ in range(6)]
+    s = _sents(spark, docs)
+    got = {(r["doc_id"], r["i"], r["j"]) for r in R.lexrank_edges(s).collect()}
+    want = set()
+    for d, sents in enumerate(docs):
+        ws = _words(spark, sents)
+        n = len(ws)
+        tfs = [{t: c / max(Counter(x).values()) for t, c in Counter(x).items()} for x in ws]
+        idf = {t: math.log(n / (1 + sum(1 for x in ws if t in x))) for x in ws for t in x}
+        vec = [{t: tfs[i][t] * idf[t] for t in tfs[i]} for i in range(n)]
+        nrm = [math.sqrt(sum(v * v for v in x.values())) for x in vec]
+        for i in range(n):
+            for j in range(n):
+                if nrm[i] > 0 and nrm[j] > 0:
+                    dot = sum(vec[i][t] * vec[j].get(t, 0.0) for t in vec[i])
+                    if dot / (nrm[i] * nrm[j]) > 0.1:
+                        want.add((d, i, j))
+    assert got == want
