@@ -62,10 +62,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     round-robin.  Inputs with many row groups are left as they are.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def cut_lineage(df: DataFrame, tag: str = "state") -> DataFrame:
