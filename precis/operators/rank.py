@@ -153,8 +153,9 @@ def kl_scores(sents: DataFrame, n: int) -> DataFrame:
     tot = wc.groupBy("doc_id").agg(F.sum("c").alias("T"))
     pw = wc.groupBy("doc_id", "w").agg(F.sum("c").alias("tf")).join(tot, "doc_id") \
         .select("doc_id", "w", (F.col("tf") / F.col("T")).alias("p"))
-    cw = wc.join(pw, ["doc_id", "w"]).select(*K, "w", "c", "p")
-    lens = sentence_lengths(sents)
+    # Every round reads the candidate words and sentence lengths: materialise once.
+    cw = _checkpoint(wc.join(pw, ["doc_id", "w"]).select(*K, "w", "c", "p"))
+    lens = _checkpoint(sentence_lengths(sents))
     chosen = None
     for r in range(n):
         if chosen is None:
@@ -164,7 +165,7 @@ def kl_scores(sents: DataFrame, n: int) -> DataFrame:
             summ = cw.join(chosen.select(*K), K, "left_semi").groupBy("doc_id", "w") \
                 .agg(F.sum("c").alias("s"), F.first("p").alias("p"))
             remaining = lens.join(chosen.select(*K), K, "left_anti")
-        cands = cw.join(remaining.select(*K), K, "left_semi")
+        cands = cw if chosen is None else cw.join(remaining.select(*K), K, "left_semi")
         if summ is None:
             j = cands.withColumn("s", F.lit(None).cast("long"))
             sagg = remaining.select("doc_id").distinct().select(
