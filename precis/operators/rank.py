@@ -62,6 +62,12 @@ def word_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "i", "L", "w").agg(F.count(F.lit(1)).alias("c"))
 
 
+def _shared_word_counts(sents: DataFrame) -> DataFrame:
+    """Word counts read by several branches of one plan: tokenised (regex)
+    once and materialised, instead of once per branch."""
+    return _checkpoint(word_counts(sentence_words(sents)))
+
+
 def _doc_sizes(sents: DataFrame) -> DataFrame:
     return sents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("N"))
 
@@ -106,7 +112,7 @@ def luhn_scores(sents: DataFrame, max_gap: int = LUHN_MAX_GAP) -> DataFrame:
     significant words at most ``max_gap`` positions apart (gaps and
     islands), score = max over chunks of sig^2 / span, 0 for a single
     significant word or none."""
-    words = sentence_words(sents)
+    words = _checkpoint(sentence_words(sents))
     sig = words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("tf")).where(F.col("tf") > 1)
     sp = words.join(sig.select("doc_id", "w"), ["doc_id", "w"], "left_semi")
     w = Window.partitionBy("doc_id", "i").orderBy("pos")
@@ -125,7 +131,7 @@ def lsa_scores(sents: DataFrame, smooth: float = LSA_SMOOTH) -> DataFrame:
     """R4 without an SVD: keeping every singular value, the LSA rank of a
     sentence is the norm of its column in the smoothed term x sentence
     matrix, ``sqrt(s^2 (V - v_j) + sum_t (s + (1-s) c_tj / max_j)^2)``."""
-    wc = word_counts(sentence_words(sents))
+    wc = _shared_word_counts(sents)
     vdoc = wc.groupBy("doc_id").agg(F.countDistinct("w").alias("n_doc_words"))
     per = wc.withColumn("mx", F.max("c").over(Window.partitionBy("doc_id", "i"))) \
         .groupBy("doc_id", "i").agg(
@@ -149,7 +155,7 @@ def kl_scores(sents: DataFrame, n: int) -> DataFrame:
     counts and one aggregate - never sentence pairs.  Chosen sentences score
     ``-round``; the rest ``-n``.
     """
-    wc = word_counts(sentence_words(sents))
+    wc = _shared_word_counts(sents)
     tot = wc.groupBy("doc_id").agg(F.sum("c").alias("T"))
     pw = wc.groupBy("doc_id", "w").agg(F.sum("c").alias("tf")).join(tot, "doc_id") \
         .select("doc_id", "w", (F.col("tf") / F.col("T")).alias("p"))
@@ -211,7 +217,7 @@ def textrank_scores(sents: DataFrame, damping: float = TEXTRANK_DAMPING, tol: fl
     ``x'_j = (1-d)/N sum_i x_i + d sum_w c_j(w) sum_L g(L_j, L) Y(w, L)``
     with ``Y(w, L) = sum over sentences i of length L of c_i(w) x_i / (rowsum_i + eps)``.
     """
-    wc = word_counts(sentence_words(sents)).cache()
+    wc = _shared_word_counts(sents)
     cwl = wc.groupBy("doc_id", "w", F.col("L").alias("Lb")).agg(F.sum("c").alias("csum"))
     rs = wc.join(cwl, ["doc_id", "w"]).groupBy(*K).agg(
         F.sum(F.col("c") * _g(F.col("L"), F.col("Lb")) * F.col("csum")).alias("rs"))
@@ -248,7 +254,7 @@ def lexrank_edges(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD) -> Dat
     sit in suffixes and generate no pairs.  The exact similarity is then
     computed for the candidates only.
     """
-    wc = word_counts(sentence_words(sents))
+    wc = _shared_word_counts(sents)
     n = _doc_sizes(sents)
     df_ = wc.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("nw")).join(n, "doc_id") \
         .select("doc_id", "w", "nw", F.log(F.col("N") / (1 + F.col("nw"))).alias("idf"))
