@@ -209,15 +209,19 @@ def scoring_columns(c) -> Column:
 def remove_words_by_table(df: DataFrame, cols: Sequence[str] | str, key_cols: Sequence[str],
                           words: DataFrame, word_col: str = "word") -> DataFrame:
     """J4 / T6 for a word list held as a table (too large for a literal
-    set): tokens are exploded, removed by a left anti join (a broadcast when
-    AQE measures the list small), and the rest re-joined in order with
-    single spaces."""
+    set): tokens are exploded, matched against the list by a join (a
+    broadcast when AQE measures the list small), and the rest re-joined in
+    order with single spaces."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     others = [c for c in df.columns if c not in cols and c not in key_cols]
     items = F.concat(*[F.transform(whitespace_tokens(c), _tagger(k)) for k, c in enumerate(cols)])
     toks = df.select(*key_cols, *others, F.explode_outer(items).alias("t")) \
         .select(*key_cols, *others, "t.k", "t.i", F.col("t.w").alias("word"))
-    kept = toks.join(words.select(F.col(word_col).alias("word")).distinct(), "word", "left_anti")
+    # A left join that blanks listed words (rather than a left anti join)
+    # keeps every key alive, so a text made only of listed words becomes "".
+    listed = words.select(F.col(word_col).alias("word")).distinct().withColumn("_listed", F.lit(True))
+    kept = toks.join(listed, "word", "left").withColumn(
+        "word", F.when(F.col("_listed"), F.lit(None).cast("string")).otherwise(F.col("word"))).drop("_listed")
     groups = kept.groupBy(*key_cols).agg(
         *[F.first(c).alias(c) for c in others],
         F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("k", "i", F.col("word").alias("w"))))).alias("_t"))

@@ -77,3 +77,19 @@ def test_pipeline_is_one_projection(spark):
     assert out.first()["text"] == "a b. c"
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_anti_join_removal_equals_literal_set(spark):
+    rows = [(1, "the cat and the dog"), (2, "the the"), (3, ""), (4, "  a  cat  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = spark.createDataFrame([("the",), ("a",)], "word string")
+    got = {r["doc_id"]: r["text"] for r in C.remove_words_by_table(df, ["text"], ["doc_id"], words).collect()}
+    want = {r["doc_id"]: r["x"] for r in df.select("doc_id", T.remove_words("text", ["the", "a"]).alias("x")).collect()}
+    assert got == want
+
+
+def test_global_index_is_dense_and_ordered(spark):
+    from precis.operators.encode import global_index
+    df = spark.range(0, 1000).select(((F.col("id") * 7919) % 1000).alias("k")).repartition(7)
+    out = global_index(df, [F.asc("k")], "idx", partitions=5).collect()
+    assert sorted((r["idx"], r["k"]) for r in out) == [(i, i) for i in range(1000)]
