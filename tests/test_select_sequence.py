@@ -82,3 +82,24 @@ def test_streaming_equals_batch(spark):
     # ST4: a new query with a new checkpoint starts from an empty state.
     s2 = ST.streaming_bleu(spark, path, df.schema).first()
     assert s2["bleu_1"] == pytest.approx(s["bleu_1"])
+
+
+def test_encode_decode_roundtrip(spark):
+    from precis.operators.encode import FIRST_WORD_ID, build_vocabulary, decode, encode
+    df = spark.createDataFrame([(1, "b a b", "a"), (2, "", "c"), (3, "c  b", "")], "doc_id long, document string, summary string")
+    vocab = build_vocabulary(df, ["document", "summary"])
+    ids = {r["word"]: r["id"] for r in vocab.collect()}
+    assert ids["b"] == FIRST_WORD_ID and ids["a"] == FIRST_WORD_ID + 1 and ids["c"] == FIRST_WORD_ID + 2
+    enc = encode(df, ["document", "summary"], vocab)
+    got = {r["doc_id"]: (r["document"], r["summary"]) for r in enc.collect()}
+    assert got[1] == ([3, 4, 3], [4]) and got[2] == ([], [5]) and got[3] == ([5, 3], [])
+    dec = {r["doc_id"]: r["text"] for r in decode(enc, "document", vocab).collect()}
+    assert dec == {1: "b a b", 2: "", 3: "c b"}
+
+
+def test_vector_file_later_line_wins(spark, tmp_path):
+    from precis.sources.stories import read_word_vectors
+    p = tmp_path / "vec.txt"
+    p.write_text("cat 1 2\ndog 3 4\ncat 5 6\n")
+    got = {r["word"]: list(r["vector"]) for r in read_word_vectors(spark, str(p)).collect()}
+    assert got == {"cat": [5.0, 6.0], "dog": [3.0, 4.0]}
