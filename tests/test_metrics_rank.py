@@ -219,3 +219,13 @@ def test_lexrank_prefix_filter_matches_all_pairs(spark):
                     if dot / (nrm[i] * nrm[j]) > 0.1:
                         want.add((d, i, j))
     assert got == want
+
+
+def test_rouge_bootstrap_brackets_mean(spark):
+    rows = [(f"a b c {k % 4}", f"a b d {k % 3}") for k in range(30)]
+    df = pairs(spark, rows)
+    mean = M.rouge(df, types=("rouge1",)).first()["rouge1_fmeasure"]
+    lo, mid, hi = M.rouge_bootstrap(df, types=("rouge1",), n_resamples=200).first()["rouge1_fmeasure"]
+    assert lo <= mean <= hi and lo <= mid <= hi
+    again = M.rouge_bootstrap(df, types=("rouge1",), n_resamples=200).first()["rouge1_fmeasure"]
+    assert list(again) == [lo, mid, hi]
