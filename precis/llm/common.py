@@ -129,3 +129,98 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
+
+
+#: Bits of the fixed-size filters below (2 MB).
+FILTER_BITS = 24
+
+
+def bit_filter(df: DataFrame, column: str) -> np.ndarray:
+    """One byte of 8 bits for each value of the top bits of a column of 64-bit
+    hashes: 2 MB whatever the number of rows.
+
+    A filter only trims what is sent on; joins decide.  Each task gives one
+    filter, and the driver joins them one after the other.
+    """
+    size = 1 << FILTER_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        some = False
+        for b in batches:
+            some = some or b.num_rows > 0
+            bits[top_bits(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))] = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    for row in df.select(F.col(column).cast("long")).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def top_bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = top_bits(hashes)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of batches sorted by ``keys`` (64-bit integers): tables of whole groups,
+    with the groups' bounds."""
+    rest: list[pa.RecordBatch] = []
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        change = np.zeros(max(t.num_rows - 1, 0), bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            change |= v[1:] != v[:-1]
+        return np.concatenate([[0], np.flatnonzero(change) + 1, [t.num_rows]])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rest.append(b)
+        t = pa.Table.from_batches(rest)
+        at = bounds(t)
+        if len(at) > 2:  # the last group may go on
+            yield t.slice(0, at[-2]), at[:-1]
+            rest = t.slice(at[-2]).combine_chunks().to_batches()
+    if rest:
+        t = pa.Table.from_batches(rest)
+        yield t, bounds(t)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted here)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def components(edges: DataFrame, tag: str) -> DataFrame:
+    """(node, root) of the nodes of ``edges`` (u, v): root is the least node of
+    the component.
+
+    Alternating large-star and small-star steps; each step is an aggregate and
+    a join on the node, so that a hub's edges can be split among tasks.  The
+    edges are written under spark.checkpoint.dir after each round.
+    """
+    cur = materialise(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+                      .distinct(), tag)
+    state = None
+    while True:
+        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        nxt = (large.join(small, "a").where("b <> m").select(F.col("m").alias("u"), F.col("b").alias("v"))
+               .unionByName(small.select(F.col("m").alias("u"), F.col("a").alias("v"))).distinct())
+        cur = materialise(nxt, tag)
+        now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == state:
+            break
+        state = now
+    return cur.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(
+        cur.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
