@@ -39,9 +39,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each time that a document is taken."""
-    mixed = mixing.mix(docs, mixing.WEIGHTS, keep_row=True)
+    mixed = mixing.mix(docs, mixing.WEIGHTS, with_columns=True)
     added = {"mix_domain": "domain", "mix_epoch": "epoch", "mix_tokens": "n_tokens", "mix_budget": "budget"}
-    return mixed.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added),
+    return mixed.select(*(F.col(f"_own{i}").alias(c) for i, c in enumerate(docs.columns) if c not in added),
                         *(F.col(v).alias(k) for k, v in added.items()))
 
 

@@ -96,9 +96,10 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[str, dict[str, int]]
 
 def mix(docs: DataFrame, weights: dict[str, dict[str, int]], fraction: float = 0.5, epochs: int = 2, seed: int = 1,
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-        keep_row: bool = False) -> DataFrame:
+        with_columns: bool = False) -> DataFrame:
     """One row for each time that a document is taken: (id, domain, lang, source,
-    epoch, n_tokens, budget), and the columns of ``docs`` under ``row`` if asked for.
+    epoch, n_tokens, budget); if asked for, with all columns of ``docs``, in
+    their order, as _own0, _own1 and so on.
 
     The target is ``fraction`` of all tokens (words), split by ``budgets``.  A
     leaf gives whole epochs while they fit, then the prefix of the next epoch's
@@ -114,14 +115,14 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], fraction: float = 0
     rows count as often as they occur; empty tables give no rows.  Leaves of
     weight 0 give nothing.
     """
-    cols = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_row else []
+    own = [f"_own{i}" for i in range(len(docs.columns))] if with_columns else []
     rows = docs.select(
         F.col(id_col).alias("id"), domain_of(F.col(source_col)).alias("domain"),
         F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("n_tokens"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("th"),
-        *cols)
+        *(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)))
     # what the budgets need, computed once; texts are read again only to be returned
-    facts = materialise(rows.drop("row"), "mix-facts")
+    facts = materialise(rows.drop(*own), "mix-facts")
     leaves = facts.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     target = F.floor(F.col("all") * F.lit(fraction)).cast("long")
     given = budgets(leaves, target, weights, epochs)
@@ -148,8 +149,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], fraction: float = 0
     passes = in_end.withColumn("sum", F.col("before") + F.sum("n_tokens").over(run)).where("sum > rest")
     # the first document that passes the budget
     cuts = materialise(_named(passes.groupBy(*path).agg(F.min("key").alias("end_key")), path, "end_key"), "mix-cuts")
-    taken = with_budget(rows if keep_row else facts).join(broadcast_if_small(cuts, 100_000), _same(*path), "left")
+    taken = with_budget(rows if own else facts).join(broadcast_if_small(cuts, 100_000), _same(*path), "left")
     partial = (F.col("rest") > 0) & F.coalesce(F.col("key") < F.col("end_key"), F.lit(True))
     out = taken.withColumn("times", (F.col("whole") + partial.cast("long")).cast("int")).where("times > 0")
     out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return out.select(F.col("id").alias(id_col), *path, "epoch", "n_tokens", "budget", *(["row"] if keep_row else []))
+    return out.select(F.col("id").alias(id_col), *path, "epoch", "n_tokens", "budget", *own)

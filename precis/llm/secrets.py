@@ -152,7 +152,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
     ``mark``; null stays null; rows and other columns stay as they are."""
     empty = F.array().cast("array<struct<s:int,e:int>>")
     last = lambda acc: F.get(acc, F.size(acc) - 1)
-    rows = with_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), f"_row.{text_col}")
+    own = [f"_own{i}" for i in range(len(docs.columns))]  # no name of theirs can clash with one made here
+    text = own[docs.columns.index(text_col)]
+    rows = with_spans(docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own))), text)
     rows = stage(rows, _runs=F.aggregate("_spans", empty, lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["s"] < last(acc)["e"]),
         F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
@@ -161,7 +163,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
     t, runs = F.col("_text"), F.col("_runs")
     end = lambda i: F.coalesce(F.get(runs, i - 1)["e"], F.lit(0))
     kept = F.transform(runs, lambda x, i: F.concat(t.substr(end(i) + 1, x["s"] - end(i)), F.lit(mark)))
-    clean = F.when(F.size(runs) == 0, F.col(f"_row.{text_col}")).otherwise(
+    clean = F.when(F.size(runs) == 0, F.col(text)).otherwise(
         F.concat(F.array_join(kept, ""), t.substr(last(runs)["e"] + 1, F.length(t))))
     rows = stage(rows, _clean=clean)
-    return rows.select(*((F.col("_clean") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+    return rows.select(*(F.col("_clean" if o == text else o).alias(c) for c, o in zip(docs.columns, own)))
