@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed import NOUN_PLURAL_RULES, PUNCTUATION, STOP_WORDS
+from .regroup import put_together, take_apart
 from .text import (DIGIT, expand_contractions, mask_emails, remove_by_regex, remove_symbols,
                    remove_words, to_lower, whitespace_tokens)
 
@@ -38,14 +39,6 @@ class DictionaryStep:
         return normalize_words(df, cols, key_cols, self.dictionary)
 
 
-def _tagger(k):
-    return lambda w, i: F.struct(F.lit(k).alias("k"), i.alias("i"), w.alias("w"))
-
-
-def _is_tag(k):
-    return lambda x: x["k"] == k
-
-
 def plural_lemma_dictionary(words: DataFrame, word_col: str = "word") -> DataFrame:
     """Noun lemma table built from the vocabulary itself.
 
@@ -71,31 +64,20 @@ def plural_lemma_dictionary(words: DataFrame, word_col: str = "word") -> DataFra
 
 def normalize_words(df: DataFrame, cols: Sequence[str], key_cols: Sequence[str],
                     dictionary=None) -> DataFrame:
-    """Apply a word dictionary to ``cols`` of ``df`` (rows keyed by ``key_cols``).
+    """Apply a word dictionary to ``cols`` of ``df``; rows with equal
+    ``key_cols`` stay rows of their own, a null text stays null.
 
     One explode of all columns' tokens, one join with the dictionary (a
     broadcast when AQE measures it small, else a shuffle join; AQE splits
-    hot words), one regroup by key that rebuilds every column in order.
+    hot words), one regroup by row that rebuilds every column in order.
     """
-    others = [c for c in df.columns if c not in cols and c not in key_cols]
-    items = F.concat(*[
-        F.transform(whitespace_tokens(c), _tagger(k))
-        for k, c in enumerate(cols)])
-    toks = df.select(*key_cols, *others, F.explode_outer(items).alias("t")) \
-        .select(*key_cols, *others, "t.k", "t.i", F.col("t.w").alias("word"))
+    rows = take_apart(df, {c: whitespace_tokens(c) for c in cols})
     if dictionary is None:
         dictionary = plural_lemma_dictionary
     if callable(dictionary):
-        dictionary = dictionary(toks.select("word"))
-    d = dictionary.select(F.col("word"), F.col("norm"))
-    j = toks.join(d, "word", "left").select(
-        *key_cols, *others, "k", "i", F.coalesce("norm", "word").alias("w"))
-    groups = j.groupBy(*key_cols).agg(
-        *[F.first(c).alias(c) for c in others],
-        F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("k", "i", "w")))).alias("_t"))
-    rebuilt = [F.array_join(F.transform(F.filter("_t", _is_tag(k)), lambda x: x["w"]), " ").alias(c)
-               for k, c in enumerate(cols)]
-    return groups.select(*key_cols, *others, *rebuilt).select(*df.columns)
+        dictionary = dictionary(rows.where("word is not null").select("word"))
+    j = rows.join(dictionary.select("word", "norm"), "word", "left").withColumn("w", F.coalesce("norm", "word"))
+    return put_together(j, "w", df.columns, list(cols), lambda w: F.array_join(w, " "))
 
 
 Step = Callable[[Column], Column] | DictionaryStep
@@ -213,18 +195,9 @@ def remove_words_by_table(df: DataFrame, cols: Sequence[str] | str, key_cols: Se
     broadcast when AQE measures the list small), and the rest re-joined in
     order with single spaces."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    others = [c for c in df.columns if c not in cols and c not in key_cols]
-    items = F.concat(*[F.transform(whitespace_tokens(c), _tagger(k)) for k, c in enumerate(cols)])
-    toks = df.select(*key_cols, *others, F.explode_outer(items).alias("t")) \
-        .select(*key_cols, *others, "t.k", "t.i", F.col("t.w").alias("word"))
-    # A left join that blanks listed words (rather than a left anti join)
-    # keeps every key alive, so a text made only of listed words becomes "".
+    rows = take_apart(df, {c: whitespace_tokens(c) for c in cols})
     listed = words.select(F.col(word_col).alias("word")).distinct().withColumn("_listed", F.lit(True))
-    kept = toks.join(listed, "word", "left").withColumn(
-        "word", F.when(F.col("_listed"), F.lit(None).cast("string")).otherwise(F.col("word"))).drop("_listed")
-    groups = kept.groupBy(*key_cols).agg(
-        *[F.first(c).alias(c) for c in others],
-        F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("k", "i", F.col("word").alias("w"))))).alias("_t"))
-    rebuilt = [F.array_join(F.transform(F.filter("_t", _is_tag(k)), lambda x: x["w"]), " ").alias(c)
-               for k, c in enumerate(cols)]
-    return groups.select(*key_cols, *others, *rebuilt).select(*df.columns)
+    # A left join that blanks listed words (rather than a left anti join)
+    # keeps every row alive, so a text made only of listed words becomes "".
+    kept = rows.join(listed, "word", "left").withColumn("w", F.when(F.col("_listed").isNull(), F.col("word")))
+    return put_together(kept, "w", df.columns, cols, lambda w: F.array_join(w, " "))

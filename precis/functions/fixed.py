@@ -153,6 +153,15 @@ EMAIL_PATTERN = (
     r"[A-Za-z0-9]+(?:[./:;<=>?@\[\\\]^_][A-Za-z0-9]+)*"
     r"@[A-Za-z0-9-]+(?:\.[A-Z|a-z]{2,})+"
 )
+# The same matches for a backtracking engine, in linear time and constant
+# stack: every repeated group takes one character; an address begins where a
+# run of its characters begins, or where the last match ended.
+_SEPARATORS = r"./:;<=>?@\[\\\]^_"
+EMAIL_PATTERN_LINEAR = (
+    rf"(?:\G|(?<=\G[{_SEPARATORS}])|(?<![A-Za-z0-9])(?<![A-Za-z0-9][{_SEPARATORS}]))"
+    rf"[A-Za-z0-9](?:[A-Za-z0-9{_SEPARATORS}](?<![{_SEPARATORS}][{_SEPARATORS}]))*(?<=[A-Za-z0-9])"
+    r"@[A-Za-z0-9-]+\.[A-Z|a-z]{2}(?:(?!\.(?![A-Z|a-z]{2}))[A-Z|a-z.])*"
+)
 EMAIL_TOKEN = "EMAIL"
 
 # --- fixed values: noun plural detachment rules (suffix, replacement) ---

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import CONTRACTIONS, EMAIL_PATTERN, EMAIL_TOKEN, PUNCTUATION
+from .fixed import CONTRACTIONS, EMAIL_PATTERN_LINEAR, EMAIL_TOKEN, PUNCTUATION
 
 SENTENCE_MARK = "\u0001"
 # A sentence ends at '.', '!' or '?' followed by whitespace.
@@ -93,7 +93,7 @@ def replace_by_regex(c, pairs: Sequence[tuple[str, str]]) -> Column:
 
 def mask_emails(c, token: str = EMAIL_TOKEN) -> Column:
     """T5e."""
-    return replace_by_regex(c, [(EMAIL_PATTERN, token)])
+    return replace_by_regex(c, [(EMAIL_PATTERN_LINEAR, token)])
 
 
 def whitespace_tokens(c) -> Column:

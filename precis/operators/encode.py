@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.regroup import put_together, take_apart
 from ..functions.text import whitespace_tokens
+from ..session import cut_lineage
 
 # --- fixed values: reserved ids ---
 PAD_ID, SEP_ID, UNK_ID = 0, 1, 2
@@ -22,33 +24,27 @@ FIRST_WORD_ID = 3
 _LOW_BITS = (1 << 33) - 1
 
 
-def _tagger(k):
-    return lambda w, i: F.struct(F.lit(k).alias("k"), i.alias("i"), w.alias("w"))
-
-
-def _is_tag(k):
-    return lambda x: x["k"] == k
-
-
 def global_index(df: DataFrame, order: Sequence[Column], name: str = "idx",
                  partitions: int | None = None) -> DataFrame:
     """Dense 0-based position of every row in a total order, distributed.
 
     Range-partition and sort by ``order`` (which must be unique), number rows
     inside each partition with ``monotonically_increasing_id`` (partition id
-    in the high bits), then add each partition's offset.  The offset table
-    has one row per partition, so broadcasting it is bounded by the
-    partition count, not the data.
+    in the high bits), then add each partition's offset.  The numbered rows
+    are written before they are read for the counts and for the result, so
+    both see one sampling of the ranges.  The offset table has one row per
+    partition, so broadcasting it is bounded by the partition count.
     """
     n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ranged = df.repartitionByRange(int(n), *order).sortWithinPartitions(*order) \
         .withColumn("_mid", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
-        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
+        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))).drop("_mid")
+    ranged = cut_lineage(ranged, "ranged")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     return ranged.join(F.broadcast(offsets), "_pid") \
-        .withColumn(name, F.col("_off") + F.col("_pos")).drop("_mid", "_pid", "_pos", "_off")
+        .withColumn(name, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off")
 
 
 def tokens_of(c, lower: bool = False) -> Column:
@@ -74,32 +70,21 @@ def build_vocabulary(df: DataFrame, cols: Sequence[str] | str, lower: bool = Fal
 def encode(df: DataFrame, cols: Sequence[str] | str, vocab: DataFrame, key_cols: Sequence[str] = ("doc_id",),
            lower: bool = False) -> DataFrame:
     """A1: replace text columns by ``array<int>`` id sequences (order kept;
-    unknown words map to the reserved unknown id)."""
+    unknown words map to the reserved unknown id).  Rows with equal
+    ``key_cols`` stay rows of their own; a null text gives a null sequence."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    others = [c for c in df.columns if c not in cols and c not in key_cols]
-    items = F.concat(*[
-        F.transform(tokens_of(c, lower), _tagger(k))
-        for k, c in enumerate(cols)])
-    toks = df.select(*key_cols, *others, F.explode_outer(items).alias("t")) \
-        .select(*key_cols, *others, "t.k", "t.i", F.col("t.w").alias("word"))
+    rows = take_apart(df, {c: tokens_of(c, lower) for c in cols})
     v = vocab.select("word", F.col("id").cast("int").alias("id"))
-    j = toks.join(v, "word", "left").select(
-        *key_cols, *others, "k", "i", F.when(F.col("word").isNull(), None)
-        .otherwise(F.coalesce("id", F.lit(UNK_ID))).alias("id"))
-    g = j.groupBy(*key_cols).agg(
-        *[F.first(c).alias(c) for c in others],
-        F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("k", "i", "id")))).alias("_t"))
-    rebuilt = [F.transform(F.filter("_t", _is_tag(k)), lambda x: x["id"]).alias(c)
-               for k, c in enumerate(cols)]
-    return g.select(*key_cols, *others, *rebuilt).select(*df.columns)
+    j = rows.join(v, "word", "left").withColumn("id", F.when(
+        F.col("word").isNotNull(), F.coalesce("id", F.lit(UNK_ID))))
+    return put_together(j, "id", df.columns, cols, lambda ids: ids)
 
 
 def decode(df: DataFrame, col: str, vocab: DataFrame, key_cols: Sequence[str] = ("doc_id",),
            out: str = "text") -> DataFrame:
-    """Ids back to text; reserved tokens are dropped."""
-    ex = df.select(*key_cols, F.posexplode_outer(col).alias("i", "id"))
-    v = vocab.where(F.col("id") >= FIRST_WORD_ID).select(F.col("id").cast("int").alias("id"), "word")
-    j = ex.join(v, "id", "left")
-    return j.groupBy(*key_cols).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.when(F.col("word").isNotNull(), F.struct("i", "word")))), lambda x: x["word"]), " ").alias(out))
+    """Ids back to text; reserved tokens are dropped.  Rows with equal
+    keys stay apart; a null sequence gives a null text."""
+    src = df.select(*key_cols, F.col(col).alias(out))
+    rows = take_apart(src, {out: F.transform(out, lambda x: x.cast("string"))})
+    v = vocab.where(F.col("id") >= FIRST_WORD_ID).select(F.col("id").cast("string").alias("word"), F.col("word").alias("w"))
+    return put_together(rows.join(v, "word", "left"), "w", [*key_cols, out], [out], lambda w: F.array_join(w, " "))

@@ -10,16 +10,22 @@ same statistics work as streaming state (ST1, ST2).
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, rouge_tokens, whitespace_tokens
 
+#: Increment and finishing steps of splitmix64.
+_REPLICATE = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)))
+
+
 def _zero():
     return F.lit(0).cast("long")
 
@@ -55,23 +61,22 @@ def clipped_overlap(pred_grams, ref_grams) -> Column:
 
 
 def _lcs_one(p, r) -> int:
-    """Hunt-Szymanski: for each prediction token, the reference positions
-    holding it in descending order; the LCS is the longest strictly
-    increasing run, kept with patience tails and binary search."""
+    """Bit-parallel LCS: bit j stands for reference token j; each prediction
+    token is one addition on a whole-number of len(r) bits, so the cost is
+    len(p) * len(r) / word size whatever the number of matches."""
     if p is None or r is None or len(p) == 0 or len(r) == 0:
         return 0
     where: dict = {}
     for j, t in enumerate(r):
-        where.setdefault(t, []).append(j)
-    tails: list = []
+        where[t] = where.get(t, 0) | 1 << j
+    full = (1 << len(r)) - 1
+    v = full
     for t in p:
-        for j in reversed(where.get(t, ())):
-            k = bisect_left(tails, j)
-            if k == len(tails):
-                tails.append(j)
-            else:
-                tails[k] = j
-    return len(tails)
+        m = where.get(t)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return len(r) - v.bit_count()
 
 
 def _lcs_batch(p: pd.Series, r: pd.Series) -> pd.Series:
@@ -90,9 +95,8 @@ def _lcs_udf(p, r):
 def lcs_length(pred_tokens, ref_tokens) -> Column:
     """Longest common subsequence length of two token arrays.
 
-    A per-row helper in an Arrow-batched pandas UDF: the cost is
-    O(matching pairs x log n), which stays small even for whole-document
-    texts where an array fold (O(matches x LCS)) would not.
+    A per-row helper in an Arrow-batched pandas UDF: one long addition per
+    token, so frequent words cost no more than rare ones.
     """
     return _lcs_udf(_c(pred_tokens), _c(ref_tokens))
 
@@ -187,32 +191,39 @@ def rouge_bootstrap(df: DataFrame, pred: str = "prediction", ref: str = "referen
                     quantiles: Sequence[float] = (0.025, 0.5, 0.975)) -> DataFrame:
     """M4 with intervals: seeded Poisson(1) bootstrap of the row mean.
 
-    Each row takes a repeatable Poisson(1) weight per replicate (from
-    ``xxhash64(key, replicate, seed)``), so replicates are weighted means:
-    no row is copied, and the work is one aggregate keyed by replicate.
+    Each row takes a repeatable Poisson(1) weight per replicate (from a hash
+    of key, seed and replicate), so replicates are weighted means.  Each task
+    sums its rows' weighted scores for all replicates (a matrix product per
+    batch) and sends one row per replicate; rows are not copied.
     """
     toks = df.select(*key_cols, rouge_tokens(pred).alias("_p"), rouge_tokens(ref).alias("_r"))
     per = toks.select(*key_cols, *rouge_scores("_p", "_r", types))
     names = [c for c in per.columns if c not in key_cols]
-    reps = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-    u = (F.abs(F.xxhash64(*[F.col(k) for k in key_cols], F.col("rep"), F.lit(seed))) % 1000003) / 1000003.0
-    # Poisson(1) by inverse CDF on the first few terms (P(k > 8) < 1e-6).
-    cdf, acc = [], 0.0
-    for k in range(9):
-        term = math.exp(-1.0) / math.factorial(k)
-        acc += term
-        cdf.append(acc)
-    w = F.lit(9)
-    for k in reversed(range(9)):
-        w = F.when(u < cdf[k], F.lit(k)).otherwise(w)
-    reps = reps.withColumn("w", w.cast("double"))
-    means = reps.groupBy("rep").agg(*[
-        F.try_divide(F.sum(F.col(c) * F.col("w")), F.sum("w")).alias(c) for c in names])
-    out = []
-    for c in names:
-        qs = F.percentile(F.col(c), list(quantiles))
-        out.append(qs.alias(c))
-    return means.agg(*out)
+    per = per.select(F.xxhash64(*[F.col(k) for k in key_cols], F.lit(seed)).alias("_h"),
+                     *[F.col(c).cast("double").alias(c) for c in names])
+    # Poisson(1) by inverse CDF: the weight is the number of steps that the
+    # uniform value reaches; the last step is where doubles end.
+    cdf = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(18)])
+
+    def partial(batches):
+        total = np.zeros((n_resamples, len(names) + 1))
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in names] + [np.ones(len(h))])
+            for start in range(0, len(h), 512):
+                g = h[start:start + 512, None] + _REPLICATE * np.arange(1, n_resamples + 1, dtype=np.uint64)[None, :]
+                for shift, factor in _SPREAD:
+                    g = (g ^ (g >> shift)) * factor
+                g ^= g >> np.uint64(31)
+                w = np.searchsorted(cdf, (g >> np.uint64(11)) * 2.0 ** -53, "right")
+                total += w.T @ x[start:start + 512]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(n_resamples)), *(pa.array(c) for c in total.T)], names=["rep", *names, "_w"])
+
+    sql = ", ".join(["rep bigint", *(f"{c} double" for c in names), "_w double"])
+    sums = per.mapInArrow(partial, sql).groupBy("rep").agg(*[F.sum(c).alias(c) for c in [*names, "_w"]])
+    means = sums.select("rep", *[F.try_divide(F.col(c), F.col("_w")).alias(c) for c in names])
+    return means.agg(*[F.percentile(F.col(c), list(quantiles)).alias(c) for c in names])
 
 
 # ------------------------------------------------------------- M5: vectors

@@ -13,8 +13,8 @@ Design notes (scale):
   iteration never materialises sentence pairs: each round is two
   aggregates over word rows.
 * Embedding TextRank's cosine weights are dot products of unit vectors, so
-  a round needs the document's weighted vector sum only: two O(sentences x
-  dims) products in a per-document numpy kernel (``applyInPandas``).
+  a round needs the document's weighted vector sum only: one sum per
+  (document, dimension) and one dot product per sentence.
 * LexRank thresholds each pair similarity, which needs the exact pair
   value; candidates come from exact prefix filtering (rare words only).
 * Iterations stop per document (each document converges on its own) and
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import (LEXRANK_EPSILON, LEXRANK_THRESHOLD, LSA_SMOOTH, LUHN_MAX_GAP,
-                               PAGERANK_ALPHA, PAGERANK_TOL, ROW_NORM_EPS, TEXTRANK_DAMPING,
+                               PAGERANK_ALPHA, PAGERANK_MAX_ITER, PAGERANK_TOL, ROW_NORM_EPS, TEXTRANK_DAMPING,
                                TEXTRANK_EPSILON, VECTOR_DIVISOR_EPS)
 from ..functions.text import rank_words, split_sentences, whitespace_tokens
 from ..session import cut_lineage
@@ -72,37 +72,47 @@ def _doc_sizes(sents: DataFrame) -> DataFrame:
     return sents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("N"))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    return cut_lineage(df, "rank")
+def _checkpoint(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    return cut_lineage(df, "rank", replaces)
 
 
-def _iterate(x0: DataFrame, step, tol: float, max_iter: int, norm: str = "l2",
-             scale_tol_by_n: bool = False) -> DataFrame:
+#: A change this large, from scores that sum to 1, is growth without end.
+_DIVERGED = 1e6
+
+
+def _iterate(x0: DataFrame, step, tol: float, norm: str = "l2", scale_tol_by_n: bool = False,
+             max_rounds: int | None = None) -> DataFrame:
     """Run ``step`` (``x(doc_id, i, x) -> new x``) per document until the
-    change is within ``tol`` (then that document is frozen) or ``max_iter``
-    rounds.  ``x0`` carries ``N`` (sentences in the document).
+    change is within ``tol``; then that document is frozen.  ``x0`` carries
+    ``N`` (sentences in the document).
 
-    A round reads the previous state several times (join, aggregates), so
-    the state is checkpointed every round: the plan stays one round deep and
-    a lost executor recomputes at most one round.
+    Returns ``(doc_id, i, score, converged)``.  A document whose change grows
+    beyond all bounds, or that has not settled after ``max_rounds`` (only
+    where the method itself sets a limit), has null scores.
+
+    The change is summed per document with partial aggregation.  The state is
+    written every round, as a round reads it several times: the plan stays one
+    round deep, a lost executor recomputes at most one round, and the round
+    before is deleted.
     """
-    x = x0.withColumn("done", F.lit(False))
-    per_doc = Window.partitionBy("doc_id")
-    for r in range(1, max_iter + 1):
-        live = x.where(~F.col("done"))
+    x = _checkpoint(x0.select("doc_id", "i", "N", "x", F.lit("live").alias("state")))
+    rounds = 0
+    while (max_rounds is None or rounds < max_rounds) and not x.where("state = 'live'").isEmpty():
+        rounds += 1
+        live = x.where("state = 'live'")
         nx = step(live.select("doc_id", "i", "N", "x")).select("doc_id", "i", F.col("x").alias("nx"))
         upd = live.join(nx, K, "left").withColumn("nx", F.coalesce("nx", F.lit(0.0)))
         d = F.col("nx") - F.col("x")
-        # The per-document change as a window: one exchange, no join back.
-        err = F.sqrt(F.sum(d * d).over(per_doc)) if norm == "l2" else F.sum(F.abs(d)).over(per_doc)
-        stop = (err < F.lit(tol) * F.col("N")) if scale_tol_by_n else (err <= F.lit(tol))
-        upd = upd.select("doc_id", "i", "N", F.col("nx").alias("x"), stop.alias("done"))
-        x = x.where(F.col("done")).unionByName(upd)
-        if r < max_iter:
-            x = _checkpoint(x)
-            if x.where(~F.col("done")).isEmpty():
-                break
-    return x.select("doc_id", "i", F.col("x").alias("score"))
+        size = F.sqrt(F.sum(d * d)) if norm == "l2" else F.sum(F.abs(d))
+        err = upd.groupBy("doc_id").agg(size.alias("err"))
+        small = (F.col("err") < F.lit(tol) * F.col("N")) if scale_tol_by_n else (F.col("err") <= F.lit(tol))
+        lost = F.isnan("err") | (F.col("err") > _DIVERGED)
+        upd = upd.join(err, "doc_id").select(
+            "doc_id", "i", "N", F.col("nx").alias("x"),
+            F.when(lost, "lost").when(small, "done").otherwise("live").alias("state"))
+        x = _checkpoint(x.where("state <> 'live'").unionByName(upd), x)
+    settled = F.col("state") == "done"
+    return x.select("doc_id", "i", F.when(settled, F.col("x")).alias("score"), settled.alias("converged"))
 
 
 # ------------------------------------------------------------------ R5 Luhn
@@ -208,14 +218,15 @@ def _g(la: Column, lb: Column) -> Column:
     return F.when((la == 1) & (lb == 1), F.lit(1.0)).otherwise(1.0 / (F.log(la) + F.log(lb)))
 
 
-def textrank_scores(sents: DataFrame, damping: float = TEXTRANK_DAMPING, tol: float = TEXTRANK_EPSILON,
-                    max_iter: int = 100) -> DataFrame:
+def textrank_scores(sents: DataFrame, damping: float = TEXTRANK_DAMPING, tol: float = TEXTRANK_EPSILON) -> DataFrame:
     """R2: overlap TextRank with the pair weights factored by sentence length.
 
     With ``C(w, L) = sum over sentences j of length L of c_j(w)``:
     ``rowsum_i = sum_w c_i(w) sum_L g(L_i, L) C(w, L)`` and one round is
-    ``x'_j = (1-d)/N sum_i x_i + d sum_w c_j(w) sum_L g(L_j, L) Y(w, L)``
+    ``x'_j = ((1-d) sum_i x_i + d D) / N + d sum_w c_j(w) sum_L g(L_j, L) Y(w, L)``
     with ``Y(w, L) = sum over sentences i of length L of c_i(w) x_i / (rowsum_i + eps)``.
+    A sentence without words has no edges; its mass ``D`` is spread evenly, so
+    that none is lost and the iteration settles.
     """
     wc = _shared_word_counts(sents)
     cwl = wc.groupBy("doc_id", "w", F.col("L").alias("Lb")).agg(F.sum("c").alias("csum"))
@@ -227,15 +238,17 @@ def textrank_scores(sents: DataFrame, damping: float = TEXTRANK_DAMPING, tol: fl
     x0 = nodes.select(*K, "N", (1.0 / F.col("N")).alias("x"))
 
     def step(x: DataFrame) -> DataFrame:
-        y = x.join(nodes.select(*K, "rs"), K).select(*K, (F.col("x") / (F.col("rs") + ROW_NORM_EPS)).alias("y"))
+        xr = x.join(nodes.select(*K, "rs"), K)
+        sums = xr.groupBy("doc_id").agg(F.sum("x").alias("mass"), F.sum(F.when(F.col("rs") == 0, F.col("x")).otherwise(0.0)).alias("loose"))
+        y = xr.where("rs <> 0").select(*K, (F.col("x") / (F.col("rs") + ROW_NORM_EPS)).alias("y"))
         yw = wc.join(y, K).groupBy("doc_id", "w", F.col("L").alias("Lb")).agg(F.sum(F.col("c") * F.col("y")).alias("ysum"))
         u = wc.join(yw, ["doc_id", "w"]).groupBy(*K).agg(
             F.sum(F.col("c") * _g(F.col("L"), F.col("Lb")) * F.col("ysum")).alias("u"))
-        xs = x.select(*K, "N", F.sum("x").over(Window.partitionBy("doc_id")).alias("xsum"))
-        return xs.join(u, K, "left").select(
-            *K, ((1 - damping) / F.col("N") * F.col("xsum") + damping * F.coalesce("u", F.lit(0.0))).alias("x"))
+        return x.join(sums, "doc_id").join(u, K, "left").select(
+            *K, (((1 - damping) * F.col("mass") + damping * F.col("loose")) / F.col("N")
+                 + damping * F.coalesce("u", F.lit(0.0))).alias("x"))
 
-    return _iterate(x0, step, tol, max_iter)
+    return _iterate(x0, step, tol)
 
 
 # ------------------------------------------------------------------ R3 LexRank
@@ -248,11 +261,11 @@ def lexrank_edges(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD) -> Dat
     ``threshold``.  Candidates come from exact prefix filtering: with the
     sentence vector normalised and its words ordered rarest first, the
     prefix is the shortest run whose remaining (suffix) norm is below the
-    threshold.  A pair above the threshold must share a word in one
-    sentence's prefix (the suffix can add less than the threshold), so only
-    prefix words are joined to the other sentences' words - frequent words
-    sit in suffixes and generate no pairs.  The exact similarity is then
-    computed for the candidates only.
+    threshold.  The rarest word that a pair above the threshold shares lies in
+    both prefixes (else all shared words lie in one suffix, which adds less
+    than the threshold), so prefixes are joined with prefixes, each pair once.
+    What the other words add is summed for these candidates only, and edges
+    are mirrored at the end.
     """
     wc = _shared_word_counts(sents)
     n = _doc_sizes(sents)
@@ -269,29 +282,28 @@ def lexrank_edges(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD) -> Dat
     # margin keeps the prefix a superset under rounding.
     order = Window.partitionBy(*K).orderBy(F.desc("nw"), F.desc("w")).rowsBetween(Window.unboundedPreceding, 0)
     marked = unit.withColumn("pre", F.sum(F.col("u") * F.col("u")).over(order) >= threshold * threshold * (1 - 1e-9))
-    probe = nz.select("doc_id", F.col("i").alias("j"), "w", F.col("a").alias("aj"))
-    # Ordered candidate (i, j): i's prefix words found in j (the only join
-    # that can pair sentences).  A pair above the threshold matches through
-    # both sentences' prefixes, so both directions appear.
-    pre = marked.where("pre").select("doc_id", "i", "w", "a")
-    part = pre.join(probe, ["doc_id", "w"]).where(F.col("i") != F.col("j")) \
-        .groupBy("doc_id", "i", "j").agg(F.sum(F.col("a") * F.col("aj")).alias("dot"))
-    # Exact remainder for those candidates only: i's few suffix words.
-    suf = marked.where(~F.col("pre")).select("doc_id", "i", "w", "a")
-    rest = part.select("doc_id", "i", "j").join(suf, ["doc_id", "i"]).join(probe, ["doc_id", "j", "w"]) \
-        .select("doc_id", "i", "j", (F.col("a") * F.col("aj")).alias("dot"))
-    dots = part.unionByName(rest).groupBy("doc_id", "i", "j").agg(F.sum("dot").alias("dot"))
+    marked = _checkpoint(marked.select("doc_id", "i", "w", "a", "pre"))
+    at_j = [F.col("doc_id"), F.col("i").alias("j"), F.col("w"), F.col("a").alias("aj")]
+    pre, suf = marked.where("pre"), marked.where("not pre")
+    weight = (F.col("a") * F.col("aj")).alias("dot")
+    part = _checkpoint(pre.select("doc_id", "i", "w", "a").join(pre.select(*at_j), ["doc_id", "w"]).where("i < j")
+                       .groupBy("doc_id", "i", "j").agg(F.sum(weight).alias("dot")))
+    pairs = part.select("doc_id", "i", "j")
+    rest_i = pairs.join(suf.select("doc_id", "i", "w", "a"), ["doc_id", "i"]) \
+        .join(marked.select(*at_j), ["doc_id", "j", "w"]).select("doc_id", "i", "j", weight)
+    rest_j = pairs.join(suf.select(*at_j), ["doc_id", "j"]) \
+        .join(pre.select("doc_id", "i", "w", "a"), ["doc_id", "i", "w"]).select("doc_id", "i", "j", weight)
+    dots = part.unionByName(rest_i).unionByName(rest_j).groupBy("doc_id", "i", "j").agg(F.sum("dot").alias("dot"))
     ni = norm.select("doc_id", "i", F.col("nrm").alias("ni"))
     nj = norm.select("doc_id", F.col("i").alias("j"), F.col("nrm").alias("nj"))
     sim = dots.join(ni, ["doc_id", "i"]).join(nj, ["doc_id", "j"]) \
         .where((F.col("ni") > 0) & (F.col("nj") > 0)) \
         .where(F.col("dot") / (F.col("ni") * F.col("nj")) > threshold).select("doc_id", "i", "j")
     selfs = norm.where(F.col("nrm") > 0).select("doc_id", "i", F.col("i").alias("j"))
-    return sim.unionByName(selfs)
+    return sim.unionByName(sim.select("doc_id", F.col("j").alias("i"), F.col("i").alias("j"))).unionByName(selfs)
 
 
-def lexrank_scores(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD, tol: float = LEXRANK_EPSILON,
-                   max_iter: int = 100) -> DataFrame:
+def lexrank_scores(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD, tol: float = LEXRANK_EPSILON) -> DataFrame:
     """Power iteration (no damping) over the degree-normalised edges."""
     edges = lexrank_edges(sents, threshold)
     deg = edges.groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("deg"))
@@ -302,7 +314,7 @@ def lexrank_scores(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD, tol:
         return x.join(wedges, K).groupBy("doc_id", F.col("j").alias("i")) \
             .agg(F.sum(F.col("x") * F.col("w")).alias("x"))
 
-    return _iterate(x0, step, tol, max_iter)
+    return _iterate(x0, step, tol)
 
 
 # ------------------------------------------------------------------ E1 + R1
@@ -312,17 +324,17 @@ def sentence_vectors(sents: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     words, unknown words count in the divisor with a zero vector; no words
     gives the zero vector.  ``vectors`` is ``(word, vector array<float>)``.
 
-    Word rows are joined to the vector table (a broadcast only when AQE
-    measures it small) and summed per sentence with an array fold.
+    Words are counted per sentence, joined to the vector table (a broadcast
+    only when AQE measures it small), and each dimension is a sum with partial
+    aggregation: no list of vectors is gathered.
     """
     toks = sents.select(*K, whitespace_tokens("sentence").alias("_t"))
     n = toks.select(*K, F.size("_t").alias("n"))
-    ex = toks.select(*K, F.explode("_t").alias("word"))
+    counts = toks.select(*K, F.explode("_t").alias("word")).groupBy(*K, "word").agg(F.count(F.lit(1)).alias("c"))
     vec = vectors.select("word", F.col("vector").cast("array<double>").alias("v"))
-    hit = ex.join(vec, "word")
     zero = F.array_repeat(F.lit(0.0), dim)
-    sums = hit.groupBy(*K).agg(F.aggregate(F.collect_list("v"), zero,
-                                           lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)).alias("s"))
+    sums = counts.join(vec, "word").groupBy(*K).agg(*[F.sum(F.col("c") * F.col("v")[d]).alias(f"_s{d}") for d in range(dim)]) \
+        .select(*K, F.array(*[F.col(f"_s{d}") for d in range(dim)]).alias("s"))
     out = n.join(sums, K, "left").select(
         *K, F.when(F.col("n") > 0, F.transform(F.coalesce("s", zero),
                                                 lambda x: x / (F.col("n") + VECTOR_DIVISOR_EPS)))
@@ -331,39 +343,12 @@ def sentence_vectors(sents: DataFrame, vectors: DataFrame, dim: int) -> DataFram
 
 
 def _dot(a, b) -> Column:
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def _pagerank_cosine_kernel(alpha: float, tol: float, max_iter: int):
-    """Per-document numpy kernel for :func:`embedding_textrank_scores`."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        v = np.vstack(pdf["vec"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
-        n = len(pdf)
-        nrm = np.sqrt((v * v).sum(axis=1))
-        u = np.divide(v, nrm[:, None], out=np.zeros_like(v), where=nrm[:, None] > 0)
-        uu = (u * u).sum(axis=1)
-        s = u @ u.sum(axis=0) - uu                      # row sums of the cosine graph
-        dangling = np.abs(s) <= DANGLING_EPS
-        inv = np.where(dangling, 0.0, 1.0 / np.where(dangling, 1.0, s))
-        x = np.full(n, 1.0 / n)
-        for _ in range(max_iter):
-            y = x * inv
-            nx = alpha * (u @ (u.T @ y) - y * uu + x[dangling].sum() / n) + (1 - alpha) / n
-            err = np.abs(nx - x).sum()
-            x = nx
-            if err < n * tol:
-                break
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "i": pdf["i"].to_numpy(), "score": x})
-
-    return run
-
-
 def embedding_textrank_scores(vecs: DataFrame, alpha: float = PAGERANK_ALPHA, tol: float = PAGERANK_TOL,
-                              max_iter: int = 100) -> DataFrame:
+                              max_rounds: int = PAGERANK_MAX_ITER) -> DataFrame:
     """R1 + R7: PageRank over the complete cosine graph (zero diagonal).
 
     With unit vectors ``u_i`` (zero for a zero vector) the weight is
@@ -371,15 +356,42 @@ def embedding_textrank_scores(vecs: DataFrame, alpha: float = PAGERANK_ALPHA, to
     document's vector sum, and one round is
     ``x'_j = a (u_j . Y - y_j |u_j|^2 + D / N) + (1 - a) / N`` with
     ``y_i = x_i / s_i`` (0 for dangling rows), ``Y = sum y_i u_i`` and ``D``
-    the dangling mass.  A round is two matrix-vector products of size
-    sentences x dims, so it runs as a per-document numpy kernel
-    (``applyInPandas``: Spark shuffles the vectors by document once, Arrow
-    moves them in batches); the N x N matrix is never formed.  Iteration
-    stops once the L1 change is below ``N * tol``.
+    the dangling mass.  ``T`` and ``Y`` are sums per (document, dimension)
+    with partial aggregation, so a long document spreads over tasks and the
+    N x N matrix is never formed.
+
+    Iteration stops once the L1 change is below ``N * tol``.  With negative
+    cosines row sums can be near zero and the iteration grow without end;
+    as in the library, a document that has not settled after ``max_rounds``
+    has no scores (``converged`` false, null).
     """
-    kernel = _pagerank_cosine_kernel(alpha, tol, max_iter)
-    return vecs.select("doc_id", "i", "vec").groupBy("doc_id").applyInPandas(
-        kernel, "doc_id long, i int, score double")
+    first = vecs.select(F.size("vec")).first()
+    dim = first[0] if first else 0
+    v = F.col("vec").cast("array<double>")
+    nrm = F.sqrt(_dot(v, v))
+    unit = vecs.select(*K, F.transform(v, lambda c: F.try_divide(c, nrm)).alias("u"), (nrm > 0).alias("some"))
+    unit = unit.select(*K, F.when(F.col("some"), F.col("u")).otherwise(F.array_repeat(F.lit(0.0), dim)).alias("u"),
+                       F.col("some").cast("double").alias("uu"))
+    unit = _checkpoint(unit)
+
+    def per_dimension(df: DataFrame, weight: Column, name: str, *others: Column) -> DataFrame:
+        sums = df.groupBy("doc_id").agg(*[F.sum(weight * F.col("u")[d]).alias(f"_s{d}") for d in range(dim)], *others)
+        return sums.select("doc_id", F.array(*[F.col(f"_s{d}") for d in range(dim)]).cast("array<double>").alias(name),
+                           *[c for c in sums.columns if not c.startswith("_s") and c != "doc_id"])
+
+    total = per_dimension(unit, F.lit(1.0), "T", F.count(F.lit(1)).alias("N"))
+    nodes = _checkpoint(unit.join(total, "doc_id").select(*K, "N", "u", "uu", (_dot("u", "T") - F.col("uu")).alias("s")))
+    dangling = F.abs("s") <= DANGLING_EPS
+
+    def step(x: DataFrame) -> DataFrame:
+        xr = x.join(nodes.drop("N"), K).withColumn("y", F.when(dangling, 0.0).otherwise(F.try_divide("x", "s")))
+        sums = per_dimension(xr, F.col("y"), "Y", F.sum(F.when(dangling, F.col("x")).otherwise(0.0)).alias("loose"))
+        return xr.join(sums, "doc_id").select(*K, (
+            alpha * (_dot("u", "Y") - F.col("y") * F.col("uu") + F.col("loose") / F.col("N"))
+            + (1 - alpha) / F.col("N")).alias("x"))
+
+    x0 = nodes.select(*K, "N", (1.0 / F.col("N")).alias("x"))
+    return _iterate(x0, step, tol, norm="l1", scale_tol_by_n=True, max_rounds=max_rounds)
 
 
 def embedding_textrank_order(scores: DataFrame, sents: DataFrame, n: int) -> DataFrame:
@@ -392,26 +404,28 @@ def embedding_textrank_order(scores: DataFrame, sents: DataFrame, n: int) -> Dat
 # ------------------------------------------------------------------ R7 generic
 
 def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = PAGERANK_ALPHA, tol: float = PAGERANK_TOL,
-             max_iter: int = 100) -> DataFrame:
+             max_rounds: int = PAGERANK_MAX_ITER) -> DataFrame:
     """R7 over an explicit weighted edge table ``(doc_id, i, j, w)`` (directed;
     give both directions for an undirected graph) and ``nodes (doc_id, i)``:
     rows normalised by their weight sum, dangling mass spread evenly,
-    stop when the L1 change is below ``N * tol``."""
+    stop when the L1 change is below ``N * tol``.  ``max_rounds`` is the
+    library's own limit; beyond it a document has no scores."""
     ws = edges.groupBy(*K).agg(F.sum("w").alias("ws"))
     nd = nodes.select(*K).join(_doc_sizes(nodes), "doc_id").join(ws, K, "left") \
         .withColumn("ws", F.coalesce("ws", F.lit(0.0)))
-    wn = edges.join(ws, K).where(F.col("ws") != 0).select("doc_id", "i", "j", (F.col("w") / F.col("ws")).alias("p"))
+    nd = _checkpoint(nd)
+    wn = _checkpoint(edges.join(ws, K).where(F.col("ws") != 0).select(
+        "doc_id", "i", "j", (F.col("w") / F.col("ws")).alias("p")))
     x0 = nd.select(*K, "N", (1.0 / F.col("N")).alias("x"))
 
     def step(x: DataFrame) -> DataFrame:
-        xd = x.join(nd.select(*K, "ws"), K).select(
-            *K, "N", "x", F.sum(F.when(F.col("ws") == 0, F.col("x")).otherwise(0.0))
-            .over(Window.partitionBy("doc_id")).alias("D"))
+        lost = x.join(nd.where("ws = 0").select(*K), K).groupBy("doc_id").agg(F.sum("x").alias("D"))
         flow = x.join(wn, K).groupBy("doc_id", F.col("j").alias("i")).agg(F.sum(F.col("x") * F.col("p")).alias("f"))
-        return xd.join(flow, K, "left").select(
-            *K, (alpha * (F.coalesce("f", F.lit(0.0)) + F.col("D") / F.col("N")) + (1 - alpha) / F.col("N")).alias("x"))
+        return x.join(lost, "doc_id", "left").join(flow, K, "left").select(
+            *K, (alpha * (F.coalesce("f", F.lit(0.0)) + F.coalesce("D", F.lit(0.0)) / F.col("N"))
+                 + (1 - alpha) / F.col("N")).alias("x"))
 
-    return _iterate(x0, step, tol, max_iter, norm="l1", scale_tol_by_n=True)
+    return _iterate(x0, step, tol, norm="l1", scale_tol_by_n=True, max_rounds=max_rounds)
 
 
 # ------------------------------------------------------------------ F11, R8, R10
@@ -435,10 +449,26 @@ def summary_size(col) -> Column:
     return F.ceil(F.avg(F.size(split_sentences(col))))
 
 
+#: Rankers by name: ``(sentences, n, vectors) -> (doc_id, i, score)``.
 RANKERS = {
-    "TextRank": lambda s, n: textrank_scores(s),
-    "LexRank": lambda s, n: lexrank_scores(s),
-    "Lsa": lambda s, n: lsa_scores(s),
-    "Luhn": lambda s, n: luhn_scores(s),
-    "KL": lambda s, n: kl_scores(s, n),
+    "TextRank": lambda s, n, vectors: textrank_scores(s),
+    "LexRank": lambda s, n, vectors: lexrank_scores(s),
+    "Lsa": lambda s, n, vectors: lsa_scores(s),
+    "Luhn": lambda s, n, vectors: luhn_scores(s),
+    "KL": lambda s, n, vectors: kl_scores(s, n),
+    "MyTextRank": lambda s, n, vectors: embedding_textrank_scores(sentence_vectors(s, *vectors)),
 }
+
+
+def register_ranker(name: str, scores) -> None:
+    """Add a ranker, ``(sentences, n, vectors) -> (doc_id, i, score)``
+    with ``vectors`` as ``(word-vector table, dimension)`` or None."""
+    RANKERS[name] = scores
+
+
+def summarise(sents: DataFrame, model: str, n: int, vectors: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """``(doc_id, summary)`` by a named ranker: sentences in document order
+    joined by a space; the embedding ranker keeps score order and joins by
+    ``". "``."""
+    scores = RANKERS[model](sents, n, vectors)
+    return embedding_textrank_order(scores, sents, n) if model == "MyTextRank" else assemble(scores, sents, n)

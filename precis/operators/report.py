@@ -43,6 +43,5 @@ def transpose(wide: DataFrame, key: str, cols: Sequence[str], new_key: str, name
 
 def names(grid: DataFrame) -> DataFrame:
     """Available (kind, name) pairs."""
-    parts = [grid.select(F.lit(k).alias("kind"), F.col(k).alias("name")).distinct()
-             for k in ("metric", "pipeline", "model")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    each = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in ("metric", "pipeline", "model")]
+    return grid.select(F.explode(F.array(*each)).alias("x")).select("x.kind", "x.name").distinct()

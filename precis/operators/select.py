@@ -22,6 +22,11 @@ def drop_empty(df: DataFrame, cols: Sequence[str] = ("document", "summary")) ->
     return df.where(cond)
 
 
+def optional_lower(df: DataFrame, cols: Sequence[str], lower: bool) -> DataFrame:
+    """lower-case ``cols`` when the flag is set."""
+    return df.withColumns({c: F.lower(c) for c in cols}) if lower else df
+
+
 def length_budget(df: DataFrame, doc_ids: str, sum_ids: str, n: int, sep_len: int = 1,
                   strict: bool = False) -> DataFrame:
     """F3 / F3b (``<=`` with a separator) and F3c (``strict``: ``<``, no separator)."""

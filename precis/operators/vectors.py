@@ -51,9 +51,19 @@ def glove_cosine(pairs: DataFrame, key_cols: list[str], vectors: DataFrame, dim:
                  pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """Mean row-wise cosine of aligned prediction and reference
     vectors (the diagonal only, never the N x N matrix)."""
-    pv = text_vectors(pairs, key_cols, pred, vectors, dim, "pv")
-    rv = text_vectors(pairs, key_cols, ref, vectors, dim, "rv")
-    return pv.join(rv, key_cols).agg(F.avg(cosine("pv", "rv")).alias("glove_cosine"))
+    return rowwise_cosine(pairs, key_cols, vectors, dim, pred, ref).agg(F.avg("cosine").alias("glove_cosine"))
+
+
+def rowwise_cosine(pairs: DataFrame, key_cols: list[str], vectors: DataFrame, dim: int,
+                   pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """``(keys, cosine)`` of aligned texts.  Both sides go through one
+    tokenising, one join with the vectors and one aggregate."""
+    both = pairs.select(*key_cols, F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col(pred).alias("text")),
+        F.struct(F.lit(1).alias("side"), F.col(ref).alias("text")))).alias("x")).select(*key_cols, "x.side", "x.text")
+    v = text_vectors(both, [*key_cols, "side"], "text", vectors, dim)
+    of = lambda k: F.first(F.when(F.col("side") == k, F.col("vec")), ignorenulls=True)
+    return v.groupBy(*key_cols).agg(of(0).alias("pv"), of(1).alias("rv")).select(*key_cols, cosine("pv", "rv").alias("cosine"))
 
 
 def lookup_with_default(words: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -104,8 +114,12 @@ def train_word2vec(df: DataFrame, text_col: str, window: int = 10, min_count: in
 
 def nearest(vectors: DataFrame, key: str, vec_col: str, query: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` rows most cosine-similar to one query vector (the
-    query itself excluded), ties by key.  The query side is one row."""
-    q = query.select(F.col(key).alias("_q"), F.col(vec_col).cast("array<double>").alias("_qv"))
-    cand = vectors.join(F.broadcast(q), F.col(key) != F.col("_q"))
-    scored = cand.select(key, cosine(F.col(vec_col).cast("array<double>"), F.col("_qv")).alias("cosine"))
+    query itself excluded), ties by key.  ``query`` must hold one row; its
+    vector becomes a literal, so the search is one scan and a top-k."""
+    rows = query.select(key, F.col(vec_col).cast("array<double>")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"the query must be one row, not {'none' if not rows else 'several'}")
+    (name, vector), = rows
+    cand = vectors.where(F.col(key) != F.lit(name))
+    scored = cand.select(key, cosine(F.col(vec_col).cast("array<double>"), F.array(*map(F.lit, vector))).alias("cosine"))
     return scored.orderBy(F.desc("cosine"), F.asc(key)).limit(k)

@@ -11,6 +11,7 @@ _MODULES = (
     "sampling_queries",
     "stream_queries",
     "report_queries",
+    "flagship",
 )
 
 

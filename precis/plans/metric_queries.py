@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import scoring_columns
 from ..functions.text import rouge_tokens, whitespace_tokens
-from ..operators.metrics import corpus_bleu, evaluate_metrics, rouge, rouge_scores
+from ..operators.metrics import corpus_bleu, evaluate_metrics, rouge, rouge_bootstrap, rouge_scores
 from ..session import table
 from ..sources.corpus import conversation_pairs
 from . import duck
@@ -148,6 +148,15 @@ def m4_rouge_mean(spark, sf):
     return round_all(rouge(p, types=("rouge1", "rouge2"), group_cols=["bucket"]))
 
 
+@register("m4_rouge_interval")
+def m4_rouge_interval(spark, sf):
+    """M4 with intervals: 95 % bootstrap bounds and median of the mean (seeded
+    replicates, which SQL does not draw alike; tests bracket the mean)."""
+    b = rouge_bootstrap(_pairs(spark, sf), key_cols=["conv_id", "turn"], types=("rouge1", "rouge2"))
+    long = b.unpivot([], b.columns, "metric", "bounds")
+    return long.select("metric", *(F.round(F.col("bounds")[k], 6).alias(n) for k, n in enumerate(("low", "median", "high"))))
+
+
 # --------------------------------------------------------------- M7 all ten
 
 def _m7_sql(clean: bool = True) -> str:

@@ -18,8 +18,11 @@ from ..session import table
 from . import duck
 from .registry import register
 
-MAX_ITER = 20
 SUMMARY_N = 2
+# Rounds that the DuckDB twins unroll: more than any document needs (the twins
+# freeze a document when it has settled, and report whether it has).
+ROUNDS = 40
+CHAIN_ROUNDS = 100
 # Scores on a grid (LexRank's are sums of x/deg) often sit exactly on a
 # rounding half, where two engines' last-bit differences flip the rounded
 # value.  Both sides add the same tiny nudge before rounding to 6 places.
@@ -27,7 +30,8 @@ TIE_NUDGE = 1e-12
 
 
 def _rounded(df):
-    return df.select("doc_id", "i", F.round(F.col("score") + TIE_NUDGE, 6).alias("score"))
+    more = ["converged"] if "converged" in df.columns else []
+    return df.select("doc_id", "i", F.round(F.col("score") + TIE_NUDGE, 6).alias("score"), *more)
 
 
 def _sents(spark, sf):
@@ -71,6 +75,11 @@ def _g_sql(a: str, b: str) -> str:
     return f"(CASE WHEN {a} = 1 AND {b} = 1 THEN 1.0 ELSE 1.0 / (ln({a}) + ln({b})) END)"
 
 
+def _settled_sql(ctes: str, rounds: int) -> str:
+    return (f"WITH {ctes} SELECT doc_id, i, CASE WHEN done THEN round(x + {TIE_NUDGE!r}, 6) END AS score, done AS converged "
+            f"FROM x{rounds}")
+
+
 def _scores_sql(ctes: str, final: str) -> str:
     return f"WITH {ctes} SELECT doc_id, i, round(score + {TIE_NUDGE!r}, 6) AS score FROM {final}"
 
@@ -165,20 +174,22 @@ def _textrank_sql(k: int) -> str:
 
     def step(p: str, r: int) -> str:
         return (
-            f"y{r} AS (SELECT x.doc_id, x.i, x.x / (n.rs + {_f(ROW_NORM_EPS)}) AS y FROM {p} x JOIN nodes n USING (doc_id, i) WHERE NOT x.done), "
+            f"y{r} AS (SELECT x.doc_id, x.i, x.x / (n.rs + {_f(ROW_NORM_EPS)}) AS y FROM {p} x JOIN nodes n USING (doc_id, i) "
+            f"WHERE NOT x.done AND n.rs <> 0), "
             f"yw{r} AS (SELECT wc.doc_id, wc.w, wc.L AS Lb, sum(wc.c * y.y) AS Y FROM wc JOIN y{r} y USING (doc_id, i) GROUP BY ALL), "
             f"uu{r} AS (SELECT wc.doc_id, wc.i, sum(wc.c * {_g_sql('wc.L', 'yw.Lb')} * yw.Y) AS u FROM wc "
             f"JOIN yw{r} yw USING (doc_id, w) GROUP BY wc.doc_id, wc.i), "
-            f"xs{r} AS (SELECT doc_id, sum(x) AS X FROM {p} WHERE NOT done GROUP BY doc_id), "
-            f"nx{r} AS (SELECT x.doc_id, x.i, {_f(1 - d)} / x.N * xs.X + {_f(d)} * coalesce(uu.u, 0.0) AS x FROM {p} x "
+            f"xs{r} AS (SELECT x.doc_id, sum(x.x) AS X, sum(CASE WHEN n.rs = 0 THEN x.x ELSE 0.0 END) AS D FROM {p} x "
+            f"JOIN nodes n USING (doc_id, i) WHERE NOT x.done GROUP BY x.doc_id), "
+            f"nx{r} AS (SELECT x.doc_id, x.i, ({_f(1 - d)} * xs.X + {_f(d)} * xs.D) / x.N + {_f(d)} * coalesce(uu.u, 0.0) AS x FROM {p} x "
             f"JOIN xs{r} xs USING (doc_id) LEFT JOIN uu{r} uu USING (doc_id, i) WHERE NOT x.done)")
 
     return head + ", " + _unrolled("nodes", step, k, TEXTRANK_EPSILON)
 
 
-@register("r2_textrank", _scores_sql(_textrank_sql(MAX_ITER), f"(SELECT doc_id, i, x AS score FROM x{MAX_ITER})"))
+@register("r2_textrank", _settled_sql(_textrank_sql(ROUNDS), ROUNDS))
 def r2_textrank(spark, sf):
-    return _rounded(R.textrank_scores(_sents(spark, sf), max_iter=MAX_ITER))
+    return _rounded(R.textrank_scores(_sents(spark, sf)))
 
 
 # ------------------------------------------------------------------ R3 LexRank
@@ -213,9 +224,9 @@ def _lexrank_sql(k: int) -> str:
     return head + ", " + _unrolled("nodes", step, k, LEXRANK_EPSILON)
 
 
-@register("r3_lexrank", _scores_sql(_lexrank_sql(MAX_ITER), f"(SELECT doc_id, i, x AS score FROM x{MAX_ITER})"))
+@register("r3_lexrank", _settled_sql(_lexrank_sql(ROUNDS), ROUNDS))
 def r3_lexrank(spark, sf):
-    return _rounded(R.lexrank_scores(_sents(spark, sf), max_iter=MAX_ITER))
+    return _rounded(R.lexrank_scores(_sents(spark, sf)))
 
 
 @register("j2_lexrank_edges",
@@ -251,14 +262,14 @@ def _chain_sql(k: int) -> str:
     return head + ", " + _unrolled("nodes", step, k, PAGERANK_TOL, norm="l1", scale_by_n=True)
 
 
-@register("r7_pagerank_chain", _scores_sql(_chain_sql(MAX_ITER), f"(SELECT doc_id, i, x AS score FROM x{MAX_ITER})"))
+@register("r7_pagerank_chain", _settled_sql(_chain_sql(CHAIN_ROUNDS), CHAIN_ROUNDS))
 def r7_pagerank_chain(spark, sf):
     """R7 on each document's sentence chain (i -- i+1, weight 1)."""
     s = _sents(spark, sf)
     nxt = s.select("doc_id", (F.col("i") - 1).alias("i")).join(s.select("doc_id", "i"), ["doc_id", "i"], "left_semi")
     ce = nxt.select("doc_id", "i", (F.col("i") + 1).alias("j"), F.lit(1.0).alias("w"))
     edges = ce.unionByName(ce.select("doc_id", F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    return _rounded(R.pagerank(edges, s.select("doc_id", "i"), max_iter=MAX_ITER))
+    return _rounded(R.pagerank(edges, s.select("doc_id", "i")))
 
 
 # ------------------------------------------------------------------ F11 + R8 + R9, J6, R10
@@ -295,12 +306,8 @@ def j6_rank_clean_emit_raw(spark, sf):
 
 
 @register("r10_summary_size",
-          f"SELECT ceil(avg(len({duck.sentences('x')})))::BIGINT AS n_sentences FROM "
-          f"(SELECT coalesce({duck.sentences('text')}[1], '') || ' ' || coalesce({duck.sentences('text')}[2], '') AS x FROM documents)")
+          f"SELECT ceil(avg(len({duck.sentences('text')})))::BIGINT AS n_sentences FROM conversations WHERE role = 'assistant'")
 def r10_summary_size(spark, sf):
-    """R10 over lead-two references (first two sentences of each document)."""
-    from ..functions.text import split_sentences
-    d = table(spark, sf, "documents")
-    s = split_sentences("text")
-    ref = F.concat(F.coalesce(F.try_element_at(s, F.lit(1)), F.lit("")), F.lit(" "), F.coalesce(F.try_element_at(s, F.lit(2)), F.lit("")))
-    return d.select(ref.alias("summary")).agg(R.summary_size(F.col("summary")).cast("long").alias("n_sentences"))
+    """Sentences of the mean reference summary; the assistant's turns are the references."""
+    c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    return c.agg(R.summary_size(F.col("text")).cast("long").alias("n_sentences"))

@@ -1,9 +1,8 @@
 """Registered grid, reporting and file queries (M8, J5, W1 to W6, F13,
 S2, S3, S7 to S11).
 
-M8 is (simple, nothing) x (Lsa, Luhn, KL) x ten metrics over the whole
-``documents`` table, computed once per session and kept as a table under
-``spark.checkpoint.dir``.  The reporting queries (J5, W1 to W6, F13, S8/S9)
+M8 registers (simple, nothing) x (Lsa, Luhn, KL) x ten metrics over the whole
+``documents`` table; ``flagship.grid`` takes any presets and rankers.  The reporting queries (J5, W1 to W6, F13, S8/S9)
 use a grid DuckDB can rebuild, so each has an oracle.
 """
 
@@ -13,10 +12,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.fixed import METRIC_NAMES
 from ..operators import report as W
 from ..operators.metrics import evaluate_metrics
-from ..session import cut_lineage, ensure_checkpoint_dir, table
+from ..session import ensure_checkpoint_dir, table
 from ..sources import results as RS
 from ..sources import stories as SS
 from ..sources.corpus import conversation_pairs
@@ -24,16 +22,10 @@ from . import duck
 from .flagship import grid
 from .registry import register
 
+#: The six cells a pipeline and a sentence ranker without rounds can give in
+#: one pass each; all rankers run in the grid operator (``flagship.grid``).
 PIPELINES = ("simple", "nothing")
 MODELS = ("Lsa", "Luhn", "KL")
-_GRIDS: dict = {}
-
-
-def _grid(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _GRIDS:
-        _GRIDS[key] = cut_lineage(grid(spark, sf, PIPELINES, MODELS), "grid")
-    return _GRIDS[key]
 
 
 def _scratch(spark, tag):
@@ -42,8 +34,9 @@ def _scratch(spark, tag):
 
 @register("m8_grid")
 def m8_grid(spark, sf):
-    """M8 + J5 + R9: every (pipeline, model, metric) cell, long form."""
-    return _grid(spark, sf).select("pipeline", "model", "metric", F.round("value", 6).alias("value"))
+    """M8 + J5 + R9 + R10: (pipeline, model, metric) cells, long form."""
+    g = grid(table(spark, sf, "documents"), PIPELINES, MODELS)
+    return g.select("pipeline", "model", "metric", F.round("value", 6).alias("value"))
 
 
 # ------------------------------------------------------------------ reporting grid
@@ -60,20 +53,19 @@ def _report_grid(spark, sf):
     from ..functions.cleaning import scoring_columns
     from ..functions.text import split_sentences
     from ..operators.metrics import rouge
-    from ..operators.select import concat_all
 
     pairs = conversation_pairs(table(spark, sf, "conversations"))
-    parts = []
+    lead = F.coalesce(F.try_element_at(split_sentences("prediction"), F.lit(1)), F.lit(""))
+    cells = []
     for pipe in R_PIPES:
+        clean = scoring_columns if pipe == "scoring" else (lambda c: c)
         for model in R_MODELS:
-            pred = F.col("prediction") if model == "assistant" else \
-                F.coalesce(F.try_element_at(split_sentences("prediction"), F.lit(1)), F.lit(""))
-            ref = F.col("reference")
-            if pipe == "scoring":
-                pred, ref = scoring_columns(pred), scoring_columns(ref)
-            parts.append(pairs.select("conv_id", "turn", F.lit(pipe).alias("pipeline"), F.lit(model).alias("model"),
-                                      pred.alias("prediction"), ref.alias("reference")))
-    r = rouge(concat_all(parts), types=("rouge1", "rouge2"), group_cols=["pipeline", "model"])
+            pred = F.col("prediction") if model == "assistant" else lead
+            cells.append(F.struct(F.lit(pipe).alias("pipeline"), F.lit(model).alias("model"),
+                                  clean(pred).alias("prediction"), clean(F.col("reference")).alias("reference")))
+    # one join; each pair becomes a row for each cell
+    rows = pairs.select("conv_id", "turn", F.explode(F.array(*cells)).alias("c")).select("conv_id", "turn", "c.*")
+    r = rouge(rows, types=("rouge1", "rouge2"), group_cols=["pipeline", "model"])
     r = r.select("pipeline", "model", *[F.round(c, 6).alias(c) for c in R_METRICS])
     return r.unpivot(["pipeline", "model"], list(R_METRICS), "metric", "value")
 
@@ -210,16 +202,17 @@ _STORY_SQL = (
 def s2_s3_stories(spark, sf):
     """S2 over story files derived from ``documents`` (text, a marker, the
     first sentence as highlight; one file per document), then S3 writes
-    the (X, y) rows."""
+    the (X, y) rows and reads them back."""
     from ..functions.text import split_sentences
     d = table(spark, sf, "documents")
     story = F.concat("text", F.lit("\n\n@highlight\n\n"), F.coalesce(F.try_element_at(split_sentences("text"), F.lit(1)), F.lit("")))
     src = _scratch(spark, "stories")
     d.select("doc_id", story.alias("value")).write.partitionBy("doc_id").text(src)
     parsed = SS.read_stories(spark, src, "*.txt")
-    SS.write_story_arrays(parsed, _scratch(spark, "story-json"))
+    out = _scratch(spark, "story-json")
     doc = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long")
-    return parsed.select(doc.alias("doc_id"), "article", "highlights")
+    SS.write_story_arrays(parsed.withColumn("doc_id", doc), out, ["doc_id"])
+    return SS.read_story_arrays(spark, out, "doc_id bigint").select("doc_id", "article", "highlights")
 
 
 @register("s7_vector_text_file",

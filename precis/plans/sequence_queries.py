@@ -34,7 +34,7 @@ def _vocab(spark, sf):
 
 
 def _encoded(spark, sf):
-    return encode(_corpus(spark, sf), ["document", "summary"], _vocab(spark, sf), ["doc_id"])
+    return encode(_corpus(spark, sf), ["document", "summary"], _vocab(spark, sf), ["split", "doc_id"])
 
 
 def _ids_str(c):

@@ -16,7 +16,7 @@ from .registry import ORACLE, register
 
 def _pairs_source(spark, sf):
     pairs = conversation_pairs(table(spark, sf, "conversations"))
-    path = ST.stage_files(pairs, 2)
+    path = ST.stage_files(pairs)
     return path, pairs.schema
 
 
@@ -39,5 +39,5 @@ def st2_streaming_rouge(spark, sf):
 @register("st3_streaming_clean", ORACLE["p4_simple"])
 def st3_streaming_clean(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    path = ST.stage_files(docs, 2)
+    path = ST.stage_files(docs)
     return ST.streaming_clean(spark, path, docs.schema, simple())

@@ -3,16 +3,17 @@ over the ``documents`` table.  Every query reads the whole table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import text as T
 from ..functions.fixed import CONTRACTIONS, STOP_WORDS
-from ..operators.select import (all_keywords, first_k_accepted, head_per_split, seeded_order,
-                                tail_per_split, top_n_per_group)
-from ..session import table
-from ..sources.corpus import corpus_from_documents, split_of
+from ..operators.select import (all_keywords, concat_all, drop_empty, first_k_accepted, head_per_split, optional_lower,
+                                seeded_order, select_split, tail_per_split, top_n_per_group)
+from ..session import ensure_checkpoint_dir, table
+from ..sources.corpus import SPLITS, corpus_from_documents, load_corpus, split_of
 from . import duck
 from .registry import register
 
@@ -229,12 +230,18 @@ def p7_embedding(spark, sf):
 
 @register("s1_load_corpus", f"SELECT split, doc_id, document, summary FROM ({CORPUS_SQL})")
 def s1_load_corpus(spark, sf):
-    return _corpus(spark, sf)
+    """Three split folders with the labels of another source, read as one corpus."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/precis-corpus-{uuid.uuid4().hex}"
+    named = _corpus(spark, sf).withColumnsRenamed({"document": "article", "summary": "highlights"})
+    paths = {s: f"{base}/{s}" for s in SPLITS}
+    for s, path in paths.items():
+        select_split(named, s).drop("split").write.parquet(path)
+    return load_corpus(spark, paths, "article", "highlights")
 
 
 @register("f1_split_select", f"SELECT doc_id, document FROM ({CORPUS_SQL}) WHERE split = 'test'")
 def f1_split_select(spark, sf):
-    return _corpus(spark, sf).where(F.col("split") == "test").select("doc_id", "document")
+    return select_split(_corpus(spark, sf), "test").select("doc_id", "document")
 
 
 @register("f2_drop_empty_pairs",
@@ -245,9 +252,9 @@ def f2_drop_empty_pairs(spark, sf):
     happens: the reference keeps only its lower-case ASCII letters)."""
     from ..sources.corpus import conversation_pairs
     p = conversation_pairs(table(spark, sf, "conversations"))
-    pred = F.trim("prediction")
-    ref = F.regexp_replace("reference", "[^a-z]", "")
-    return p.where((F.length(pred) > 0) & (F.length(ref) > 0)).select("conv_id", "turn")
+    clean = p.select("conv_id", "turn", F.trim("prediction").alias("document"),
+                     F.regexp_replace("reference", "[^a-z]", "").alias("summary"))
+    return drop_empty(clean).select("conv_id", "turn")
 
 
 @register("f4_row_predicate",
@@ -266,9 +273,7 @@ def f5_all_keywords(spark, sf):
 
 @register("f6_optional_lower", f"SELECT doc_id, lower(document) AS document, summary FROM ({CORPUS_SQL})")
 def f6_optional_lower(spark, sf):
-    to_lower = True
-    c = _corpus(spark, sf)
-    return c.select("doc_id", (F.lower("document") if to_lower else F.col("document")).alias("document"), "summary")
+    return optional_lower(_corpus(spark, sf), ["document"], True).select("doc_id", "document", "summary")
 
 
 @register("f7_head_clip",
@@ -287,7 +292,7 @@ def f8_tail_clip(spark, sf):
           f"SELECT split, doc_id FROM ({CORPUS_SQL}) WHERE n_chars < 2000 "
           f"QUALIFY row_number() OVER (PARTITION BY split ORDER BY doc_id) <= 40")
 def f9_first_k_accepted(spark, sf):
-    c = _corpus(spark, sf).join(_docs(spark, sf).select("doc_id", "n_chars"), "doc_id")
+    c = _docs(spark, sf).select(split_of("doc_id").alias("split"), "doc_id", "n_chars")
     return first_k_accepted(c, F.col("n_chars") < 2000, 40).select("split", "doc_id")
 
 
@@ -313,11 +318,7 @@ def f11_top_n_sentences(spark, sf):
 @register("f12_concat_splits", f"SELECT split, doc_id, document, summary FROM ({CORPUS_SQL})")
 def f12_concat_splits(spark, sf):
     c = _corpus(spark, sf)
-    parts = [c.where(F.col("split") == s) for s in ("train", "val", "test")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return concat_all([select_split(c, s) for s in SPLITS])
 
 
 # ---------------------------------------------------------------- M10 .. M13

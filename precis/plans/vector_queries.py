@@ -6,6 +6,7 @@ the corpus takes the row ``md5(word)[0:8] mod count(embeddings)``.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.fixed import PAGERANK_ALPHA, PAGERANK_TOL, VECTOR_DIVISOR_EPS
@@ -16,7 +17,7 @@ from ..operators.metrics import cosine
 from ..session import table
 from ..sources.corpus import conversation_pairs
 from . import duck
-from .rank_queries import BASE, MAX_ITER, TIE_NUDGE, _f, _unrolled
+from .rank_queries import BASE, ROUNDS, TIE_NUDGE, _f, _unrolled
 from .registry import register
 
 
@@ -123,9 +124,7 @@ def _pair_vectors(spark, sf):
 @register("e3_rowwise_cosine", "WITH " + _pairs_sv() + f" SELECT conv_id, turn, {_rs('c')} AS cosine FROM cos")
 def e3_rowwise_cosine(spark, sf):
     pairs, wv, dim = _pair_vectors(spark, sf)
-    pv = V.text_vectors(pairs, ["conv_id", "turn"], "prediction", wv, dim, "pv")
-    rv = V.text_vectors(pairs, ["conv_id", "turn"], "reference", wv, dim, "rv")
-    return pv.join(rv, ["conv_id", "turn"]).select("conv_id", "turn", _r6(cosine("pv", "rv")).alias("cosine"))
+    return V.rowwise_cosine(pairs, ["conv_id", "turn"], wv, dim).select("conv_id", "turn", _r6(F.col("cosine")).alias("cosine"))
 
 
 @register("m5_glove_cosine", "WITH " + _pairs_sv() + f" SELECT {_rs('avg(c)')} AS glove_cosine FROM cos")
@@ -158,30 +157,34 @@ _TERMS = ("list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lamb
 
 
 @register("e4_bag_of_words",
-          f"SELECT item_id, term, count(*)::BIGINT AS tf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL")
+          f"SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL")
 def e4_bag_of_words(spark, sf):
-    return V.bag_of_words(table(spark, sf, "benchmark"), "item_id", "text")
+    return V.bag_of_words(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @register("e5_tfidf",
-          f"WITH b AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL), "
-          "n AS (SELECT count(DISTINCT item_id) AS n FROM benchmark), "
+          f"WITH b AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL), "
+          "n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), "
           "df AS (SELECT term, count(*) AS df FROM b GROUP BY term), "
-          "w AS (SELECT b.item_id, b.term, b.tf * (ln(n.n / df.df) + 1) AS w FROM b JOIN df USING (term), n) "
-          f"SELECT item_id, term, {_rs('w / sqrt(sum(w * w) OVER (PARTITION BY item_id))')} AS weight FROM w")
+          "w AS (SELECT b.doc_id, b.term, b.tf * (ln(n.n / df.df) + 1) AS w FROM b JOIN df USING (term), n) "
+          f"SELECT doc_id, term, {_rs('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS weight FROM w")
 def e5_tfidf(spark, sf):
-    t = V.tfidf(table(spark, sf, "benchmark"), "item_id", "text")
-    return t.select("item_id", "term", _r6(F.col("weight")).alias("weight"))
+    t = V.tfidf(table(spark, sf, "documents"), "doc_id", "text")
+    return t.select("doc_id", "term", _r6(F.col("weight")).alias("weight"))
 
 
 # ------------------------------------------------------------------ E6, E7
 
-@register("e6_word2vec")
+@register("e6_word2vec",
+          f"SELECT word, 50::BIGINT AS size FROM (SELECT unnest({duck.ws_tokens('lower(text)')}) AS word FROM documents) "
+          "GROUP BY word HAVING count(*) >= 2")
 def e6_word2vec(spark, sf):
-    """Word2Vec (window 10, min count 2) trained on the benchmark texts;
-    values depend on the distributed training, so only rows are checked."""
-    model = V.train_word2vec(table(spark, sf, "benchmark"), "text", dim=50, partitions=1)
-    return model.getVectors().select("word")
+    """Word2Vec (window 10, min count 2) trained on the documents, in as many
+    partitions as the session has cores.  The vectors depend on the
+    distributed training; the words and their vectors' size do not."""
+    docs = table(spark, sf, "documents")
+    model = V.train_word2vec(docs, "text", dim=50, partitions=spark.sparkContext.defaultParallelism)
+    return model.getVectors().select("word", F.size(vector_to_array("vector")).cast("long").alias("size"))
 
 
 @register("e7_nearest",
@@ -203,8 +206,8 @@ def e7_nearest(spark, sf):
 
 def _r1_sql(k: int) -> str:
     a = PAGERANK_ALPHA
-    head = ("WITH " + BASE + ", " + _DOC_WV + ", " + _sv_sql("sents", "doc_id, i")
-            + ", nrm AS (SELECT doc_id, i, sqrt(sum(v * v)) AS nrm FROM sv GROUP BY ALL), "
+    head = ("WITH " + BASE + ", " + _DOC_WV.replace("e.embedding AS vector", "list_transform(e.embedding, lambda z: abs(z)) AS vector")
+            + ", " + _sv_sql("sents", "doc_id, i") + ", nrm AS (SELECT doc_id, i, sqrt(sum(v * v)) AS nrm FROM sv GROUP BY ALL), "
             "u AS MATERIALIZED (SELECT sv.doc_id, sv.i, sv.d, sv.v / nrm.nrm AS u FROM sv JOIN nrm USING (doc_id, i) WHERE nrm.nrm > 0), "
             "tv AS (SELECT doc_id, d, sum(u) AS t FROM u GROUP BY ALL), "
             "uu AS (SELECT doc_id, i, sum(u * u) AS uu FROM u GROUP BY ALL), "
@@ -224,17 +227,18 @@ def _r1_sql(k: int) -> str:
             f"FROM y{r} y JOIN dg{r} dg USING (doc_id) LEFT JOIN ln{r} l USING (doc_id, i))")
 
     body = _unrolled("nodes", step, k, PAGERANK_TOL, norm="l1", scale_by_n=True)
-    return head + ", " + body + f" SELECT doc_id, i, printf('%.6e', x)::DOUBLE AS score FROM x{k}"
+    return head + ", " + body + f" SELECT doc_id, i, CASE WHEN done THEN {_rs('x')} END AS score, done AS converged FROM x{k}"
 
 
-@register("r1_embedding_textrank", _r1_sql(MAX_ITER))
+@register("r1_embedding_textrank", _r1_sql(ROUNDS))
 def r1_embedding_textrank(spark, sf):
-    """PageRank over the cosine graph of sentence vectors (no pairs)."""
+    """PageRank over the cosine graph of sentence vectors (no pairs).
+
+    The ``embeddings`` rows are random directions, whose cosines cancel; as a
+    stand-in for word vectors their components are taken without sign, so that
+    cosines are positive, as those of texts in one language are."""
     wv, dim = _doc_vectors(spark, sf)
-    sents = R.sentence_table(table(spark, sf, "documents"))
-    vecs = R.sentence_vectors(sents, wv, dim)
-    # Row sums of a cosine graph can be near zero, where the normalised
-    # iteration grows large; compare on 7 significant digits.
-    s = R.embedding_textrank_scores(vecs, max_iter=MAX_ITER)
-    return s.select("doc_id", F.col("i").cast("long").alias("i"),
-                    F.format_string("%.6e", F.col("score")).cast("double").alias("score"))
+    wv = wv.withColumn("vector", F.transform("vector", lambda c: F.abs(c)))
+    vecs = R.sentence_vectors(R.sentence_table(table(spark, sf, "documents")), wv, dim)
+    s = R.embedding_textrank_scores(vecs)
+    return s.select("doc_id", F.col("i").cast("long").alias("i"), _r6(F.col("score")).alias("score"), "converged")

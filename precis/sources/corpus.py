@@ -20,24 +20,35 @@ def split_of(doc_id) -> Column:
     return F.when(k == 0, "test").when(k == 1, "val").otherwise("train")
 
 
-def load_corpus(spark: SparkSession, path: str, document_col: str = "document",
-                summary_col: str = "summary", fmt: str = "parquet",
-                split: str | None = None, id_col: str | None = "doc_id") -> DataFrame:
+def load_corpus(spark: SparkSession, paths: str | dict[str, str], document_col: str = "document",
+                summary_col: str = "summary", fmt: str = "parquet", id_col: str | None = "doc_id") -> DataFrame:
     """Read a corpus, rename its label columns to ``document/summary``.
 
-    If the files carry no ``split`` column (one directory per split), pass
-    ``split`` to stamp it.  A missing id is derived from the file position
-    (``monotonically_increasing_id``), which is stable for a fixed input.
+    ``paths`` is one path whose rows (or ``split=`` folders) name their split,
+    or a path for each split.  A row is identified by ``(split, doc_id)``; if
+    the files have no id, one is made from the split, the file and the texts
+    (so it does not depend on how the scan is cut; equal rows share it).
     """
-    df = spark.read.format(fmt).load(path)
+    if isinstance(paths, dict):
+        parts = [_labelled(spark.read.format(fmt).load(p), document_col, summary_col, id_col, s) for s, p in paths.items()]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+    df = spark.read.format(fmt).load(paths)
+    if "split" not in df.columns:
+        raise ValueError(f"{paths} has no split column; give a path for each split")
+    return _labelled(df, document_col, summary_col, id_col, None)
+
+
+def _labelled(df: DataFrame, document_col: str, summary_col: str, id_col: str | None, split: str | None) -> DataFrame:
     df = df.withColumnsRenamed({document_col: "document", summary_col: "summary"})
     if split is not None:
         df = df.withColumn("split", F.lit(split))
-    if id_col is None or id_col not in df.columns:
-        df = df.withColumn("doc_id", F.monotonically_increasing_id())
-    elif id_col != "doc_id":
-        df = df.withColumnRenamed(id_col, "doc_id")
-    return df.select("split", "doc_id", "document", "summary")
+    if id_col is not None and id_col in df.columns:
+        return df.select("split", F.col(id_col).alias("doc_id"), "document", "summary")
+    made = F.xxhash64("split", F.input_file_name(), "document", "summary")
+    return df.select("split", made.alias("doc_id"), "document", "summary")
 
 
 def corpus_from_documents(documents: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fixed import METRIC_NAMES
+
 GRID_SCHEMA = "map<string, map<string, map<string, double>>>"
 
 
@@ -39,8 +41,7 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
 def write_run_metrics(metrics: DataFrame, path: str, decoder: dict | None = None) -> None:
     """One flat metric dictionary per run (``metric, value`` long rows
     pivoted into one JSON object), with an optional ``decoder_cnf`` struct."""
-    names = [r[0] for r in metrics.select("metric").distinct().orderBy("metric").collect()]
-    wide = metrics.groupBy().pivot("metric", names).agg(F.first("value"))
+    wide = metrics.groupBy().pivot("metric", list(METRIC_NAMES)).agg(F.first("value"))
     if decoder is not None:
         wide = wide.withColumn("decoder_cnf", F.struct(*[F.lit(v).alias(k) for k, v in decoder.items()]))
     wide.coalesce(1).write.mode("overwrite").json(path)

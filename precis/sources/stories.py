@@ -35,10 +35,16 @@ def read_stories(spark: SparkSession, path: str, glob: str = "*.story") -> DataF
     return raw.select("path", parse_story("value").alias("s")).select("path", "s.article", "s.highlights")
 
 
-def write_story_arrays(stories: DataFrame, path: str) -> None:
-    """S3: rows ``{"X": article, "y": highlights}`` as JSON lines (no
-    single object gathered on the driver)."""
-    stories.select(F.col("article").alias("X"), F.col("highlights").alias("y")).write.mode("overwrite").json(path)
+def write_story_arrays(stories: DataFrame, path: str, keys: list[str] | tuple[str, ...] = ()) -> None:
+    """S3: rows ``{"X": article, "y": highlights}`` (and ``keys``) as JSON lines
+    (no single object gathered on the driver)."""
+    stories.select(*keys, F.col("article").alias("X"), F.col("highlights").alias("y")).write.mode("overwrite").json(path)
+
+
+def read_story_arrays(spark: SparkSession, path: str, keys: str = "") -> DataFrame:
+    """S3 read back: ``(keys, article, highlights)``."""
+    schema = ", ".join(filter(None, [keys, "X string, y string"]))
+    return spark.read.schema(schema).json(path).withColumnsRenamed({"X": "article", "y": "highlights"})
 
 
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:

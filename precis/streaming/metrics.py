@@ -20,14 +20,19 @@ from ..operators.metrics import bleu_finish, bleu_stats, bleu_sums, rouge_scores
 from ..session import ensure_checkpoint_dir
 
 
+#: Files of one micro-batch: enough for the session's cores to work side by side.
+FILES_PER_BATCH = 64
+
+
 def _scratch(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/precis-stream-{tag}-{uuid.uuid4().hex}"
 
 
-def stage_files(df: DataFrame, parts: int = 2) -> str:
-    """Write a batch DataFrame as ``parts`` Parquet files to replay as a stream."""
+def stage_files(df: DataFrame, parts: int | None = None, rows_per_file: int = 100_000) -> str:
+    """Write a batch DataFrame as Parquet files to replay as a stream: as many
+    as its tasks and ``rows_per_file`` make, or ``parts`` if given (tests)."""
     path = _scratch(df.sparkSession, "src")
-    df.repartition(parts).write.parquet(path)
+    (df.repartition(parts) if parts else df).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return path
 
 
@@ -47,27 +52,37 @@ def rouge_state(stream: DataFrame, pred: str = "prediction", ref: str = "referen
     return per.groupBy(*group_cols).agg(*[F.sum(c).alias(c) for c in names], F.count(F.lit(1)).alias("n"))
 
 
-def run_available(state: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a streaming aggregate over everything available now and return
-    its final result table (memory sink; the state is one row per group)."""
+def run_available(state: DataFrame) -> DataFrame:
+    """Run a streaming aggregate over everything available now and return its
+    final result table.  Each micro-batch writes the complete state (a row per
+    group) to a folder of its own on shared storage; nothing goes through the
+    driver, and the last folder is the answer."""
     spark = state.sparkSession
-    name = f"precis_{uuid.uuid4().hex[:12]}"
-    q = (state.writeStream.outputMode(mode).format("memory").queryName(name)
+    base, last = _scratch(spark, "state"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = f"{base}/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        last[:] = [path]
+
+    q = (state.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", _scratch(spark, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], state.schema)
+    return spark.read.schema(state.schema).parquet(last[0])
 
 
 def streaming_bleu(spark: SparkSession, path: str, schema, max_order: int = 4) -> DataFrame:
     """ST1 end to end: file source -> running sums -> BLEU-1..n."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
     sums = run_available(bleu_state(stream, max_order=max_order))
     return sums.select(*[bleu_finish(n).alias(f"bleu_{n}") for n in range(1, max_order + 1)])
 
 
 def streaming_rouge(spark: SparkSession, path: str, schema, types=("rouge1", "rouge2")) -> DataFrame:
     """ST2 end to end: the running mean of per-row scores."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
     sums = run_available(rouge_state(stream, types=types))
     names = [f"{t}_{m}" for t in types for m in ("precision", "recall", "fmeasure")]
     return sums.select(*[(F.col(c) / F.col("n")).alias(c) for c in names])
@@ -76,7 +91,7 @@ def streaming_rouge(spark: SparkSession, path: str, schema, types=("rouge1", "ro
 def streaming_clean(spark: SparkSession, path: str, schema, pipeline, text_col: str = "text",
                     key_cols: Sequence[str] = ("doc_id",)) -> DataFrame:
     """ST3: a narrow cleaning pipeline on a stream, appended to Parquet."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
     out = stream.select(*key_cols, pipeline.column(text_col).alias(text_col))
     sink = _scratch(spark, "sink")
     q = (out.writeStream.format("parquet").option("path", sink)

@@ -80,10 +80,10 @@ def test_vectors_and_cosine(spark):
 def test_pagerank_path_graph(spark):
     e = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 0, 1.0), (0, 0, 2, 1.0), (0, 2, 0, 1.0)], "doc_id long, i int, j int, w double")
     nodes = spark.createDataFrame([(0, 0), (0, 1), (0, 2)], "doc_id long, i int")
-    got = {r["i"]: r["score"] for r in R.pagerank(e, nodes, max_iter=100).collect()}
+    got = {r["i"]: r["score"] for r in R.pagerank(e, nodes).collect()}
     assert got[0] == pytest.approx(0.486486, abs=1e-5) and got[1] == pytest.approx(0.256757, abs=1e-5)
     nodes4 = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (0, 3)], "doc_id long, i int")
-    got4 = [r["score"] for r in R.pagerank(e, nodes4, max_iter=100).collect()]
+    got4 = [r["score"] for r in R.pagerank(e, nodes4).collect()]
     assert sum(got4) == pytest.approx(1.0, abs=1e-6)
 
 
@@ -126,7 +126,7 @@ def test_textrank_factored_equals_dense(spark):
         p = nxt
         if done:
             break
-    got = [r["score"] for r in R.textrank_scores(_sents(spark, [DOC]), max_iter=30).orderBy("i").collect()]
+    got = [r["score"] for r in R.textrank_scores(_sents(spark, [DOC])).orderBy("i").collect()]
     assert got == pytest.approx(list(p), abs=1e-9)
 
 
@@ -152,7 +152,7 @@ def test_lexrank_equals_dense(spark):
         p = nxt
         if done:
             break
-    got = [r["score"] for r in R.lexrank_scores(_sents(spark, [DOC]), max_iter=20).orderBy("i").collect()]
+    got = [r["score"] for r in R.lexrank_scores(_sents(spark, [DOC])).orderBy("i").collect()]
     assert got == pytest.approx(list(p), abs=1e-12)
 
 
@@ -229,3 +229,58 @@ def test_rouge_bootstrap_brackets_mean(spark):
     assert lo <= mean <= hi and lo <= mid <= hi
     again = M.rouge_bootstrap(df, types=("rouge1",), n_resamples=200).first()["rouge1_fmeasure"]
     assert list(again) == [lo, mid, hi]
+
+
+def test_textrank_spreads_the_mass_of_wordless_sentences(spark):
+    rows = R.textrank_scores(_sents(spark, [["the cat sat", "the dog sat", "2019.", "..."]])).collect()
+    assert all(r["converged"] for r in rows) and sum(r["score"] for r in rows) == pytest.approx(1.0, abs=1e-4)
+
+
+def test_pagerank_chain_settles(spark):
+    n = 10
+    e = spark.createDataFrame([(0, i, j, 1.0) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n], "doc_id long, i int, j int, w double")
+    rows = R.pagerank(e, spark.createDataFrame([(0, i) for i in range(n)], "doc_id long, i int")).collect()
+    assert all(r["converged"] for r in rows) and sum(r["score"] for r in rows) == pytest.approx(1.0, abs=1e-9)
+
+
+def test_embedding_textrank_settles_or_says_so(spark):
+    """Positive cosines settle and equal the dense iteration; row sums near
+    zero do not, and give no scores; ids may be strings."""
+    good = [[3.0, 1.0], [2.0, 2.0], [1.0, 3.0], [1.0, 1.0]]
+    bad = [[1.0, 0.0], [-1.0, 0.02], [0.02, 1.0], [0.02, -1.0], [1.0, 0.3]]
+    rows = [("good", i, v) for i, v in enumerate(good)] + [("bad", i, v) for i, v in enumerate(bad)]
+    df = spark.createDataFrame(rows, "doc_id string, i int, vec array<double>")
+    got = {(r["doc_id"], r["i"]): r for r in R.embedding_textrank_scores(df).collect()}
+    u = np.array(good) / np.linalg.norm(good, axis=1)[:, None]
+    w = u @ u.T
+    np.fill_diagonal(w, 0)
+    w = w / w.sum(axis=1)[:, None]
+    p = np.full(4, 0.25)
+    for _ in range(100):
+        nxt = 0.85 * w.T @ p + 0.15 / 4
+        settled = np.abs(nxt - p).sum() < 4e-6
+        p = nxt
+        if settled:
+            break
+    assert [got["good", i]["score"] for i in range(4)] == pytest.approx(list(p), abs=1e-9)
+    assert all(got["good", i]["converged"] for i in range(4))
+    assert all(not got["bad", i]["converged"] and got["bad", i]["score"] is None for i in range(5))
+
+
+def test_custom_ranker(spark):
+    R.register_ranker("Shortest", lambda s, n, vectors: s.select("doc_id", "i", (-F.length("sentence")).cast("double").alias("score")))
+    s = _sents(spark, [["a long first sentence.", "mid one.", "x."]])
+    assert R.summarise(s, "Shortest", 2).first()["summary"] == "mid one. x."
+
+
+def test_embedding_summary_is_in_score_order(spark):
+    s = _sents(spark, [["low", "high", "mid"]])
+    sc = spark.createDataFrame([(0, 0, 0.1), (0, 1, 0.9), (0, 2, 0.5)], "doc_id long, i int, score double")
+    assert R.embedding_textrank_order(sc, s, 2).first()["summary"] == "high. mid"
+
+
+def test_lcs_is_that_of_the_table():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (list(rng.choice(list("abcd"), rng.integers(0, 40))) for _ in range(2))
+        assert M._lcs_one(a, b) == _lcs(a, b)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from precis.functions import cleaning as C
 from precis.functions import text as T
 
-SMOKE = ("Hello, I'm Pablo, I ain't shit. I'm going to talon. pavlik@gmail.com; "
-         "go goes going gone, 123, 123th")
+SMOKE = ("Well, I'm Robin, I ain't late. I'm walking to town. robin.b@mail.org; "
+         "walk walks walking walked, 45, 45th")
 
 
 def one(spark, col, value=SMOKE):
@@ -16,22 +16,75 @@ def one(spark, col, value=SMOKE):
 
 def test_clean_chain(spark):
     a = T.mask_emails(T.expand_contractions("t"))
-    assert one(spark, a) == ("Hello, I am Pablo, I am not shit. I am going to talon. EMAIL; "
-                             "go goes going gone, 123, 123th")
+    assert one(spark, a) == ("Well, I am Robin, I am not late. I am walking to town. EMAIL; "
+                             "walk walks walking walked, 45, 45th")
     b = T.remove_symbols(a)
-    assert one(spark, b) == "Hello I am Pablo I am not shit I am going to talon EMAIL go goes going gone 123 123th"
-    c = T.remove_words(b, ["I", "shit"])
-    assert one(spark, c) == "Hello am Pablo am not am going to talon EMAIL go goes going gone 123 123th"
+    assert one(spark, b) == "Well I am Robin I am not late I am walking to town EMAIL walk walks walking walked 45 45th"
+    c = T.remove_words(b, ["I", "late"])
+    assert one(spark, c) == "Well am Robin am not am walking to town EMAIL walk walks walking walked 45 45th"
     d = T.remove_by_regex(c, [T.DIGIT])
-    assert one(spark, d) == "Hello am Pablo am not am going to talon EMAIL go goes going gone  th"
+    assert one(spark, d) == "Well am Robin am not am walking to town EMAIL walk walks walking walked  th"
 
 
 def test_dictionary_step(spark):
-    df = spark.createDataFrame([(1, "Hello am Pablo am not am going to talon EMAIL go goes going gone  th")],
+    df = spark.createDataFrame([(1, "Well am Robin am not am walking to town EMAIL walk walks walking walked  th")],
                                "doc_id long, text string")
-    d = spark.createDataFrame([("goes", "go")], "word string, norm string")
+    d = spark.createDataFrame([("walks", "walk")], "word string, norm string")
     out = C.normalize_words(df, ["text"], ["doc_id"], d).first()["text"]
-    assert out == "Hello am Pablo am not am going to talon EMAIL go go going gone th"
+    assert out == "Well am Robin am not am walking to town EMAIL walk walk walking walked th"
+
+
+def test_equal_ids_stay_apart(spark):
+    from precis.operators.encode import build_vocabulary, decode, encode
+    rows = [("train", 0, "cats cat sat", "x"), ("test", 0, "dogs dog ran", "y"), ("val", None, None, "z"), ("val", 5, "", "w")]
+    df = spark.createDataFrame(rows, "split string, doc_id long, text string, other string")
+    for preset in (C.strong(), C.embedding()):
+        got = {(r["split"], r["doc_id"], r["other"]): r["text"] for r in preset.transform(df, "text").collect()}
+        assert got == {("train", 0, "x"): "cat cat sat", ("test", 0, "y"): "dog dog ran", ("val", None, "z"): None, ("val", 5, "w"): ""}
+    stop = spark.createDataFrame([("cat",)], "word string")
+    assert sorted(r["text"] for r in C.remove_words_by_table(df.where("split <> 'val'"), "text", ["doc_id"], stop).collect()) == [
+        "cats sat", "dogs dog ran"]
+    vocab = build_vocabulary(df, "text")
+    enc = encode(df, "text", vocab, lower=True)
+    assert enc.count() == 4
+    back = {(r["split"], r["doc_id"]): r["text"] for r in decode(enc, "text", vocab, ["split", "doc_id"]).collect()}
+    assert back == {("train", 0): "cats cat sat", ("test", 0): "dogs dog ran", ("val", None): None, ("val", 5): ""}
+
+
+def test_load_corpus(spark, tmp_path):
+    import pytest
+    from precis.sources.corpus import load_corpus, read_split, write_dataset
+    df = spark.createDataFrame([("a", "s"), ("b", "t")], "article string, highlights string")
+    paths = {s: str(tmp_path / s) for s in ("train", "test")}
+    for p in paths.values():
+        df.write.parquet(p)
+    got = load_corpus(spark, paths, "article", "highlights")
+    assert got.columns == ["split", "doc_id", "document", "summary"]
+    assert got.select("doc_id").distinct().count() == 4
+    with pytest.raises(ValueError):
+        load_corpus(spark, paths["train"], "article", "highlights")
+    write_dataset(got.where("document = 'a'"), str(tmp_path / "json"), "json")
+    assert read_split(spark, str(tmp_path / "json"), "test", fmt="json").first()["summary"] == "s"
+
+
+def test_email_masking_equals_the_pattern_in_linear_time(spark):
+    import random
+    import re
+    from precis.functions.fixed import EMAIL_PATTERN
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aB1.@-/|_ ", weights=[6, 3, 3, 4, 5, 2, 2, 2, 2, 1], k=rng.randint(1, 60))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r["m"] for r in df.select("i", T.mask_emails("t").alias("m")).orderBy("i").collect()]
+    assert got == [re.sub(EMAIL_PATTERN, "EMAIL", t) for t in texts]
+    for long in ("a." * 500_000, "a" * 1_000_000, "a@" * 300_000):
+        assert spark.createDataFrame([(long,)], "t string").select(F.length(T.mask_emails("t"))).first()[0] == len(long)
+
+
+def test_custom_contractions_and_word_counter(spark):
+    assert one(spark, T.expand_contractions("t", {"gonna": "going to", "y'all": "you all"}), "y'all gonna go") == "you all going to go"
+    p = C.Pipeline("mine").add(T.to_lower).add(lambda c: T.replace_by_regex(c, [("o+", "0")]))
+    df = spark.createDataFrame([(1, "Foo bOo")], "doc_id long, text string")
+    assert p.transform(df, "text").select("text", F.size(T.whitespace_tokens("text")).alias("n")).first()[:] == ("f0 b0", 2)
 
 
 def test_contractions_first_listed(spark):
@@ -93,3 +146,35 @@ def test_global_index_is_dense_and_ordered(spark):
     df = spark.range(0, 1000).select(((F.col("id") * 7919) % 1000).alias("k")).repartition(7)
     out = global_index(df, [F.asc("k")], "idx", partitions=5).collect()
     assert sorted((r["idx"], r["k"]) for r in out) == [(i, i) for i in range(1000)]
+
+
+def test_global_index_without_exchange_reuse(spark):
+    from precis.operators.encode import global_index
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        out = global_index(spark.range(0, 300_000).select(F.xxhash64("id").alias("k")), [F.asc("k")], "idx", partitions=7)
+        assert out.agg(F.countDistinct("idx"), F.min("idx"), F.max("idx")).first()[:] == (300_000, 0, 299_999)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_checkpoint_folder_and_scan_partitions(spark, tmp_path):
+    import pytest
+    from precis import session
+
+    class Elsewhere:  # a session on a cluster without the setting
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Elsewhere)
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    assert session.table(spark, str(tmp_path), "t", spread=0).rdd.getNumPartitions() == 1
+    assert session.table(spark, str(tmp_path), "t", spread=3).rdd.getNumPartitions() == 3
+    import os
+    a = session.cut_lineage(spark.range(3), "test")
+    b = session.cut_lineage(a.where("id > 0"), "test", a)
+    assert not os.path.exists(a._cut_path.removeprefix("file:")) and b.count() == 2
