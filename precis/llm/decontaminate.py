@@ -131,6 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a hit, all columns kept."""
     bad = materialise(contamination(docs, items, id_col, text_col, with_hash=True).where("contaminated")
-                      .select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct(), "contaminated")
+                      .select(F.col(id_col).alias("_contaminated_id"), F.col("th").alias("_contaminated_th")).distinct(), "contaminated")
     small = broadcast_if_small(bad, 200_000)
-    return docs.join(small, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")
+    return docs.join(small, F.col(id_col).eqNullSafe(F.col("_contaminated_id"))
+                     & (F.xxhash64(text_col) == F.col("_contaminated_th")), "left_anti")

@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], fraction: float = 0
     Null and empty texts have 0 tokens: they go with a whole epoch, or the
     prefix.  Null ids, languages and sources are values of their own; repeated
     rows count as often as they occur; empty tables give no rows.  Leaves of
-    weight 0 give nothing.
+    weight 0 and leaves without tokens give nothing.
     """
     own = [f"_own{i}" for i in range(len(docs.columns))] if with_columns else []
     rows = docs.select(

@@ -295,11 +295,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "th", "rid"))
     best = rows.groupBy("root").agg(first.alias("best"), F.count("*").alias("rows")).where("rows > 1")
     marked = rows.join(best, "root").withColumn("stays", F.col("rid") == F.col("best.rid"))
-    keys = materialise(marked.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(
-        F.max("stays").alias("_stays"), F.count("*").alias("_rows")).where("not _stays or _rows > 1"), "copies")
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th"))
+    keys = materialise(marked.groupBy(F.col("id").alias("_copy_id"), F.col("th").alias("_copy_th")).agg(
+        F.max("stays").alias("_copy_stays"), F.count("*").alias("_copy_rows")).where("not _copy_stays or _copy_rows > 1"), "copies")
+    match = F.col(id_col).eqNullSafe(F.col("_copy_id")) & (F.xxhash64(text_col) == F.col("_copy_th"))
     out = docs.join(broadcast_if_small(keys, 200_000), match, "left_anti")
-    repeated = keys.where("_stays")  # the row that stays has equal rows: take one of them
+    repeated = keys.where("_copy_stays")  # the row that stays has equal rows: take one of them
     if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, match).dropDuplicates(["_id", "_th"]).select(*docs.columns))
+        out = out.unionByName(docs.join(repeated, match).dropDuplicates(["_copy_id", "_copy_th"]).select(*docs.columns))
     return out

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from precis.llm.common import key_groups, materialise, text_rows
+from precis.llm.common import bit_filter, in_filter, key_groups, materialise, text_rows
 from precis.session import ensure_checkpoint_dir
 
 MAGIC = b"WARC/1.0\r\n"
@@ -44,33 +44,63 @@ def _record(kind: str, page: str | None, url: str | None, digest: str, n: int, r
     return MAGIC.decode() + "\r\n".join(head) + END.decode() + block.decode("utf-8", "replace")
 
 
+def _first_bits(digest: str) -> int:
+    """The first 64 bits of a digest, signed."""
+    return int.from_bytes(base64.b32decode(digest)[:8], "big", signed=True)
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    least: int = 0) -> None:
     """Write a record for each row, in as many files as there are tasks.
 
     Of rows with equal payloads of at least ``least`` bytes, the one with the
     largest id is a response and the others are revisits that refer to it.
-    Payloads travel compressed to where they meet the largest id.
+    Digests are counted first.  A filter of fixed size over those that repeat
+    then tells which rows cannot be among them: these are written where they
+    are read.  The others travel, compressed, to where they meet the largest id.
     """
     src = pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("id"),
                        F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("binary").alias("html"))
     kind = src.schema["id"].dataType.simpleString()
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_rows(batches, "html"):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page"), batch.column("id"), batch.column("url"),
-                 pa.array([payload_digest(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([pack(t) for t in texts], pa.binary())], names=["page", "id", "url", "digest", "n", "packed"])
-
-    rows = src.mapInArrow(digest, f"page string, id {kind}, url string, digest string, n bigint, packed binary")
-    # the digests are computed again rather than written: both readings give the same rows
-    last = rows.groupBy("digest", "n").agg(F.max("id").alias("last"), F.count("*").alias("m")).where(
-        (F.col("m") > 1) & (F.col("n") >= least)).select("digest", "n", "last")
-    rows = rows.join(last, ["digest", "n"], "left")
-    rows = rows.withColumn("kind", F.when(F.col("last").isNull() | F.col("id").eqNullSafe(F.col("last")), "response")
-                           .otherwise("revisit"))
+                [batch.column("id"), pa.array([payload_digest(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64())],
+                names=["id", "digest", "n"])
+
+    last = src.select("id", "html").mapInArrow(digests, f"id {kind}, digest string, n bigint").groupBy("digest", "n").agg(
+        F.max("id").alias("last"), F.count("*").alias("m")).where((F.col("m") > 1) & (F.col("n") >= least))
+    last = materialise(last.select("digest", "n", "last"), "warc-repeats")
+
+    def first_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(_first_bits, b.column(0).to_pylist()), pa.int64())], names=["h"])
+
+    bits = bit_filter(last.select("digest").mapInArrow(first_bits, "h bigint"), "h")
+    shared = pages.sparkSession.sparkContext.broadcast(bits)  # 2 MB
+
+    def rows_of(repeats: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pack = zstandard.ZstdCompressor(level=3).compress
+            for batch, texts in text_rows(batches, "html"):
+                found = [payload_digest(t) for t in texts]
+                maybe = in_filter(shared.value, np.array([_first_bits(d) for d in found], np.int64).view(np.uint64))
+                take = np.flatnonzero(maybe == repeats)
+                if not len(take):
+                    continue
+                page, id_, url = (batch.column(c).take(pa.array(take)) for c in ("page", "id", "url"))
+                if repeats:
+                    yield pa.RecordBatch.from_arrays(
+                        [page, id_, url, pa.array([found[i] for i in take]), pa.array([len(texts[i]) for i in take], pa.int64()),
+                         pa.array([pack(texts[i]) for i in take], pa.binary())],
+                        names=["page", "id", "url", "digest", "n", "packed"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([
+                        _record("response", p, u, found[i], len(texts[i]), None, texts[i])
+                        for i, p, u in zip(take, page.to_pylist(), url.to_pylist())], pa.string())], names=["value"])
+
+        return run
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -85,8 +115,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    (rows.select("kind", "page", "url", "digest", "n", F.col("last").cast("string").alias("last"), "packed")
-     .mapInArrow(build, "value string").write.option("lineSep", END.decode()).text(path))
+    single = src.mapInArrow(rows_of(False), "value string")
+    met = src.mapInArrow(rows_of(True), f"page string, id {kind}, url string, digest string, n bigint, packed binary").join(
+        last, ["digest", "n"], "left")
+    met = met.withColumn("kind", F.when(F.col("last").isNull() | F.col("id").eqNullSafe(F.col("last")), "response")
+                         .otherwise("revisit"))
+    met = met.select("kind", "page", "url", "digest", "n", F.col("last").cast("string").alias("last"), "packed")
+    single.unionByName(met.mapInArrow(build, "value string")).write.option("lineSep", END.decode()).text(path)
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
