@@ -13,8 +13,8 @@ Design notes (scale):
   iteration never materialises sentence pairs: each round is two
   aggregates over word rows.
 * Embedding TextRank's cosine weights are dot products of unit vectors, so
-  a round needs the document's weighted vector sum only: one sum per
-  (document, dimension) and one dot product per sentence.
+  a round needs the document's weighted vector sum only: two products with
+  the matrix of its sentence vectors (``applyInArrow``, one shuffle).
 * LexRank thresholds each pair similarity, which needs the exact pair
   value; candidates come from exact prefix filtering (rare words only).
 * Iterations stop per document (each document converges on its own) and
@@ -23,6 +23,10 @@ Design notes (scale):
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +80,21 @@ def _checkpoint(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return cut_lineage(df, "rank", replaces)
 
 
+@contextmanager
+def _by_document(spark):
+    """Within this, rows dealt out by ``doc_id`` need no further exchange for
+    joins and aggregates on ``doc_id`` and more columns, so a round runs in
+    one stage.  A document's rows then stream through one task (sorted and
+    spilled, never gathered); a document is one row of the input."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: A change this large, from scores that sum to 1, is growth without end.
 _DIVERGED = 1e6
 
@@ -96,10 +115,17 @@ def _iterate(x0: DataFrame, step, tol: float, norm: str = "l2", scale_tol_by_n:
     before is deleted.
     """
     x = _checkpoint(x0.select("doc_id", "i", "N", "x", F.lit("live").alias("state")))
+    with _by_document(x.sparkSession):
+        x = _rounds(x, step, tol, norm, scale_tol_by_n, max_rounds)
+    settled = F.col("state") == "done"
+    return x.select("doc_id", "i", F.when(settled, F.col("x")).alias("score"), settled.alias("converged"))
+
+
+def _rounds(x: DataFrame, step, tol: float, norm: str, scale_tol_by_n: bool, max_rounds: int | None) -> DataFrame:
     rounds = 0
     while (max_rounds is None or rounds < max_rounds) and not x.where("state = 'live'").isEmpty():
         rounds += 1
-        live = x.where("state = 'live'")
+        live = x.where("state = 'live'").repartition("doc_id")
         nx = step(live.select("doc_id", "i", "N", "x")).select("doc_id", "i", F.col("x").alias("nx"))
         upd = live.join(nx, K, "left").withColumn("nx", F.coalesce("nx", F.lit(0.0)))
         d = F.col("nx") - F.col("x")
@@ -111,10 +137,54 @@ def _iterate(x0: DataFrame, step, tol: float, norm: str = "l2", scale_tol_by_n:
             "doc_id", "i", "N", F.col("nx").alias("x"),
             F.when(lost, "lost").when(small, "done").otherwise("live").alias("state"))
         x = _checkpoint(x.where("state <> 'live'").unionByName(upd), x)
+    return x
+
+
+def _iterate_edges(nodes: DataFrame, edges: DataFrame, alpha: float, tol: float, norm: str = "l2",
+                   scale_tol_by_n: bool = False, max_rounds: int | None = None, rounds_per_write: int = 8) -> DataFrame:
+    """As :func:`_iterate` for ``x'_j = alpha sum_i x_i w_ij + (1 - alpha) / N``
+    over explicit edges ``(doc_id, i, j, w)`` and ``nodes (doc_id, i, N)``.
+
+    A round is one join and one aggregate: a node's own loop carries its
+    scores so far along.  So a write holds several rounds, and the first round
+    whose change is within ``tol`` is picked from each document's history.
+    """
+    hops = _checkpoint(edges.select("doc_id", "i", "j", "w", F.lit(False).alias("own")).unionByName(
+        nodes.select("doc_id", "i", F.col("i").alias("j"), F.lit(0.0).alias("w"), F.lit(True).alias("own"))))
+    x = _checkpoint(nodes.select("doc_id", "i", "N", (1.0 / F.col("N")).alias("x"), F.lit("live").alias("state")))
+    with _by_document(x.sparkSession):
+        x = _edge_rounds(x, hops, alpha, tol, norm, scale_tol_by_n, max_rounds, rounds_per_write)
     settled = F.col("state") == "done"
     return x.select("doc_id", "i", F.when(settled, F.col("x")).alias("score"), settled.alias("converged"))
 
 
+def _edge_rounds(x: DataFrame, hops: DataFrame, alpha: float, tol: float, norm: str, scale_tol_by_n: bool,
+                 max_rounds: int | None, rounds_per_write: int) -> DataFrame:
+    hops, rounds = hops.repartition("doc_id"), 0
+    while (max_rounds is None or rounds < max_rounds) and not x.where("state = 'live'").isEmpty():
+        k = rounds_per_write if max_rounds is None else min(rounds_per_write, max_rounds - rounds)
+        rounds += k
+        h = x.where("state = 'live'").select("doc_id", "i", "N", F.array("x").alias("h")).repartition("doc_id")
+        for r in range(k):
+            flow = h.join(hops, K).groupBy("doc_id", F.col("j").alias("i"), "N").agg(
+                F.sum(F.col("h")[r] * F.col("w")).alias("s"), F.first(F.when(F.col("own"), F.col("h")), True).alias("h"))
+            h = flow.select("doc_id", "i", "N", F.concat("h", F.array(
+                alpha * F.col("s") + (1 - alpha) / F.col("N"))).alias("h"))
+        h = _checkpoint(h)
+        change = [F.col("h")[r] - F.col("h")[r - 1] for r in range(1, k + 1)]
+        errs = h.groupBy("doc_id").agg(*[(F.sqrt(F.sum(d * d)) if norm == "l2" else F.sum(F.abs(d))).alias(f"e{r}")
+                                         for r, d in enumerate(change, 1)])
+        at = h.join(errs, "doc_id")
+        small = [(F.col(f"e{r}") < F.lit(tol) * F.col("N")) if scale_tol_by_n else (F.col(f"e{r}") <= F.lit(tol))
+                 for r in range(1, k + 1)]
+        first = F.coalesce(*[F.when(c, F.lit(r)) for r, c in enumerate(small, 1)])
+        lost = F.isnan(f"e{k}") | (F.col(f"e{k}") > _DIVERGED)
+        upd = at.select("doc_id", "i", "N", F.col("h")[F.coalesce(first, F.lit(k))].alias("x"),
+                        F.when(first.isNotNull(), "done").when(lost, "lost").otherwise("live").alias("state"))
+        x = _checkpoint(x.where("state <> 'live'").unionByName(upd), x)
+    return x
+
+
 # ------------------------------------------------------------------ R5 Luhn
 
 def luhn_scores(sents: DataFrame, max_gap: int = LUHN_MAX_GAP) -> DataFrame:
@@ -236,6 +306,7 @@ def textrank_scores(sents: DataFrame, damping: float = TEXTRANK_DAMPING, tol: fl
         .withColumn("rs", F.coalesce("rs", F.lit(0.0)))
     nodes = _checkpoint(nodes)
     x0 = nodes.select(*K, "N", (1.0 / F.col("N")).alias("x"))
+    wc, nodes = wc.repartition("doc_id"), nodes.repartition("doc_id")
 
     def step(x: DataFrame) -> DataFrame:
         xr = x.join(nodes.select(*K, "rs"), K)
@@ -306,15 +377,11 @@ def lexrank_edges(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD) -> Dat
 def lexrank_scores(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD, tol: float = LEXRANK_EPSILON) -> DataFrame:
     """Power iteration (no damping) over the degree-normalised edges."""
     edges = lexrank_edges(sents, threshold)
+    edges = _checkpoint(edges)
     deg = edges.groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("deg"))
-    wedges = _checkpoint(edges.join(deg, K).select("doc_id", "i", "j", (1.0 / F.col("deg")).alias("w")))
-    x0 = sents.select(*K).join(_doc_sizes(sents), "doc_id").withColumn("x", 1.0 / F.col("N"))
-
-    def step(x: DataFrame) -> DataFrame:
-        return x.join(wedges, K).groupBy("doc_id", F.col("j").alias("i")) \
-            .agg(F.sum(F.col("x") * F.col("w")).alias("x"))
-
-    return _iterate(x0, step, tol)
+    weighted = edges.join(deg, K).select("doc_id", "i", "j", (1.0 / F.col("deg")).alias("w"))
+    nodes = sents.select(*K).join(_doc_sizes(sents), "doc_id")
+    return _iterate_edges(nodes, weighted, 1.0, tol, rounds_per_write=2)
 
 
 # ------------------------------------------------------------------ E1 + R1
@@ -342,9 +409,30 @@ def sentence_vectors(sents: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     return out
 
 
-def _dot(a, b) -> Column:
-    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+def _cosine_rank(alpha: float, tol: float, max_rounds: int, dangling: float):
+    """One document's rounds of :func:`embedding_textrank_scores`."""
+    def run(table: pa.Table) -> pa.Table:
+        v = np.array(table.column("vec").to_pylist(), float).reshape(table.num_rows, -1)
+        n, size = len(v), np.linalg.norm(v, axis=1)
+        u = np.divide(v, size[:, None], out=np.zeros_like(v), where=size[:, None] > 0)
+        uu = (u * u).sum(axis=1)
+        s = u @ u.sum(axis=0) - uu
+        loose = np.abs(s) <= dangling
+        inv = np.where(loose, 0.0, 1.0 / np.where(loose, 1.0, s))
+        x, settled = np.full(n, 1.0 / n), False
+        for _ in range(max_rounds):
+            y = x * inv
+            nxt = alpha * (u @ (y @ u) - y * uu + x[loose].sum() / n) + (1 - alpha) / n
+            change, x = np.abs(nxt - x).sum(), nxt
+            if not change < _DIVERGED:
+                break
+            if change < n * tol:
+                settled = True
+                break
+        return pa.table({"doc_id": table.column("doc_id"), "i": table.column("i"),
+                         "score": pa.array(x if settled else [None] * n, pa.float64()), "converged": pa.array([settled] * n)})
+
+    return run
 
 
 def embedding_textrank_scores(vecs: DataFrame, alpha: float = PAGERANK_ALPHA, tol: float = PAGERANK_TOL,
@@ -356,42 +444,21 @@ def embedding_textrank_scores(vecs: DataFrame, alpha: float = PAGERANK_ALPHA, to
     document's vector sum, and one round is
     ``x'_j = a (u_j . Y - y_j |u_j|^2 + D / N) + (1 - a) / N`` with
     ``y_i = x_i / s_i`` (0 for dangling rows), ``Y = sum y_i u_i`` and ``D``
-    the dangling mass.  ``T`` and ``Y`` are sums per (document, dimension)
-    with partial aggregation, so a long document spreads over tasks and the
-    N x N matrix is never formed.
+    the dangling mass.  A round is two products of a matrix of sentences x
+    dimensions with a vector, so a document's rounds run where its vectors
+    are (``applyInArrow``: one shuffle by document, whatever the number of
+    rounds); the N x N matrix is never formed.  A task holds the vectors of
+    one document at a time.
 
     Iteration stops once the L1 change is below ``N * tol``.  With negative
     cosines row sums can be near zero and the iteration grow without end;
     as in the library, a document that has not settled after ``max_rounds``
     has no scores (``converged`` false, null).
     """
-    first = vecs.select(F.size("vec")).first()
-    dim = first[0] if first else 0
-    v = F.col("vec").cast("array<double>")
-    nrm = F.sqrt(_dot(v, v))
-    unit = vecs.select(*K, F.transform(v, lambda c: F.try_divide(c, nrm)).alias("u"), (nrm > 0).alias("some"))
-    unit = unit.select(*K, F.when(F.col("some"), F.col("u")).otherwise(F.array_repeat(F.lit(0.0), dim)).alias("u"),
-                       F.col("some").cast("double").alias("uu"))
-    unit = _checkpoint(unit)
-
-    def per_dimension(df: DataFrame, weight: Column, name: str, *others: Column) -> DataFrame:
-        sums = df.groupBy("doc_id").agg(*[F.sum(weight * F.col("u")[d]).alias(f"_s{d}") for d in range(dim)], *others)
-        return sums.select("doc_id", F.array(*[F.col(f"_s{d}") for d in range(dim)]).cast("array<double>").alias(name),
-                           *[c for c in sums.columns if not c.startswith("_s") and c != "doc_id"])
-
-    total = per_dimension(unit, F.lit(1.0), "T", F.count(F.lit(1)).alias("N"))
-    nodes = _checkpoint(unit.join(total, "doc_id").select(*K, "N", "u", "uu", (_dot("u", "T") - F.col("uu")).alias("s")))
-    dangling = F.abs("s") <= DANGLING_EPS
-
-    def step(x: DataFrame) -> DataFrame:
-        xr = x.join(nodes.drop("N"), K).withColumn("y", F.when(dangling, 0.0).otherwise(F.try_divide("x", "s")))
-        sums = per_dimension(xr, F.col("y"), "Y", F.sum(F.when(dangling, F.col("x")).otherwise(0.0)).alias("loose"))
-        return xr.join(sums, "doc_id").select(*K, (
-            alpha * (_dot("u", "Y") - F.col("y") * F.col("uu") + F.col("loose") / F.col("N"))
-            + (1 - alpha) / F.col("N")).alias("x"))
-
-    x0 = nodes.select(*K, "N", (1.0 / F.col("N")).alias("x"))
-    return _iterate(x0, step, tol, norm="l1", scale_tol_by_n=True, max_rounds=max_rounds)
+    types = {f.name: f.dataType.simpleString() for f in vecs.schema.fields}
+    return vecs.select("doc_id", "i", F.col("vec").cast("array<double>").alias("vec")).groupBy("doc_id").applyInArrow(
+        _cosine_rank(alpha, tol, max_rounds, DANGLING_EPS),
+        f"doc_id {types['doc_id']}, i {types['i']}, score double, converged boolean")
 
 
 def embedding_textrank_order(scores: DataFrame, sents: DataFrame, n: int) -> DataFrame:
@@ -411,21 +478,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = PAGERANK_ALPHA,
     stop when the L1 change is below ``N * tol``.  ``max_rounds`` is the
     library's own limit; beyond it a document has no scores."""
     ws = edges.groupBy(*K).agg(F.sum("w").alias("ws"))
-    nd = nodes.select(*K).join(_doc_sizes(nodes), "doc_id").join(ws, K, "left") \
-        .withColumn("ws", F.coalesce("ws", F.lit(0.0)))
-    nd = _checkpoint(nd)
-    wn = _checkpoint(edges.join(ws, K).where(F.col("ws") != 0).select(
-        "doc_id", "i", "j", (F.col("w") / F.col("ws")).alias("p")))
-    x0 = nd.select(*K, "N", (1.0 / F.col("N")).alias("x"))
-
-    def step(x: DataFrame) -> DataFrame:
-        lost = x.join(nd.where("ws = 0").select(*K), K).groupBy("doc_id").agg(F.sum("x").alias("D"))
-        flow = x.join(wn, K).groupBy("doc_id", F.col("j").alias("i")).agg(F.sum(F.col("x") * F.col("p")).alias("f"))
-        return x.join(lost, "doc_id", "left").join(flow, K, "left").select(
-            *K, (alpha * (F.coalesce("f", F.lit(0.0)) + F.coalesce("D", F.lit(0.0)) / F.col("N"))
-                 + (1 - alpha) / F.col("N")).alias("x"))
-
-    return _iterate(x0, step, tol, norm="l1", scale_tol_by_n=True, max_rounds=max_rounds)
+    nd = nodes.select(*K).join(_doc_sizes(nodes), "doc_id").join(ws, K, "left")
+    nd = _checkpoint(nd.withColumn("ws", F.coalesce("ws", F.lit(0.0))))
+    share = edges.join(ws, K).where("ws <> 0").select("doc_id", "i", "j", (F.col("w") / F.col("ws")).alias("w"))
+    # a node without edges spreads its score evenly: an edge to each node
+    loose = nd.where("ws = 0").select("doc_id", "i", (1.0 / F.col("N")).alias("w")).join(
+        nd.select("doc_id", F.col("i").alias("j")), "doc_id").select("doc_id", "i", "j", "w")
+    return _iterate_edges(nd.select(*K, "N"), share.unionByName(loose), alpha, tol, "l1", True, max_rounds)
 
 
 # ------------------------------------------------------------------ F11, R8, R10
