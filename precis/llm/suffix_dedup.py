@@ -302,7 +302,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed = _keyed(docs, id_col, text_col)
     runs = materialise(_listed(keyed), "runs").select("kd", "kt", F.inline("runs"))
-    again = runs.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1").select("fp")
+    # written first, so that the join's sides are plain exchanges and a hash with many runs can be split
+    again = materialise(runs.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1").select("fp"), "again")
     met = materialise(runs.join(again, "fp"), "met")
     classes = materialise(met.groupBy("fp", "g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct(
         "kd", "kt", "pos")).alias("one")), "classes")
