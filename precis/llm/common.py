@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,20 +79,27 @@ def running_sums(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*(f"{n}_sums" for n in names))
 
 
-def text_rows(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES
+def text_rows(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = BATCH_BYTES
               ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Arrow batches cut so that their texts hold about ``limit`` bytes together
-    (a longer text alone), with the texts as bytes; null gives b""."""
+    (a longer text alone), with the texts as bytes; null gives b"".
+
+    Only the texts of one cut are Python objects at a time, and what Arrow
+    holds in reserve goes back once the task's rows are done: workers stay
+    between stages, beside the executor's heap.
+    """
     for batch in batches:
-        texts = [t or b"" for t in batch.column(column).to_pylist()]
+        col = batch.column(column).cast(pa.binary())
         start = size = 0
-        for i, t in enumerate(texts):
-            if i > start and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):
+            if i > start and size + n > limit:
+                yield batch.slice(start, i - start), [t or b"" for t in col.slice(start, i - start).to_pylist()]
                 start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += n
+        if start < batch.num_rows:
+            yield batch.slice(start), [t or b"" for t in col.slice(start).to_pylist()]
+    batch = col = None
+    pa.default_memory_pool().release_unused()
 
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -192,6 +200,8 @@ def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
     if rest:
         t = pa.Table.from_batches(rest)
         yield t, bounds(t)
+    b = t = rest = None
+    pa.default_memory_pool().release_unused()
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

@@ -21,7 +21,9 @@ RECALL = 0.9999
 _BATCH = 1 << 20
 #: Members of a bucket or a component that are compared in one task, and the
 #: n-grams that they may have together.
-_BLOCK, _BLOCK_GRAMS = 512, 4_000_000
+_BLOCK, _BLOCK_GRAMS = 512, 2_000_000
+#: n-grams of a comparison that are sorted at a time.
+_RANGE_GRAMS = 500_000
 _BUCKET = 4096
 
 
@@ -152,24 +154,32 @@ def _similar_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of a group's sets."""
+    """Sizes of the intersections of a group's sorted sets (two different ones), summed
+    over ranges of hashes, so that what is sorted at a time stays small."""
     n = len(sets)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column)[column] > 1  # an element of one set is in no intersection
-    owner, column = owner[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    out = np.zeros((n, n), np.float32)
-    step = 4096
-    for a in range(0, (column[-1] + 1) if len(column) else 0, step):
-        lo, hi = np.searchsorted(column, [a, a + step])
-        m = np.zeros((n, step), np.float32)
-        m[owner[lo:hi], column[lo:hi] - a] = 1
-        out += m @ m.T
+    out = np.zeros((n, n))
+    ranges = 1 + sum(map(len, sets)) // _RANGE_GRAMS
+    bounds = np.arange(1, ranges, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // ranges)
+    cuts = [np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]]) for s in sets]
+    for r in range(ranges):
+        parts = [s[c[r]:c[r + 1]] for s, c in zip(sets, cuts)]
+        flat = np.concatenate(parts)
+        if not len(flat):
+            continue
+        owner = np.repeat(np.arange(n), [len(p) for p in parts])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]])
+        column = np.cumsum(new) - 1
+        shared = np.bincount(column)[column] > 1  # an element of one set is in no intersection
+        owner, column = owner[shared], column[shared]
+        _, column = np.unique(column, return_inverse=True)
+        step = 4096
+        for a in range(0, (column[-1] + 1) if len(column) else 0, step):
+            lo, hi = np.searchsorted(column, [a, a + step])
+            m = np.zeros((n, step), np.float32)
+            m[owner[lo:hi], column[lo:hi] - a] = 1
+            out += m @ m.T
     return out.astype(np.int64)
 
 

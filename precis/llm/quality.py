@@ -188,9 +188,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            mask = [of((t or "").encode()) >= threshold for t in texts]
-            yield batch.filter(pa.array(mask, pa.bool_()))
+        for batch, texts in text_rows(batches, at):
+            yield batch.filter(pa.array([of(t) >= threshold for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -6,10 +6,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from precis.llm import decontaminate, divergence, near_dup, secrets, suffix_dedup, token_count
+from precis.llm.common import text_rows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -262,3 +265,22 @@ def test_banding_reaches_the_recall():
     bands, rows = near_dup.banding()
     assert bands * rows <= near_dup.HASHES and 1 - (1 - 0.8 ** rows) ** bands >= near_dup.RECALL
     assert 1 - (1 - 0.8 ** (rows + 1)) ** (near_dup.HASHES // (rows + 1)) < near_dup.RECALL
+
+
+def test_intersections_by_ranges_of_hashes(monkeypatch):
+    monkeypatch.setattr(near_dup, "_RANGE_GRAMS", 50)
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, k)) for k in (1, 40, 150, 199, 60)]
+    got = near_dup._common(sets)
+    for i, j in itertools.permutations(range(len(sets)), 2):
+        assert got[i, j] == len(set(sets[i].tolist()) & set(sets[j].tolist()))
+
+
+def test_texts_are_cut_by_bytes_and_lose_no_row():
+    texts = ["a" * 5, None, "", "ä" * 40, "b", "c" * 9, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
+    for limit in (1, 10, 1000):
+        got = [(i, t) for b, part in text_rows(iter([batch, batch.slice(7)]), "text", limit)
+               for i, t in zip(b.column("id").to_pylist(), part, strict=True)]
+        assert got == [(i, (t or "").encode()) for i, t in enumerate(texts)]
