@@ -287,7 +287,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     position.  An empty table gives an empty one; other columns are not read.
     """
     signed, named = _linked(docs, id_col, text_col)
-    groups = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    # written first, so that the join's sides are plain exchanges and a large group can be split
+    groups = materialise(named.groupBy("root").agg(F.min("class_id").alias("group_id")), "groups")
     named = named.join(groups, "root").select("s1", "s2", "n", "class_id", "size", "links", "group_id")
     return signed.select("id", "s1", "s2", "n").join(named, ["s1", "s2", "n"], "left").select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"),
@@ -303,7 +304,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = signed.where("n > 0").select("id", "th", "rid", "s1", "s2", "n").join(
         named.select("s1", "s2", "n", "root"), ["s1", "s2", "n"])
     first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "th", "rid"))
-    best = rows.groupBy("root").agg(first.alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    # written first, so that the join's sides are plain exchanges and a large group can be split
+    best = materialise(rows.groupBy("root").agg(first.alias("best"), F.count("*").alias("rows")).where("rows > 1"), "best")
     marked = rows.join(best, "root").withColumn("stays", F.col("rid") == F.col("best.rid"))
     keys = materialise(marked.groupBy(F.col("id").alias("_copy_id"), F.col("th").alias("_copy_th")).agg(
         F.max("stays").alias("_copy_stays"), F.count("*").alias("_copy_rows")).where("not _copy_stays or _copy_rows > 1"), "copies")
