@@ -108,6 +108,22 @@ def test_entropy_adds_spans_and_allows(spark):
     assert {r.text for r in secrets.redact(df).where("doc_id = 0").collect()} == {"key [secret] end"}
 
 
+def test_entropy_finds_random_keys_of_each_class(spark):
+    r = random.Random(11)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base32": low.upper() + "234567", "low32": low + "234567", "low36": low + digits, "up36": low.upper() + digits,
+                 "base62": low + low.upper() + digits, "base64": low + low.upper() + digits + "+/"}
+    keys = [(name, n, "".join(r.choices(a, k=n))) for name, a in alphabets.items() for n in (20, 23, 24, 32, 40) for _ in range(300)]
+    keys = [k for k in keys if set(k[2]) & set(digits)]
+    df = spark.createDataFrame([(i, f"the \u5bc6{k[2]} end") for i, k in enumerate(keys)], "doc_id long, text string")
+    found, asked = Counter(), Counter((name, n) for name, n, _ in keys)
+    for x in secrets.scan(df).where("n_entropy > 0").collect():
+        found[keys[x.doc_id][:2]] += 1
+    assert {k: found[k] / n for k, n in asked.items() if found[k] < (0.94 if k[0] == "base64" else 0.97) * n} == {}
+    plain = ["src/main/docs/readme2", "some_long_identifier_name_2", "aaaaaaaaaabbbbbbbbbb1", "example_ab3de5fg7hi9jk1lm3no5pq"]
+    assert secrets.scan(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")).where("n_entropy > 0").count() == 0
+
+
 def test_token_counts_equal_the_library(spark, tables, odd_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
