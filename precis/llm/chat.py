@@ -7,23 +7,40 @@ from pyspark.sql import functions as F
 
 from precis.llm.common import materialise
 
-#: Turn numbers that make one part of a conversation: the rows of a part are
-#: ordered, and rendered, in one task.
+#: Turns of a conversation that are rendered as one row.
 PART = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def _facts(convs: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """The turns in order, written in ranges: ``part`` is the range and ``at`` the place of a row.
+
+    Ranges are cut by a row's own number too, so that the rows of one
+    conversation, one turn number or one text are dealt to several; rows that
+    are equal but for that number may stand in any order.
+    """
     r, t = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role, text))
-    return convs.select(
+    rows = convs.select(
         F.col(conv).alias("conv"), F.xxhash64(F.lit(0), conv).alias("ck"), F.col(turn).cast("long").alias("turn"),
-        F.coalesce(F.floor(F.col(turn) / PART).cast("long"), F.lit(-(1 << 62))).alias("part"), r.alias("role"),
-        F.xxhash64(F.lit(1), r, t).alias("h1"), F.xxhash64(F.lit(2), r, t).alias("h2"), t.alias("text"))
+        r.alias("role"), F.xxhash64(F.lit(1), r, t).alias("h1"), F.xxhash64(F.lit(2), r, t).alias("h2"), t.alias("text"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("own"))
+    order = ["ck", "conv", "turn", "role", "h1", "h2", "own"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialise(rows.select("conv", "ck", "role", "h1", "h2", "text", F.spark_partition_id().alias("part"),
+                                   F.monotonically_increasing_id().alias("at")), "ordered-turns")
 
 
+def _sizes(facts: DataFrame) -> DataFrame:
+    """(ck, part, shift, total): of each part of a conversation what makes a place a
+    position (pos = at + shift), and the number of turns of the conversation."""
+    so_far = Window.partitionBy("conv", "ck").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = facts.groupBy("conv", "ck", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    return materialise(sizes.select(
+        "ck", "part", (F.coalesce(F.sum("n").over(so_far), F.lit(0)) - F.col("first") + 1).alias("shift"),
+        F.sum("n").over(Window.partitionBy("conv", "ck")).alias("total")), "turn-counts")
 
 
-def prefixes(facts: DataFrame) -> DataFrame:
+def prefixes(facts: DataFrame, sizes: DataFrame) -> DataFrame:
     """(conv, ck, pos, total, p1, p2): of each turn its position, the number of
     turns of its conversation, and the rolling hash of the turns up to it.
 
@@ -31,15 +48,8 @@ def prefixes(facts: DataFrame) -> DataFrame:
     exclusive or, so that parts of a conversation roll on their own and a
     running total over parts, one row each, does the rest.
     """
-    own = ["conv", "ck", "part"]
-    in_part = Window.partitionBy(*own).orderBy(F.col("turn").asc_nulls_first(), "role", "h1", "h2")
-    rows = facts.drop("text").withColumn("place", F.row_number().over(in_part))
     so_far = Window.partitionBy("conv", "ck").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("conv", "ck")
-    sizes = (rows.groupBy(*own).agg(F.count("*").alias("n"))
-             .withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
-             .withColumn("total", F.sum("n").over(whole)).drop("n", "conv"))
-    rows = rows.join(sizes, ["ck", "part"]).withColumn("pos", F.col("before") + F.col("place"))
+    rows = facts.drop("text").join(sizes, ["ck", "part"]).withColumn("pos", F.col("at") + F.col("shift"))
     rows = rows.withColumn("e1", F.xxhash64("pos", "h1")).withColumn("e2", F.xxhash64("pos", "h2", "h1"))
     rows = materialise(rows.select("conv", "ck", "part", "pos", "total", "e1", "e2"), "turns")
     sums = (rows.groupBy("conv", "ck", "part").agg(F.bit_xor("e1").alias("x1"), F.bit_xor("e2").alias("x2"))
@@ -75,9 +85,10 @@ def render(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     Logs hold a conversation again each time that it grows.  A conversation
     whose turns (role and text, in order) are the first turns of a longer one
-    is dropped; of equal ones the least id stays.  ``text`` holds the turns of
-    256 turn numbers; a longer conversation has several parts, to be joined in
-    order, so that no task holds more.
+    is dropped; of equal ones the least id stays.  ``text`` holds 256 turns by
+    position; a longer conversation has several parts, to be joined in order.
+    Turns are numbered in ranges of rows, so neither null or equal ids nor
+    null or equal turn numbers bring more to one task or one text.
 
     Null roles and texts are empty; a null turn number comes first; turns of
     equal number are ordered by role and hash; rows with a null id are one
@@ -85,10 +96,13 @@ def render(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     empty one; other columns are not read.
     """
     facts = _facts(convs, conv_col, turn_col, role_col, text_col)
-    kept = materialise(maximal(prefixes(facts)), "maximal")
-    turn = F.concat(F.lit(OPEN), _safe(F.col("role")), F.lit("\n"), _safe(F.col("text")), F.lit(CLOSE + "\n"))
-    rows = facts.join(kept, "ck").select("conv", "ck", "part", "n_turns", "n_same", "turn", "role", "h1", "h2", turn.alias("line"))
+    sizes = _sizes(facts)
+    kept = materialise(sizes.join(maximal(prefixes(facts, sizes)), "ck"), "maximal")
+    line = F.concat(F.lit(OPEN), _safe(F.col("role")), F.lit("\n"), _safe(F.col("text")), F.lit(CLOSE + "\n"))
+    pos = F.col("at") + F.col("shift")
+    rows = facts.join(kept, ["ck", "part"]).select(
+        "conv", "ck", F.floor((pos - 1) / PART).cast("long").alias("part"), "n_turns", "n_same", pos.alias("pos"), line.alias("line"))
     parts = rows.groupBy("conv", "ck", "part", "n_turns", "n_same").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "h1", "h2", "line"))).alias("turns"))
-    return parts.select(F.col("conv").alias(conv_col), F.greatest(F.col("part"), F.lit(-1)).alias("part"), "n_turns", "n_same",
+        F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("turns"))
+    return parts.select(F.col("conv").alias(conv_col), "part", "n_turns", "n_same",
                         F.array_join(F.transform("turns", lambda x: x["line"]), "").alias("text"))

@@ -118,6 +118,24 @@ def test_chat_keeps_maximal_conversations(spark, tables):
     assert got == {k: "".join(turn(*t) for t in v) for v, k in want.items()}
 
 
+def test_chat_cuts_null_ids_and_equal_turns_by_position(spark):
+    rows = [(None, k % 3, "user", f"n{k}") for k in range(1500)] + [(1, None, "user", f"z{k}") for k in range(700)]
+    rows += [(2, 4, "user", f"e{k}") for k in range(600)] + [(3, 4, "user", "same")] * 600 + [(4, 0, "user", "one")]
+    got = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()
+    texts, size = defaultdict(str), Counter()
+    for x in sorted(got, key=lambda x: x.part):
+        n = x.text.count("<|im_start|>")
+        assert n <= 256 and x.n_turns == {None: 1500, 1: 700, 2: 600, 3: 600, 4: 1}[x.conv_id]
+        texts[x.conv_id] += x.text
+        size[x.conv_id] += 1
+    assert size == {None: 6, 1: 3, 2: 3, 3: 3, 4: 1}
+    line = lambda t: f"<|im_start|>user\n{t}<|im_end|>\n"
+    for conv in texts:
+        assert Counter(texts[conv].splitlines(True)) == Counter("".join(line(t) for c, _, _, t in rows if c == conv).splitlines(True))
+    turns = [int(t[1:].split("<")[0]) % 3 for t in texts[None].splitlines() if t.startswith("n")]
+    assert turns == sorted(turns)
+
+
 def test_warc_round_trip(spark, tables):
     evil = ("x" * 3000 + "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
             "WARC/1.0\r\njunk" + "y" * 4000 + "WARC/1.0\r\n")
