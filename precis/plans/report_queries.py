@@ -1,8 +1,8 @@
 """Registered grid, reporting and file queries (M8, J5, W1 to W6, F13,
 S2, S3, S7 to S11).
 
-M8 registers (simple, nothing) x (Lsa, Luhn, KL) x ten metrics over the whole
-``documents`` table; ``flagship.grid`` takes any presets and rankers.  The reporting queries (J5, W1 to W6, F13, S8/S9)
+M8 registers the four cleanings x six rankers x eleven metrics over the whole
+``documents`` table.  The reporting queries (J5, W1 to W6, F13, S8/S9)
 use a grid DuckDB can rebuild, so each has an oracle.
 """
 
@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 
 from ..operators import report as W
 from ..operators.metrics import evaluate_metrics
+from ..operators.rank import RANKERS
 from ..session import ensure_checkpoint_dir, table
 from ..sources import results as RS
 from ..sources import stories as SS
 from ..sources.corpus import conversation_pairs
 from . import duck
-from .flagship import grid
+from .flagship import corpus_vectors, grid
 from .registry import register
 
-#: The six cells a pipeline and a sentence ranker without rounds can give in
-#: one pass each; all rankers run in the grid operator (``flagship.grid``).
-PIPELINES = ("simple", "nothing")
-MODELS = ("Lsa", "Luhn", "KL")
+#: The grid's cleanings and rankers: all cells.
+PIPELINES = ("strong", "mid", "simple", "nothing")
+MODELS = tuple(RANKERS)
 
 
 def _scratch(spark, tag):
@@ -35,7 +35,8 @@ def _scratch(spark, tag):
 @register("m8_grid")
 def m8_grid(spark, sf):
     """M8 + J5 + R9 + R10: (pipeline, model, metric) cells, long form."""
-    g = grid(table(spark, sf, "documents"), PIPELINES, MODELS)
+    docs = table(spark, sf, "documents")
+    g = grid(docs, PIPELINES, MODELS, vectors=corpus_vectors(docs, table(spark, sf, "embeddings")))
     return g.select("pipeline", "model", "metric", F.round("value", 6).alias("value"))
 
 

@@ -284,3 +284,20 @@ def test_lcs_is_that_of_the_table():
     for _ in range(200):
         a, b = (list(rng.choice(list("abcd"), rng.integers(0, 40))) for _ in range(2))
         assert M._lcs_one(a, b) == _lcs(a, b)
+
+
+def test_registered_grid_has_every_cleaning_and_ranker(spark, monkeypatch):
+    from precis.operators import rank
+    from precis.plans import report_queries as Q
+
+    asked = {}
+
+    def grid(docs, pipelines, models, n=None, vectors=None):
+        asked.update(pipelines=pipelines, models=models, n=n, vectors=vectors)
+        return spark.createDataFrame([("p", "m", "x", 1.0)], "pipeline string, model string, metric string, value double")
+
+    monkeypatch.setattr(Q, "grid", grid)
+    monkeypatch.setattr(Q, "corpus_vectors", lambda docs, embeddings: (embeddings, 3), raising=False)
+    assert Q.m8_grid(spark, "/root/testdata/sf0.001").count() == 1
+    assert set(asked["pipelines"]) == {"strong", "mid", "simple", "nothing"} and set(asked["models"]) == set(rank.RANKERS)
+    assert len(asked["models"]) == 6 and asked["n"] is None and asked["vectors"] is not None
