@@ -210,3 +210,54 @@ LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) q USING (doc_id)
 """
 
 SECRET_SCAN, MIXING, DIVERGENCE = _secret_scan(), _mixing(), _divergence()
+
+
+def _line_dedup() -> str:
+    """Keys and their documents by grouping."""
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+    k AS (SELECT *, translate(trim(line, {space}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    held AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+    m AS (SELECT k.*, held.last IS NOT NULL AND k.doc_id IS DISTINCT FROM held.last AS gone FROM k LEFT JOIN held USING (key))
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM m GROUP BY r
+    """
+
+
+def _filter_audit() -> str:
+    """Every order by direct counting over the masks of each part, written as letters."""
+    words = f"list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda w: w <> '')"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, {words} AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+    b AS (SELECT doc_id, part,
+          CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END ||
+          CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END ||
+          CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END ||
+          CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END ||
+          CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails FROM w),
+    marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, fails, count(*) AS docs, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+          FROM b LEFT JOIN marks USING (doc_id) GROUP BY part, fails),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+          WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS earlier
+          FROM o, (SELECT unnest(range(1, 6)) AS step)),
+    j AS (SELECT part, filter_order, step, x, docs, good, toxic, contains(fails, x) AS hit, fails = x AS alone,
+                 translate(fails, earlier, '') = fails AS here FROM s, m),
+    r AS (SELECT part, filter_order, step, x, coalesce(sum(docs) FILTER (here AND NOT hit), 0) AS kept,
+          coalesce(sum(docs) FILTER (here AND hit), 0) AS removed, coalesce(sum(docs) FILTER (hit AND NOT here), 0) AS redundant,
+          coalesce(sum(docs) FILTER (alone), 0) AS unique_fails, coalesce(sum(good) FILTER (here AND hit), 0) AS good_lost,
+          coalesce(sum(toxic) FILTER (here AND hit), 0) AS toxic_lost FROM j GROUP BY part, filter_order, step, x)
+    SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+           unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+           sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM r
+    """
+
+
+LINE_DEDUP = _line_dedup()
+FILTER_AUDIT = _filter_audit()
