@@ -261,3 +261,73 @@ def _filter_audit() -> str:
 
 LINE_DEDUP = _line_dedup()
 FILTER_AUDIT = _filter_audit()
+
+
+def _repair() -> str:
+    """The edits by a recursive walk over the turns: for each state of the
+    target (nothing put out, s, u, a) the least cost and edits as one string,
+    cost first, so that strings compare as both.  crc32 is its own table."""
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    far = "'500000000'"
+    pay = lambda s, cost, edit: f"(lpad((substr({s}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({s}, 10) || '{edit}')"
+    put_in = (f"n, s, least(u, {pay('n', 3, 'I')}, {pay('s', 3, 'I')}, {pay('a', 3, 'I')}) AS u, "
+              f"least(a, {pay('u', 3, 'I')}, {pay('n', 6, 'II')}, {pay('s', 6, 'II')}) AS a")
+    more = "CASE WHEN open THEN 3 ELSE 0 END"
+
+    def own(to: str, sources: str) -> str:
+        moves = [pay(to, 4, "D")]
+        for x in sources:
+            moves.append(f"CASE WHEN NOT must_go AND initial = '{to}' THEN {pay(x, more, 'K')} ELSE {far} END")
+            if to != "s":
+                moves.append(f"CASE WHEN NOT must_go THEN {pay(x, f'3 + {more}', 'R')} ELSE {far} END")
+        return f"least({', '.join(moves)}) AS {to}"
+
+    step = ", ".join([f"{pay('n', 4, 'D')} AS n", own("s", "n"), own("u", "nsa"), own("a", "u")])
+    name = lambda m: f"CASE WHEN ({m} - hs) % 2 = 0 THEN 'user:' ELSE 'assistant:' END"
+    return f"""
+    WITH RECURSIVE poly(i, c, n) AS (SELECT i, i::UBIGINT, 0 FROM range(256) r(i) UNION ALL
+        SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, n + 1 FROM poly WHERE n < 8),
+    tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM poly WHERE n = 8),
+    keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+    hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, strlen(key) + 1),
+        lambda i: ord(substr(key, i::INT, 1))::UBIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255)::INT + 1])),
+        4294967295::UBIGINT) % 20 AS kind FROM keyed, tab),
+    hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM hurt),
+    judged AS (SELECT *, rtrim(text, {space}) AS t, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before, substr(role, 1, 1) AS initial FROM placed),
+    f AS MATERIALIZED (SELECT conv_id, turn, pos, role, text, initial, t = '' AS blank, t <> '' AND nth > 1 AS dup,
+        t <> '' AND nth = 1 AND substr(t, -1) NOT IN ('.', '!', '?') AS open, t = '' OR nth > 1 AS must_go,
+        before IS NOT NULL AND (before || initial) NOT IN ('su', 'ua', 'au') AS wrong FROM judged),
+    counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (dup) AS duplicate, count(*) FILTER (open) AS truncated, count(*) FILTER (wrong) AS illegal,
+        count(*) AS total FROM f GROUP BY conv_id),
+    walk AS (SELECT conv_id, 0::BIGINT AS pos, '000000000' AS n, {far} AS s, {far} AS u, {far} AS a FROM counts UNION ALL
+        SELECT conv_id, pos, {step} FROM (SELECT w.conv_id, f.pos, open, must_go, initial, {put_in} FROM walk w
+            JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1)),
+    ends AS (SELECT w.conv_id, least(n, a, {pay('u', 3, 'I')}, {pay('s', 6, 'II')}) AS best FROM walk w
+        JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.total = w.pos),
+    audits AS (SELECT conv_id, substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit,
+        regexp_extract_all(substr(best, 10), 'I*[KRD]') AS toks FROM ends),
+    outs AS (SELECT f.conv_id, pos, role, text, initial, toks[pos] AS tok,
+        length(replace(array_to_string(toks[1:pos - 1], ''), 'D', '')) AS m FROM f JOIN audits a ON a.conv_id IS NOT DISTINCT FROM f.conv_id),
+    led AS (SELECT conv_id, max((tok LIKE '%K' AND initial = 's')::INT) AS hs FROM outs GROUP BY conv_id),
+    lines AS (SELECT o.conv_id, pos, list_concat(list_transform(range(m, m + length(tok) - 1), lambda j: {name('j')}),
+        CASE tok[-1] WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [{name('(m + length(tok) - 1)')} || text] ELSE [] END) AS said
+        FROM outs o JOIN led l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+      UNION ALL SELECT a.conv_id, 9223372036854775807, list_transform(range(length(replace(array_to_string(toks, ''), 'D', '')),
+        length(replace(audit, 'D', ''))), lambda j: {name('j')}) FROM audits a JOIN led l ON l.conv_id IS NOT DISTINCT FROM a.conv_id),
+    repaired AS (SELECT conv_id, string_agg(array_to_string(said, chr(10)), chr(10) ORDER BY pos) FILTER (len(said) > 0) AS body
+        FROM lines GROUP BY conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+        coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+    """
+
+
+REPAIR = _repair()

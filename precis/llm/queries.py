@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from precis.llm import (chat, decontaminate, divergence, filter_audit, line_dedup, mixing, near_dup, oracle, quality, secrets,
-                        suffix_dedup, token_count, warc)
+from precis.llm import (chat, decontaminate, divergence, filter_audit, line_dedup, mixing, near_dup, oracle, quality, repair,
+                        secrets, suffix_dedup, token_count, warc)
 from precis.llm.common import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -65,10 +65,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_secret_scan, op3_token_counts, op4_source_mixing, op5_quality_classifier,
     op6_chat_formatting, op7_quality_rules, op8_warc, op9_benchmark_decontamination, op10_ngram_jaccard_join,
-    op11_line_dedup, op12_filter_audit)}
+    op11_line_dedup, op12_filter_audit, op13_conversation_repair)}
 
 #: op1 (400-byte windows), op3 (a tokenizer) and op5 (a trained model) are
 #: tested against brute force and held-out labels instead.
@@ -76,4 +80,5 @@ ORACLE: dict[str, str] = {
     "op2_secret_scan": oracle.SECRET_SCAN, "op4_source_mixing": oracle.MIXING, "op6_chat_formatting": oracle.CHAT,
     "op7_quality_rules": oracle.DIVERGENCE, "op8_warc": oracle.WARC,
     "op9_benchmark_decontamination": oracle.DECONTAMINATION, "op10_ngram_jaccard_join": oracle.JACCARD,
-    "op11_line_dedup": oracle.LINE_DEDUP, "op12_filter_audit": oracle.FILTER_AUDIT}
+    "op11_line_dedup": oracle.LINE_DEDUP, "op12_filter_audit": oracle.FILTER_AUDIT,
+    "op13_conversation_repair": oracle.REPAIR}
