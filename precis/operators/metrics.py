@@ -10,7 +10,8 @@ same statistics work as streaming state (ST1, ST2).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -237,31 +238,75 @@ def cosine(a, b) -> Column:
     return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
 
 
+# ------------------------------------------------------------- U6: metrics of the user
+
+@dataclass(frozen=True)
+class Metric:
+    """A metric as partial statistics and a finish.
+
+    ``stats(prediction, reference)`` names numeric Columns of one row;
+    ``finish(sums, rows)`` makes the value from their sums (by name) and the
+    number of rows.  Both run in the pass and the aggregate of the others.
+    """
+
+    stats: Callable[[Column, Column], Mapping[str, Column]]
+    finish: Callable[[Mapping[str, Column], Column], Column]
+
+
+#: Metrics of the user by name; :func:`evaluate_metrics` adds them to its ten.
+METRICS: dict[str, Metric] = {}
+
+
+def register_metric(name: str, metric: Metric) -> Callable[[], None]:
+    """Add a metric under ``name``; returns a function that takes it out again."""
+    before = METRICS.get(name)
+    METRICS[name] = metric
+
+    def undo() -> None:
+        if before is None:
+            METRICS.pop(name, None)
+        else:
+            METRICS[name] = before
+
+    return undo
+
+
 # ------------------------------------------------------------- M7: all ten
 
 def evaluate_metrics(df: DataFrame, pred: str = "prediction", ref: str = "reference",
-                     group_cols: Sequence[str] = (), clean: bool = True) -> DataFrame:
-    """M7: the ten reported metrics in long form ``(group..., metric, value)``.
+                     group_cols: Sequence[str] = (), clean: bool = True,
+                     metrics: Mapping[str, Metric] | None = None) -> DataFrame:
+    """M7: the ten reported metrics in long form ``(group..., metric, value)``,
+    and those of ``metrics`` (by default the registered ones).
 
     With ``clean`` both texts first go through the ``scoring`` pipeline (P6:
-    lower-case, all punctuation removed).  BLEU and ROUGE share one pass
-    over the rows and one aggregate.
+    lower-case, all punctuation removed).  BLEU, ROUGE and the others share one
+    pass over the rows and one aggregate.
     """
     from ..functions.cleaning import scoring_columns
 
+    own = {m: {f"_u{k}_{j}": (n, c) for j, (n, c) in enumerate(x.stats(F.col(pred), F.col(ref)).items())}
+           for k, (m, x) in enumerate((METRICS if metrics is None else metrics).items())}
+    own_cols = {a: c for cols in own.values() for a, (_, c) in cols.items()}
+
     src = df
     if clean:
         src = df.select(*group_cols, scoring_columns(pred).alias(pred), scoring_columns(ref).alias(ref))
     toks = src.select(*group_cols, whitespace_tokens(pred).alias("_pw"), whitespace_tokens(ref).alias("_rw"),
-                      rouge_tokens(pred).alias("_pr"), rouge_tokens(ref).alias("_rr"))
-    per = toks.select(*group_cols, *bleu_stats("_pw", "_rw", 4), *rouge_scores("_pr", "_rr"))
+                      rouge_tokens(pred).alias("_pr"), rouge_tokens(ref).alias("_rr"),
+                      *(c.cast("double").alias(a) for a, c in own_cols.items()))
+    per = toks.select(*group_cols, *bleu_stats("_pw", "_rw", 4), *rouge_scores("_pr", "_rr"), *own_cols)
     rouge_names = [f"{t}_{m}" for t in ("rouge1", "rouge2", "rougeL") for m in ("fmeasure", "recall")]
-    agg = per.groupBy(*group_cols).agg(*bleu_sums(4), *[F.avg(c).alias(c) for c in rouge_names])
+    agg = per.groupBy(*group_cols).agg(*bleu_sums(4), *[F.avg(c).alias(c) for c in rouge_names],
+                                       *[F.sum(a).alias(a) for a in own_cols], F.count(F.lit(1)).alias("_rows"))
+    finish = (METRICS if metrics is None else metrics)
     wide = agg.select(
         *group_cols,
         *[bleu_finish(n).alias(f"BLEU-{n}") for n in range(1, 5)],
         *[F.col(f"{t}_fmeasure").alias(f"ROUGE-{t[5:]}-fmeasure") for t in ("rouge1", "rouge2", "rougeL")],
         *[F.col(f"{t}_recall").alias(f"ROUGE-{t[5:]}-recall") for t in ("rouge1", "rouge2", "rougeL")],
+        *[finish[m].finish({n: F.col(a) for a, (n, _) in cols.items()}, F.col("_rows")).cast("double").alias(m)
+          for m, cols in own.items()],
     )
     metric_cols = [c for c in wide.columns if c not in group_cols]
     return wide.unpivot(list(group_cols), metric_cols, "metric", "value")

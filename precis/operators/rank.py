@@ -17,8 +17,11 @@ Design notes (scale):
   the matrix of its sentence vectors (``applyInArrow``, one shuffle).
 * LexRank thresholds each pair similarity, which needs the exact pair
   value; candidates come from exact prefix filtering (rare words only).
-* Iterations stop per document (each document converges on its own) and
-  lineage is cut with ``checkpoint()`` into ``spark.checkpoint.dir``.
+* Iterations stop per document (each document converges on its own).
+* A document of bounded size (``SMALL``) runs all its rounds where its rows
+  are: one shuffle by document, then a numpy kernel (``rank_kernels``).  A
+  larger one goes through rounds of joins and aggregates, whose state is
+  written under ``spark.checkpoint.dir``; no task holds it.
 """
 
 from __future__ import annotations
@@ -35,8 +38,15 @@ from ..functions.fixed import (LEXRANK_EPSILON, LEXRANK_THRESHOLD, LSA_SMOOTH, L
                                TEXTRANK_EPSILON, VECTOR_DIVISOR_EPS)
 from ..functions.text import rank_words, split_sentences, whitespace_tokens
 from ..session import cut_lineage
+from . import rank_kernels
 
 K = ["doc_id", "i"]
+#: Sentences, and characters in them, of a document that one task may hold.
+SMALL = (2_000, 1_000_000)
+#: Edges and nodes of a document's graph that one task may hold.
+SMALL_GRAPH = 1_000_000
+#: Sentence vectors that one task holds at a time.
+VECTOR_BLOCK = 20_000
 # A row of the cosine graph whose weights sum to (numerically) zero is
 # dangling: exactly zero for a zero vector or a one-sentence document.
 DANGLING_EPS = 1e-12
@@ -80,6 +90,32 @@ def _checkpoint(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return cut_lineage(df, "rank", replaces)
 
 
+def _split_by_size(rows: DataFrame, *too_large: Column) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` of documents that a task may hold, and those of larger ones (or None)."""
+    large = rows.groupBy("doc_id").agg(*(c.alias(f"_x{k}") for k, c in enumerate(too_large)))
+    large = _checkpoint(large.where(" or ".join(f"_x{k}" for k in range(len(too_large)))).select("doc_id"))
+    if large.isEmpty():
+        return rows, None
+    same = rows["doc_id"].eqNullSafe(large["doc_id"])
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+
+def _small_and_large(sents: DataFrame, small: tuple[int, int] | None) -> tuple[DataFrame, DataFrame | None]:
+    n, chars = SMALL if small is None else small
+    return _split_by_size(sents, F.count(F.lit(1)) > n, F.coalesce(F.sum(F.length("sentence")), F.lit(0)) > chars)
+
+
+def _in_tasks(rows: DataFrame, kernel, converged: bool = True) -> DataFrame:
+    """A kernel over each document's rows: ``(doc_id, i, score[, converged])``."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    more = ", converged boolean" if converged else ""
+    return rows.groupBy("doc_id").applyInArrow(kernel, f"doc_id {types['doc_id']}, i {types['i']}, score double{more}")
+
+
+def _words(sents: DataFrame) -> DataFrame:
+    return sents.select(*K, rank_words("sentence").alias("words"))
+
+
 @contextmanager
 def _by_document(spark):
     """Within this, rows dealt out by ``doc_id`` need no further exchange for
@@ -142,15 +178,17 @@ def _rounds(x: DataFrame, step, tol: float, norm: str, scale_tol_by_n: bool, max
 
 def _iterate_edges(nodes: DataFrame, edges: DataFrame, alpha: float, tol: float, norm: str = "l2",
                    scale_tol_by_n: bool = False, max_rounds: int | None = None, rounds_per_write: int = 8) -> DataFrame:
-    """As :func:`_iterate` for ``x'_j = alpha sum_i x_i w_ij + (1 - alpha) / N``
-    over explicit edges ``(doc_id, i, j, w)`` and ``nodes (doc_id, i, N)``.
+    """As :func:`_iterate` for ``x'_j = alpha (sum_i x_i w_ij + D / N) + (1 - alpha) / N``
+    over explicit edges ``(doc_id, i, j, w)`` and ``nodes (doc_id, i, N)``; ``D``
+    is the sum over the nodes that ``nodes`` marks ``loose``, if it does.
 
     A round is one join and one aggregate: a node's own loop carries its
     scores so far along.  So a write holds several rounds, and the first round
     whose change is within ``tol`` is picked from each document's history.
     """
-    hops = _checkpoint(edges.select("doc_id", "i", "j", "w", F.lit(False).alias("own")).unionByName(
-        nodes.select("doc_id", "i", F.col("i").alias("j"), F.lit(0.0).alias("w"), F.lit(True).alias("own"))))
+    loose = F.col("loose") if "loose" in nodes.columns else F.lit(False)
+    hops = _checkpoint(edges.select("doc_id", "i", "j", "w", F.lit(False).alias("own"), F.lit(False).alias("loose")).unionByName(
+        nodes.select("doc_id", "i", F.col("i").alias("j"), F.lit(0.0).alias("w"), F.lit(True).alias("own"), loose.alias("loose"))))
     x = _checkpoint(nodes.select("doc_id", "i", "N", (1.0 / F.col("N")).alias("x"), F.lit("live").alias("state")))
     with _by_document(x.sparkSession):
         x = _edge_rounds(x, hops, alpha, tol, norm, scale_tol_by_n, max_rounds, rounds_per_write)
@@ -167,9 +205,11 @@ def _edge_rounds(x: DataFrame, hops: DataFrame, alpha: float, tol: float, norm:
         h = x.where("state = 'live'").select("doc_id", "i", "N", F.array("x").alias("h")).repartition("doc_id")
         for r in range(k):
             flow = h.join(hops, K).groupBy("doc_id", F.col("j").alias("i"), "N").agg(
-                F.sum(F.col("h")[r] * F.col("w")).alias("s"), F.first(F.when(F.col("own"), F.col("h")), True).alias("h"))
+                F.sum(F.col("h")[r] * F.col("w")).alias("s"), F.first(F.when(F.col("own"), F.col("h")), True).alias("h"),
+                F.max(F.col("own") & F.col("loose")).alias("loose"))
+            mass = F.sum(F.when(F.col("loose"), F.col("h")[r]).otherwise(0.0)).over(Window.partitionBy("doc_id"))
             h = flow.select("doc_id", "i", "N", F.concat("h", F.array(
-                alpha * F.col("s") + (1 - alpha) / F.col("N"))).alias("h"))
+                alpha * (F.col("s") + mass / F.col("N")) + (1 - alpha) / F.col("N"))).alias("h"))
         h = _checkpoint(h)
         change = [F.col("h")[r] - F.col("h")[r - 1] for r in range(1, k + 1)]
         errs = h.groupBy("doc_id").agg(*[(F.sqrt(F.sum(d * d)) if norm == "l2" else F.sum(F.abs(d))).alias(f"e{r}")
@@ -224,7 +264,7 @@ def lsa_scores(sents: DataFrame, smooth: float = LSA_SMOOTH) -> DataFrame:
 
 # ------------------------------------------------------------------ R6 KL-Sum
 
-def kl_scores(sents: DataFrame, n: int) -> DataFrame:
+def kl_scores(sents: DataFrame, n: int, small: tuple[int, int] | None = None) -> DataFrame:
     """Greedy KL-Sum, ``n`` rounds.
 
     A round scores every remaining sentence ``s`` by
@@ -235,6 +275,12 @@ def kl_scores(sents: DataFrame, n: int) -> DataFrame:
     counts and one aggregate - never sentence pairs.  Chosen sentences score
     ``-round``; the rest ``-n``.
     """
+    rows, large = _small_and_large(sents, small)
+    out = _in_tasks(_words(rows), rank_kernels.kl_sum(n), converged=False)
+    return out if large is None else out.unionByName(_kl_rounds(large, n))
+
+
+def _kl_rounds(sents: DataFrame, n: int) -> DataFrame:
     wc = _shared_word_counts(sents)
     tot = wc.groupBy("doc_id").agg(F.sum("c").alias("T"))
     pw = wc.groupBy("doc_id", "w").agg(F.sum("c").alias("tf")).join(tot, "doc_id") \
@@ -288,7 +334,8 @@ def _g(la: Column, lb: Column) -> Column:
     return F.when((la == 1) & (lb == 1), F.lit(1.0)).otherwise(1.0 / (F.log(la) + F.log(lb)))
 
 
-def textrank_scores(sents: DataFrame, damping: float = TEXTRANK_DAMPING, tol: float = TEXTRANK_EPSILON) -> DataFrame:
+def textrank_scores(sents: DataFrame, damping: float = TEXTRANK_DAMPING, tol: float = TEXTRANK_EPSILON,
+                    small: tuple[int, int] | None = None) -> DataFrame:
     """R2: overlap TextRank with the pair weights factored by sentence length.
 
     With ``C(w, L) = sum over sentences j of length L of c_j(w)``:
@@ -298,6 +345,12 @@ def textrank_scores(sents: DataFrame, damping: float = TEXTRANK_DAMPING, tol: fl
     A sentence without words has no edges; its mass ``D`` is spread evenly, so
     that none is lost and the iteration settles.
     """
+    rows, large = _small_and_large(sents, small)
+    out = _in_tasks(_words(rows), rank_kernels.textrank(damping, tol, ROW_NORM_EPS))
+    return out if large is None else out.unionByName(_textrank_rounds(large, damping, tol))
+
+
+def _textrank_rounds(sents: DataFrame, damping: float, tol: float) -> DataFrame:
     wc = _shared_word_counts(sents)
     cwl = wc.groupBy("doc_id", "w", F.col("L").alias("Lb")).agg(F.sum("c").alias("csum"))
     rs = wc.join(cwl, ["doc_id", "w"]).groupBy(*K).agg(
@@ -374,8 +427,15 @@ def lexrank_edges(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD) -> Dat
     return sim.unionByName(sim.select("doc_id", F.col("j").alias("i"), F.col("i").alias("j"))).unionByName(selfs)
 
 
-def lexrank_scores(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD, tol: float = LEXRANK_EPSILON) -> DataFrame:
+def lexrank_scores(sents: DataFrame, threshold: float = LEXRANK_THRESHOLD, tol: float = LEXRANK_EPSILON,
+                   small: tuple[int, int] | None = None) -> DataFrame:
     """Power iteration (no damping) over the degree-normalised edges."""
+    rows, large = _small_and_large(sents, small)
+    out = _in_tasks(_words(rows), rank_kernels.lexrank(threshold, tol))
+    return out if large is None else out.unionByName(_lexrank_rounds(large, threshold, tol))
+
+
+def _lexrank_rounds(sents: DataFrame, threshold: float, tol: float) -> DataFrame:
     edges = lexrank_edges(sents, threshold)
     edges = _checkpoint(edges)
     deg = edges.groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("deg"))
@@ -412,7 +472,7 @@ def sentence_vectors(sents: DataFrame, vectors: DataFrame, dim: int) -> DataFram
 def _cosine_rank(alpha: float, tol: float, max_rounds: int, dangling: float):
     """One document's rounds of :func:`embedding_textrank_scores`."""
     def run(table: pa.Table) -> pa.Table:
-        v = np.array(table.column("vec").to_pylist(), float).reshape(table.num_rows, -1)
+        v = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         n, size = len(v), np.linalg.norm(v, axis=1)
         u = np.divide(v, size[:, None], out=np.zeros_like(v), where=size[:, None] > 0)
         uu = (u * u).sum(axis=1)
@@ -471,20 +531,29 @@ def embedding_textrank_order(scores: DataFrame, sents: DataFrame, n: int) -> Dat
 # ------------------------------------------------------------------ R7 generic
 
 def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = PAGERANK_ALPHA, tol: float = PAGERANK_TOL,
-             max_rounds: int = PAGERANK_MAX_ITER) -> DataFrame:
+             max_rounds: int = PAGERANK_MAX_ITER, small: int | None = None) -> DataFrame:
     """R7 over an explicit weighted edge table ``(doc_id, i, j, w)`` (directed;
     give both directions for an undirected graph) and ``nodes (doc_id, i)``:
     rows normalised by their weight sum, dangling mass spread evenly,
     stop when the L1 change is below ``N * tol``.  ``max_rounds`` is the
-    library's own limit; beyond it a document has no scores."""
+    library's own limit; beyond it a document has no scores.  Edges join nodes
+    that ``nodes`` names."""
+    rows = edges.select("doc_id", "i", "j", F.col("w").cast("double").alias("w")).unionByName(
+        nodes.select(*K, F.lit(None).cast(edges.schema["j"].dataType).alias("j"), F.lit(None).cast("double").alias("w")))
+    rows, large = _split_by_size(rows, F.count(F.lit(1)) > (SMALL_GRAPH if small is None else small))
+    out = _in_tasks(rows, rank_kernels.pagerank(alpha, tol, max_rounds))
+    if large is None:
+        return out
+    return out.unionByName(_pagerank_rounds(large.where("j is not null"), large.where("j is null"), alpha, tol, max_rounds))
+
+
+def _pagerank_rounds(edges: DataFrame, nodes: DataFrame, alpha: float, tol: float, max_rounds: int) -> DataFrame:
     ws = edges.groupBy(*K).agg(F.sum("w").alias("ws"))
     nd = nodes.select(*K).join(_doc_sizes(nodes), "doc_id").join(ws, K, "left")
     nd = _checkpoint(nd.withColumn("ws", F.coalesce("ws", F.lit(0.0))))
     share = edges.join(ws, K).where("ws <> 0").select("doc_id", "i", "j", (F.col("w") / F.col("ws")).alias("w"))
-    # a node without edges spreads its score evenly: an edge to each node
-    loose = nd.where("ws = 0").select("doc_id", "i", (1.0 / F.col("N")).alias("w")).join(
-        nd.select("doc_id", F.col("i").alias("j")), "doc_id").select("doc_id", "i", "j", "w")
-    return _iterate_edges(nd.select(*K, "N"), share.unionByName(loose), alpha, tol, "l1", True, max_rounds)
+    nodes = nd.select(*K, "N", (F.col("ws") == 0).alias("loose"))
+    return _iterate_edges(nodes, share, alpha, tol, "l1", True, max_rounds)
 
 
 # ------------------------------------------------------------------ F11, R8, R10
@@ -517,17 +586,56 @@ RANKERS = {
     "KL": lambda s, n, vectors: kl_scores(s, n),
     "MyTextRank": lambda s, n, vectors: embedding_textrank_scores(sentence_vectors(s, *vectors)),
 }
+#: Separator of rankers whose summaries are in score order, not in that of the document.
+SCORE_ORDER = {"MyTextRank": ". "}
 
 
-def register_ranker(name: str, scores) -> None:
+def register_ranker(name: str, scores):
     """Add a ranker, ``(sentences, n, vectors) -> (doc_id, i, score)``
-    with ``vectors`` as ``(word-vector table, dimension)`` or None."""
+    with ``vectors`` as ``(word-vector table, dimension)`` or None.  Returns a
+    function that takes it out again (what it replaced comes back)."""
+    before = RANKERS.get(name)
     RANKERS[name] = scores
 
+    def undo() -> None:
+        if before is None:
+            RANKERS.pop(name, None)
+        else:
+            RANKERS[name] = before
+
+    return undo
+
+
+def summarise_models(sents: DataFrame, models, n, most: int | None = None,
+                     vectors: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """``(model, doc_id, summary)`` by all named rankers in one plan: their
+    scores are one table, with one top-n per model and document and one join
+    back to the sentences.
+
+    ``n`` is a number, or a Column over ``doc_id`` with ``most`` its largest
+    value.  Sentences are in document order, joined by a space, except for the
+    rankers in ``SCORE_ORDER``.
+    """
+    most = n if most is None else most
+    scored = None
+    for m in models:
+        part = RANKERS[m](sents, most, vectors).select(F.lit(m).alias("model"), *K, "score")
+        scored = part if scored is None else scored.unionByName(part)
+    best = Window.partitionBy("model", "doc_id").orderBy(F.desc(F.round("score", 9)), F.asc("i"))
+    top = scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= most)
+    top = top.where(F.col("rn") <= (n if isinstance(n, Column) else F.lit(n))).join(sents, K)
+    own = F.col("model").isin(*SCORE_ORDER)
+    sep = F.lit(" ")
+    for m, mark in SCORE_ORDER.items():
+        sep = F.when(F.col("model") == m, F.lit(mark)).otherwise(sep)
+    lines = F.array_sort(F.collect_list(F.struct(F.when(own, F.col("rn")).otherwise(F.col("i")).alias("at"), "sentence")))
+    return top.groupBy("model", "doc_id").agg(lines.alias("lines")).select(
+        "model", "doc_id", F.array_join(F.transform("lines", lambda x: x["sentence"]), "\u0001").alias("summary"), sep.alias("sep")) \
+        .select("model", "doc_id", F.replace("summary", F.lit("\u0001"), F.col("sep")).alias("summary"))
+
 
 def summarise(sents: DataFrame, model: str, n: int, vectors: tuple[DataFrame, int] | None = None) -> DataFrame:
     """``(doc_id, summary)`` by a named ranker: sentences in document order
     joined by a space; the embedding ranker keeps score order and joins by
     ``". "``."""
-    scores = RANKERS[model](sents, n, vectors)
-    return embedding_textrank_order(scores, sents, n) if model == "MyTextRank" else assemble(scores, sents, n)
+    return summarise_models(sents, [model], n, vectors=vectors).select("doc_id", "summary")

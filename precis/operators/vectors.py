@@ -48,10 +48,12 @@ def text_vectors(df: DataFrame, key_cols: list[str], text_col: str, vectors: Dat
 
 
 def glove_cosine(pairs: DataFrame, key_cols: list[str], vectors: DataFrame, dim: int,
-                 pred: str = "prediction", ref: str = "reference") -> DataFrame:
+                 pred: str = "prediction", ref: str = "reference", group_cols: tuple[str, ...] = ()) -> DataFrame:
     """Mean row-wise cosine of aligned prediction and reference
-    vectors (the diagonal only, never the N x N matrix)."""
-    return rowwise_cosine(pairs, key_cols, vectors, dim, pred, ref).agg(F.avg("cosine").alias("glove_cosine"))
+    vectors (the diagonal only, never the N x N matrix), of all rows or by
+    ``group_cols`` (among the keys)."""
+    rows = rowwise_cosine(pairs, key_cols, vectors, dim, pred, ref)
+    return rows.groupBy(*group_cols).agg(F.avg("cosine").alias("glove_cosine"))
 
 
 def rowwise_cosine(pairs: DataFrame, key_cols: list[str], vectors: DataFrame, dim: int,
