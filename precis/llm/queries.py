@@ -15,7 +15,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), with_shared=True)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

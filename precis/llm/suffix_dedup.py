@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from precis.llm.common import (bit_filter, broadcast_if_small, in_filter, key_groups, materialise, mix64, powers,
                                text_rows, window_min)
+from precis.llm.shared_words import shared_words
 
 LENGTH = 400
 _GRAM = 100
@@ -327,9 +328,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = GROUP_LIMIT,
-                   with_kept: bool = False) -> DataFrame:
+                   with_kept: bool = False, with_shared: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every document, and the
-    kept bytes if asked for.
+    kept bytes if asked for; with ``with_shared`` also n_shared_words.
 
     Every byte is removed that a string of 400 bytes covers which also starts
     anywhere else, in the same or another document, overlaps included; strings
@@ -339,10 +340,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows are occurrences of their own, so repeated long texts go whole.  Null
     ids stay null; an empty table gives an empty one; other columns are not
     read.  Runs are compared by 128-bit fingerprints where their bytes are not.
+
+    n_shared_words (long) tells of passages that repeat across documents but
+    may be shorter than 400 bytes: the words inside runs of 51 words that
+    another document holds too.  They are not removed; rows with equal ids and
+    texts are one document in this.
     """
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_spans(docs, id_col, text_col, limit)
-    rows = keyed.join(spans, ["kd", "kt"], "left").select("id", "text", "spans")
+    shared = F.lit(None).cast("long")
+    if with_shared:
+        passages = materialise(shared_words(keyed), "shared-words").withColumnRenamed("n_shared_words", "shared")
+        # 16 bytes a key and a number: both go to the texts in one join
+        spans = spans.join(passages, ["kd", "kt"], "full")
+        shared = F.coalesce("shared", F.lit(0).cast("long"))
+    rows = keyed.join(spans, ["kd", "kt"], "left").select("id", "text", "spans", shared.alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_rows(batches, "text", _BATCH):
@@ -361,10 +373,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     o.append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *(pa.array(o, t) for o, t in zip(
-                    out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))],
-                names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))), batch.column("shared")],
+                names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "shared"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    out = rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, shared bigint")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256",
-                      *(["kept"] if with_kept else []))
+                      *(["kept"] if with_kept else []), *([F.col("shared").alias("n_shared_words")] if with_shared else []))

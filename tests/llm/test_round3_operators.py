@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from precis.llm import filter_audit, line_dedup, repair
+from precis.llm import filter_audit, line_dedup, repair, suffix_dedup
 from precis.llm.line_dedup import Cuckoo, LineIndex
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -120,6 +120,41 @@ def test_lines_without_filters_are_the_same(spark, monkeypatch):
     assert sorted((tuple(r) for r in index.apply(df).collect()), key=str) == want
 
 
+# ------------------------------------------------------------------ words of shared passages (op1)
+
+def brute_shared(rows, n=51):
+    words = {k: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(k[1] or "")) for k in set(rows)}
+    holders = defaultdict(set)
+    for k, w in words.items():
+        for s in range(len(w) - n + 1):
+            holders[tuple(w[s:s + n])].add(k)
+    out = {}
+    for k, w in words.items():
+        hit = {j for s in range(len(w) - n + 1) if len(holders[tuple(w[s:s + n])]) > 1 for j in range(s, s + n)}
+        out[k] = len(hit)
+    return sorted(((k[0], out[k]) for k in rows), key=str)
+
+
+def test_shared_words_equal_brute_force(spark, tables, odd_docs):
+    r = random.Random(8)
+    passages = [[r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(45, 130))] for _ in range(5)]
+    rows = []
+    for i in range(50):
+        w = []
+        for _ in range(r.randint(0, 3)):
+            w += [f"{r.choice('klmnop')}{r.randint(0, 99)}" for _ in range(r.randint(0, 30))]
+            p = r.choice(passages)
+            w += p[r.randint(0, 20):len(p) - r.randint(0, 20)] * r.choice([1, 1, 2])
+        rows.append((i, r.choice([" ", "\n", ", "]).join(w).title()))
+    rows += [rows[3], (70, rows[4][1])]
+    got = lambda df: sorted(((x.doc_id, x.n_shared_words) for x in suffix_dedup.remove_repeats(df, with_shared=True).collect()), key=str)
+    want = brute_shared(rows)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want and sum(x[1] > 0 for x in want) > 10
+    assert got(tables["documents"]) == brute_shared([tuple(x) for x in tables["documents"].select("doc_id", "text").collect()])
+    df, odd = odd_docs
+    assert got(df) == brute_shared([x[:2] for x in odd])
+
+
 # ------------------------------------------------------------------ op12
 
 def brute_audit(docs, labels):
