@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.llm.common import bit_filter, broadcast_if_small, in_filter, materialise, text_rows, window_min
+from precis.llm.common import bit_filter, broadcast_if_small, in_filter, materialise, positional, text_rows, window_min
 from precis.llm.words import Words, grams, within, words_of
 
 #: Words in a window, and in a fingerprinted k-gram.  The least fingerprint of
@@ -129,9 +129,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns kept."""
+    """The rows of ``docs`` without a hit, all columns kept, whatever their names.
+
+    Null texts and texts without words have no hits and stay; of rows with
+    equal ids each is judged by its own text; empty tables give an empty one,
+    or all rows."""
     bad = materialise(contamination(docs, items, id_col, text_col, with_hash=True).where("contaminated")
                       .select(F.col(id_col).alias("_contaminated_id"), F.col("th").alias("_contaminated_th")).distinct(), "contaminated")
-    small = broadcast_if_small(bad, 200_000)
-    return docs.join(small, F.col(id_col).eqNullSafe(F.col("_contaminated_id"))
-                     & (F.xxhash64(text_col) == F.col("_contaminated_th")), "left_anti")
+    rows, (own_id, own_text) = positional(docs, id_col, text_col)
+    return rows.join(broadcast_if_small(bad, 200_000), F.col(own_id).eqNullSafe(F.col("_contaminated_id"))
+                     & (F.xxhash64(own_text) == F.col("_contaminated_th")), "left_anti").toDF(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precis.llm.common import (bit_filter, broadcast_if_small, components, in_filter, key_groups, materialise, mix64,
-                               text_rows)
+                               positional, text_rows)
 from precis.llm.words import grams, within, words_of
 
 SHINGLE = 5
@@ -298,8 +298,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near copies: of each group of linked documents the
-    row with the least id (then the least text hash) stays, all columns kept.
-    Rows with null ids go last in a group; of repeated rows one stays."""
+    row with the least id (then the least text hash) stays, all columns kept,
+    whatever their names.  Rows with null ids go last in a group; of repeated
+    rows one stays.  Texts without words (null and empty ones among them) have
+    no copies and stay; an empty table gives an empty one."""
     signed, named = _linked(docs, id_col, text_col)
     rows = signed.where("n > 0").select("id", "th", "rid", "s1", "s2", "n").join(
         named.select("s1", "s2", "n", "root"), ["s1", "s2", "n"])
@@ -309,9 +311,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = rows.join(best, "root").withColumn("stays", F.col("rid") == F.col("best.rid"))
     keys = materialise(marked.groupBy(F.col("id").alias("_copy_id"), F.col("th").alias("_copy_th")).agg(
         F.max("stays").alias("_copy_stays"), F.count("*").alias("_copy_rows")).where("not _copy_stays or _copy_rows > 1"), "copies")
-    match = F.col(id_col).eqNullSafe(F.col("_copy_id")) & (F.xxhash64(text_col) == F.col("_copy_th"))
-    out = docs.join(broadcast_if_small(keys, 200_000), match, "left_anti")
+    rows, (own_id, own_text) = positional(docs, id_col, text_col)
+    match = F.col(own_id).eqNullSafe(F.col("_copy_id")) & (F.xxhash64(own_text) == F.col("_copy_th"))
+    out = rows.join(broadcast_if_small(keys, 200_000), match, "left_anti")
     repeated = keys.where("_copy_stays")  # the row that stays has equal rows: take one of them
     if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, match).dropDuplicates(["_copy_id", "_copy_th"]).select(*docs.columns))
-    return out
+        out = out.unionByName(rows.join(repeated, match).dropDuplicates(["_copy_id", "_copy_th"]).select(*rows.columns))
+    return out.toDF(*docs.columns)

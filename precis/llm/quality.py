@@ -90,7 +90,11 @@ def _features(dictionaries):
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Raw content: one run of each text, from a place that its length sets."""
+    """Raw content: one run of each text, from a place that its length sets.
+
+    DICTIONARY_BYTES is a second bound: a run is 1 KB at least, so that a
+    dictionary is full after 256 texts of that length, in the sample's order;
+    further ones are not used."""
     run = max(PIECE, DICTIONARY_BYTES // max(len(texts), 1))
     out = []
     for t in texts:
@@ -125,7 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The sample is the documented bound: ``per_class`` labelled ids of each
     class in hash order, of which texts of up to ``max_bytes`` bytes are used
     (at most 2 * per_class * max_bytes bytes on the driver).  Half of each
-    class makes the dictionaries, the other half the calibration.  Held-out
+    class makes the dictionaries, the other half the calibration.  A
+    dictionary holds ``DICTIONARY_BYTES``: runs of 1 KB or more of the first
+    texts, 256 of them if they are long.  Held-out
     ids, ids with two different labels and null labels are left out.  Without
     rows of both classes the score is the share of good labels (0.5 if there
     are none).

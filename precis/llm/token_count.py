@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.llm.common import BATCH_BYTES, text_rows
+from precis.llm.common import ASCII_SPACE, BATCH_BYTES, text_rows
 
 #: Longest unit kept in a task's table of known lengths, and its largest size.
 _KEEP_BYTES, _KEEP_UNITS = 64, 400_000
@@ -27,6 +27,18 @@ def _tokenizer(path: str):
     return tok
 
 
+def check_boundaries(path: str) -> None:
+    """Raise ValueError if the tokenizer does not count alike when texts are cut
+    at the space characters of the byte range (a byte-level one that keeps the
+    space in the token does not)."""
+    tok = _tokenizer(path)
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    for a, b in (("ab", "cd"), ("Word", "next"), ("x.", "'s"), ("12", "3"), ("é", "ü!"), ("(", ")")):
+        for c in (*ASCII_SPACE, "  ", "\n\n", " \t"):
+            if len(ids(f"{a}{c}{b}")) != len(ids(a)) + len(ids(b)):
+                raise ValueError(f"{path}: tokens reach across white space ({a!r}, {c!r}, {b!r}); texts cannot be cut there")
+
+
 def pieces(text: bytes, limit: int) -> Iterator[bytes]:
     """Cut a long text behind byte-range space characters into pieces of about
     ``limit`` bytes.  A run without such a character is never cut."""
@@ -76,7 +88,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(id, n_bytes, n_tokens, over_limit) of every row; other columns are not read.
 
     ``path`` names a tokenizer file of the tokenizers library whose
-    pre-tokenizer never joins characters across white space and drops it.
+    pre-tokenizer never joins characters across white space and drops it
+    (:func:`check_boundaries` tries that first, and raises ValueError).
     Then the space characters of the byte range are safe boundaries: neither
     normal form C, nor lower-casing, nor the split pattern, nor the special
     strings reach across one.  Texts are cut there, each distinct unit of a
@@ -86,6 +99,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     Null and empty texts have 0 bytes and 0 tokens.  A null id stays null;
     repeated rows give repeated results; an empty table gives an empty one.
     """
+    check_boundaries(path)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     id_type = src.schema["id"].dataType.simpleString()
 

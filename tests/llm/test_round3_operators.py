@@ -384,3 +384,111 @@ def test_rules_change_nothing_and_pairs_are_replaced_from_the_left():
     direct = repair.product(repair.product(repair.product(m[3], m[5]), m[3]), m[5])
     plain = lambda x: [[e and (e[0], str(e[1])) for e in row] for row in x]
     assert plain(m[10]) == plain(direct)
+
+
+# ------------------------------------------------------------------ pipeline and helpers
+
+CLASHING = ("_copy_id", "_copy_th", "_copy_stays", "_copy_rows", "_contaminated_id", "_contaminated_th", "mix_domain", "mix_epoch",
+            "mix_tokens", "mix_budget", "_own0", "_own1", "domain", "n_tokens", "id", "th", "rid", "score", "key", "bin")
+
+
+def words_of_text(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+
+
+def brute_kept(rows):
+    """Rows left by the near-duplicate stage: all pairs of 5-word sets, linked at 0.8."""
+    sets = []
+    for _, t in rows:
+        w = words_of_text(t)
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            root[find(a)] = find(b)
+    groups = defaultdict(list)
+    for k, r in enumerate(rows):
+        groups[find(k)].append((r[0] is None, r[0] or 0))
+    return sorted(min(g) for g in groups.values())
+
+
+def brute_clean(rows, items):
+    """Rows left by decontamination: no window of ten words of an item."""
+    windows = set()
+    for t in items:
+        w = words_of_text(t)
+        windows |= {tuple(w[i:i + 10]) for i in range(max(len(w) - 9, 1))} if w else set()
+    sizes = {len(x) for x in windows}
+    clean = []
+    for i, t in rows:
+        w = words_of_text(t)
+        if not any(tuple(w[s:s + n]) in windows for n in sizes for s in range(len(w) - n + 1)):
+            clean.append((i is None, i or 0))
+    return sorted(clean)
+
+
+def ids(df):
+    return sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
+
+
+def test_stages_equal_brute_force_and_keep_clashing_columns(spark, tables, odd_docs):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    items = [r.text for r in tables["benchmark"].select("text").collect()]
+    for docs in (tables["documents"].withColumns({c: F.lit(f"own {c}") for c in CLASHING}),
+                 odd_docs[0].select("doc_id", "text", "lang", "source").withColumns({c: F.lit(f"own {c}") for c in CLASHING})):
+        rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+        one = cp.quality_classifier(spark, docs, sf)
+        assert one.columns == docs.columns and set(ids(one)) <= set(ids(docs))
+        two = cp.ngram_jaccard_join(spark, docs, sf)
+        three = cp.benchmark_decontamination(spark, docs, sf)
+        four = cp.secret_scan(spark, docs, sf)
+        five = cp.source_mixing(spark, docs, sf)
+        assert ids(two) == brute_kept(rows) and ids(three) == brute_clean(rows, items) and ids(four) == ids(docs)
+        assert five.columns == [*docs.columns, "mix_domain_", "mix_epoch_", "mix_tokens_", "mix_budget_"]
+        for out in (one, two, three, four, five):
+            assert out.select(*CLASHING).distinct().collect() in ([], [tuple(f"own {c}" for c in CLASHING)])
+
+
+def test_mixing_stage_equals_sql(spark, tables, tmp_path):
+    import duckdb
+
+    import corpus_pipeline as cp
+    from precis.llm import oracle
+
+    docs = tables["documents"].where("doc_id % 3 <> 1")
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = con.sql(oracle.MIXING).fetchall()
+    names = con.sql(oracle.MIXING).columns
+    got = cp.source_mixing(spark, docs, "").select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source",
+                                                   F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"),
+                                                   F.col("mix_budget").alias("budget"))
+    assert sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(str, want))
+
+
+def test_bit_filter_is_that_of_all_values(spark):
+    from precis.llm.common import bit_filter, in_filter
+
+    v = np.random.default_rng(7).integers(-2**63, 2**63, 5000)
+    bits = bit_filter(spark.createDataFrame([(int(x),) for x in v], "h long").repartition(5), "h")
+    assert len(bits) == 1 << 21 and in_filter(bits, v.view(np.uint64)).all()
+    assert in_filter(bits, np.random.default_rng(8).integers(-2**63, 2**63, 50_000).view(np.uint64)).mean() < 0.001
+    assert not bit_filter(spark.createDataFrame([], "h long"), "h").any()
+
+
+def test_tokenizers_that_keep_spaces_are_refused(tables):
+    import public_tokenizers
+
+    from precis.llm import token_count
+
+    with pytest.raises(ValueError, match="white space"):
+        token_count.count_tokens(tables["documents"], public_tokenizers.path("byte_bpe_50k.json"))
