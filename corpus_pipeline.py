@@ -4,6 +4,11 @@ duplicates, benchmark decontamination, secrets, and the mix of sources.
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 it kept, and returns the columns of documents; the last one adds, for each time
 that a document is taken, its place in the mix.
+
+In every stage null and empty texts are texts without words: they are scored as
+any other, have no copies, hits or secrets, and 0 tokens.  Rows with a null id
+are rows of their own; of equal rows the join keeps one.  Further columns pass
+through, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -40,11 +45,21 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time that a document is taken."""
+    """The mix: a row for each time that a document is taken, with mix_domain,
+    mix_epoch, mix_tokens and mix_budget beside its own columns.  Where a column
+    has such a name already, it stays, and the new one ends in "_"."""
     mixed = mixing.mix(docs, mixing.WEIGHTS, with_columns=True)
-    added = {"mix_domain": "domain", "mix_epoch": "epoch", "mix_tokens": "n_tokens", "mix_budget": "budget"}
-    return mixed.select(*(F.col(f"_own{i}").alias(c) for i, c in enumerate(docs.columns) if c not in added),
-                        *(F.col(v).alias(k) for k, v in added.items()))
+    # by place: mix() may name a column of its own like one of the documents'
+    n, names = len(mixed.columns) - len(docs.columns), list(docs.columns)
+    flat = mixed.toDF(*(f"_mix{i}" for i in range(n)), *(f"_own{i}" for i in range(len(docs.columns))))
+    facts = {c: f"_mix{i}" for i, c in enumerate(mixed.columns[:n])}
+    added = []
+    for name, fact in (("mix_domain", "domain"), ("mix_epoch", "epoch"), ("mix_tokens", "n_tokens"), ("mix_budget", "budget")):
+        while name in names:
+            name += "_"
+        names.append(name)
+        added.append(F.col(facts[fact]).alias(name))
+    return flat.select(*(F.col(f"_own{i}").alias(c) for i, c in enumerate(docs.columns)), *added)
 
 
 STAGES = [("quality classifier", quality_classifier), ("n-gram Jaccard join", ngram_jaccard_join),
@@ -52,7 +67,7 @@ STAGES = [("quality classifier", quality_classifier), ("n-gram Jaccard join", ng
           ("mixing sources", source_mixing)]
 
 #: The classifier's scores are not expressible in SQL; tests/llm compares the
-#: stages with brute force.
+#: other stages with brute force of their own, and the mix with SQL.
 ORACLE_SQL = None
 
 
