@@ -7,6 +7,7 @@ _MODULES = (
     "text_queries",
     "sequence_queries",
     "rank_queries",
+    "sentence_queries",
     "vector_queries",
     "sampling_queries",
     "stream_queries",
