@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import PAGERANK_ALPHA, PAGERANK_TOL, VECTOR_DIVISOR_EPS
 from ..functions.text import whitespace_tokens
+from ..operators import embeddings as E
+from ..operators import nearest as N
 from ..operators import rank as R
 from ..operators import vectors as V
 from ..operators.metrics import cosine
@@ -202,6 +204,75 @@ def e7_nearest(spark, sf):
     return top.select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
+_COS = "CASE WHEN a.nrm > 0 AND b.nrm > 0 THEN list_dot_product(a.v, b.v) / (a.nrm * b.nrm) ELSE 0.0 END"
+
+
+@register("e2_pairwise_top",
+          "WITH " + BASE + ", " + _DOC_WV + ", " + _sv_sql("sents", "doc_id, i")
+          + ", lv AS MATERIALIZED (SELECT s.doc_id, s.i, coalesce(x.v, (SELECT list_transform(any_value(vector), lambda z: 0.0::DOUBLE) FROM wv)) AS v, "
+          "coalesce(x.nrm, 0.0) AS nrm FROM sents s LEFT JOIN (SELECT doc_id, i, list(v ORDER BY d) AS v, sqrt(sum(v * v)) AS nrm FROM sv GROUP BY ALL) x "
+          "USING (doc_id, i)), "
+          f"pc AS (SELECT a.doc_id, a.i, b.i AS j, {_COS} AS c FROM lv a JOIN lv b ON a.doc_id = b.doc_id AND a.i <> b.i) "
+          f"SELECT doc_id, i::BIGINT AS i, {_rs('sum(c)')} AS total, {_rs('max(c)')} AS best FROM "
+          "(SELECT * FROM pc QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY round(c, 9) DESC, j) <= 5) GROUP BY doc_id, i")
+def e2_pairwise_top(spark, sf):
+    """The five sentences of the document most similar to each, as the sum
+    and the largest of their cosines (which of equal ones is taken does not matter)."""
+    wv, dim = _doc_vectors(spark, sf)
+    top = N.pairwise_cosine(R.sentence_vectors(R.sentence_table(table(spark, sf, "documents")), wv, dim), top=5)
+    return top.groupBy("doc_id", F.col("i").cast("long").alias("i")).agg(_r6(F.sum("cosine")).alias("total"), _r6(F.max("cosine")).alias("best"))
+
+
+_NEAR_COS = ("list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) "
+             "* sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))")
+
+
+@register("e7_many_nearest",
+          f"SELECT query, id, round(c, 6) AS cosine FROM (SELECT q.vec_id AS query, e.vec_id AS id, {_NEAR_COS} AS c FROM embeddings q "
+          "JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0) "
+          "QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, id) <= 10")
+def e7_many_nearest(spark, sf):
+    """The ten nearest of every vector whose id is divisible by 100, against all rows."""
+    emb = table(spark, sf, "embeddings")
+    near = N.nearest_exact(emb, emb.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10)
+    return near.select("query", "id", F.round("cosine", 6).alias("cosine"))
+
+
+@register("e7_inverted_file")
+def e7_inverted_file(spark, sf):
+    """The same through an index of all rows (recall measured in the tests)."""
+    emb = table(spark, sf, "embeddings")
+    near = N.InvertedFile.build(emb, "vec_id", "embedding").nearest(emb.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10)
+    return near.select("query", "id", F.round("cosine", 6).alias("cosine"))
+
+
+_WINDOW = 5
+
+
+@register("e6_ppmi",
+          f"WITH t AS (SELECT {duck.ws_tokens('lower(text)')} AS t FROM documents), "
+          "kept AS (SELECT w FROM (SELECT unnest(t) AS w FROM t) GROUP BY w HAVING count(*) >= 2), "
+          f"pairs AS (SELECT t[i] AS a, t[i + d] AS b FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM t), range(1, {_WINDOW + 1}) r(d) WHERE i + d <= len(t)), "
+          "co AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) GROUP BY a, b), "
+          "kp AS MATERIALIZED (SELECT * FROM co WHERE a IN (SELECT w FROM kept) AND b IN (SELECT w FROM kept)), "
+          "mg AS MATERIALIZED (SELECT a AS w, sum(n) AS n FROM kp GROUP BY a), "
+          "pm AS (SELECT kp.a, kp.b, ln(kp.n * (SELECT sum(n) FROM mg) / (x.n::DOUBLE * y.n)) AS weight FROM kp JOIN mg x ON x.w = kp.a JOIN mg y ON y.w = kp.b) "
+          f"SELECT a AS word, count(*) AS contexts, {_rs('sum(weight)')} AS total, {_rs('max(weight)')} AS best FROM pm WHERE weight > 0 GROUP BY a")
+def e6_ppmi(spark, sf):
+    """The mutual information of words in a window, summed up for each word."""
+    m = E.ppmi(table(spark, sf, "documents"), window=_WINDOW)
+    return m.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("contexts"), _r6(F.sum("weight")).alias("total"),
+                                                  _r6(F.max("weight")).alias("best"))
+
+
+@register("e6_ppmi_vectors")
+def e6_ppmi_vectors(spark, sf):
+    """Word vectors by factorising that table (its error is tested)."""
+    v = E.ppmi_vectors(table(spark, sf, "documents"), window=_WINDOW, dim=32)
+    return v.select("word", F.size("vector").cast("long").alias("size"), F.round(F.sqrt(F.aggregate(
+        "vector", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
 # ------------------------------------------------------------------ R1
 
 def _r1_sql(k: int) -> str:
