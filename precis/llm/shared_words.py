@@ -1,7 +1,7 @@
 """Words of passages that several documents share, for passages of a number of
 words and not of bytes.
 
-Every window of ``WORDS`` words is named by the least hash of its word 8-grams
+Every window of ``WORDS`` words is named by the least hash of its runs of 26 words
 (its anchor), which depends on the window alone.  The windows of one anchor
 make a run; runs of one anchor hash with equal words are a class.  A class of
 two documents is shared as a whole.  Where an anchor has several classes, the
@@ -22,15 +22,12 @@ from precis.llm.words import grams, words_of
 
 #: Words of a window: passages of over 50 words.
 WORDS = 51
-_GRAM = 8
+_GRAM = 26
 _SPAN = WORDS - _GRAM  # an anchor lies 0 to _SPAN words behind its window's start
 _BATCH = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64((1 << 21) - 1)  # low bits that hold a place in a batch of ordinary texts
 
-_RUN_SQL = "array<struct<fp:bigint,g1:bigint,g2:bigint,pos:int,w:int,rel:int>>"
-_RUN = [("fp", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("pos", pa.int32()), ("w", pa.int32()), ("rel", pa.int32())]
-
 
 def _sums(hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each base running sums of a polynomial over the words, and what takes a place out of it."""
@@ -66,38 +63,57 @@ def _runs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     return (s, count, a - s, g[a], *hashed)
 
 
-def _listed(keyed: DataFrame) -> DataFrame:
-    """(kd, kt, runs) of each document that has windows."""
+def _anchors(keyed: DataFrame) -> DataFrame:
+    """(fp): the anchor hash of each run."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_rows(batches, "text", _BATCH):
+            w = words_of(texts)
+            fp = _runs(w.hashes, w.first)[3]
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], names=["fp"])
+
+    return keyed.select("text").mapInArrow(run, "fp bigint")
+
+
+def _listed(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(kd, kt, fp, g1, g2, pos, w, rel) of the runs whose anchor the filter may hold."""
+    shared = keyed.sparkSession.sparkContext.broadcast(bits)  # 2 MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_rows(batches, "text", _BATCH):
             w = words_of(texts)
-            s, count, rel, fp, g1, g2 = _runs(w.hashes, w.first)
+            runs = _runs(w.hashes, w.first)
+            ok = np.flatnonzero(in_filter(shared.value, runs[3].view(np.uint64))) if len(runs[0]) else runs[0]
+            if not len(ok):
+                continue
+            s, count, rel, fp, g1, g2 = (x[ok] for x in runs)
             owner = np.searchsorted(w.first, s, "right") - 1
-            runs = pa.StructArray.from_arrays(
-                [pa.array(fp.view(np.int64)), pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)),
-                 pa.array((s - w.first[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(rel.astype(np.int32))],
-                fields=[pa.field(*f) for f in _RUN])
-            offsets = np.searchsorted(owner, np.arange(len(texts) + 1))
+            kd, kt = (batch.column(c).to_numpy()[owner] for c in ("kd", "kt"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("kd"), batch.column("kt"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)],
-                names=["kd", "kt", "runs"])
+                [pa.array(kd), pa.array(kt), *(pa.array(x.view(np.int64)) for x in (fp, g1, g2)),
+                 *(pa.array(x.astype(np.int32)) for x in (s - w.first[owner], count, rel))],
+                names=["kd", "kt", "fp", "g1", "g2", "pos", "w", "rel"])
 
-    return keyed.select("kd", "kt", "text").mapInArrow(run, f"kd bigint, kt bigint, runs {_RUN_SQL}")
+    return keyed.select("kd", "kt", "text").mapInArrow(
+        run, "kd bigint, kt bigint, fp bigint, g1 bigint, g2 bigint, pos int, w int, rel int")
 
 
 def _windows(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(fp, g1, g2, off, wh) of the windows of runs whose class the filter may
-    hold; ``off``: from the anchor to the window's start."""
+    """(fp, g1, g2, off, h1, h2) of the windows of the runs that the filter may
+    hold, by document and class; ``off``: from the anchor to the window's start."""
     shared = keyed.sparkSession.sparkContext.broadcast(bits)  # 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_rows(batches, "text", _BATCH):
+        for batch, texts in text_rows(batches, "text", _BATCH):
             w = words_of(texts)
-            s, count, rel, fp, g1, g2 = _runs(w.hashes, w.first)
-            ok = np.flatnonzero(in_filter(shared.value, g1.view(np.uint64))) if len(s) else s
+            runs = _runs(w.hashes, w.first)
+            if not len(runs[0]):
+                continue
+            owner = np.searchsorted(w.first, runs[0], "right") - 1
+            kd, kt = (batch.column(c).to_numpy()[owner].view(np.uint64) for c in ("kd", "kt"))
+            ok = np.flatnonzero(in_filter(shared.value, kd ^ kt ^ runs[4].view(np.uint64)))
             if not len(ok):
                 continue
-            s, count, rel, fp, g1, g2 = (x[ok] for x in (s, count, rel, fp, g1, g2))
+            s, count, rel, fp, g1, g2 = (x[ok] for x in runs)
             k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(s, count) + k
             wh = [mix64((p[at + WORDS] - p[at]) * inv[at]) for p, inv in _sums(w.hashes)]
@@ -118,18 +134,18 @@ def shared_words(keyed: DataFrame) -> DataFrame:
     are runs of digits, letters and characters beyond ASCII, A-Z lower-cased;
     they are compared by hashes.
     """
-    runs = materialise(_listed(keyed), "word-runs").select("kd", "kt", F.inline("runs"))
-    again = materialise(runs.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1").select("fp"), "words-again")
+    again = materialise(_anchors(keyed).groupBy("fp").agg(F.count("*").alias("m")).where("m > 1").select("fp"), "words-again")
     # written first, so that the joins' sides are plain exchanges and a common passage can be split
-    met = materialise(runs.join(again, "fp"), "words-met")
+    met = materialise(_listed(keyed, bit_filter(again, "fp")).join(again, "fp"), "words-met")
     doc = F.struct("kd", "kt")
     classes = materialise(met.groupBy("fp", "g1", "g2").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")), "word-classes")
     whole = classes.where("lo <> hi").select("fp", "g1", "g2")
     spans = met.join(whole, ["fp", "g1", "g2"]).select("kd", "kt", F.col("pos").alias("s"), (F.col("pos") + F.col("w") - 1 + WORDS).alias("e"))
     several = classes.groupBy("fp").agg(F.count("*").alias("m"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("m > 1 and a <> b")
     mixed = materialise(classes.join(several.select("fp"), "fp"), "mixed-words")
-    windows = _windows(keyed, bit_filter(mixed, "g1")).distinct().join(mixed, ["fp", "g1", "g2"])
-    windows = materialise(windows, "word-windows")
+    # the windows of one document's run of each class
+    wanted = mixed.select(F.col("lo.kd").bitwiseXOR(F.col("lo.kt")).bitwiseXOR(F.col("g1")).alias("run"))
+    windows = materialise(_windows(keyed, bit_filter(wanted, "run")).join(mixed, ["fp", "g1", "g2"]), "word-windows")
     both = windows.groupBy("fp", "off", "h1", "h2").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").drop("a", "b")
     # a class of two documents is covered already
     parts = windows.where("lo = hi").join(both, ["fp", "off", "h1", "h2"]).groupBy("fp", "g1", "g2").agg(F.collect_set("off").alias("offs"))
