@@ -98,8 +98,8 @@ def _listed(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def _windows(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(fp, g1, g2, off, h1, h2) of the windows of the runs that the filter may
-    hold, by document and class; ``off``: from the anchor to the window's start."""
+    """(fp, g1, g2, off, h1, h2, doc) of the windows of the runs that the filter
+    may hold, by document and class; ``off``: from the anchor to the window's start."""
     shared = keyed.sparkSession.sparkContext.broadcast(bits)  # 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +114,16 @@ def _windows(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
             if not len(ok):
                 continue
             s, count, rel, fp, g1, g2 = (x[ok] for x in runs)
+            doc = (kd ^ kt)[ok]
             k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(s, count) + k
             wh = [mix64((p[at + WORDS] - p[at]) * inv[at]) for p, inv in _sums(w.hashes)]
             rep = lambda x: pa.array(np.repeat(x, count).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [rep(fp), rep(g1), rep(g2), pa.array((k - np.repeat(rel, count)).astype(np.int32)),
-                 *(pa.array(x.view(np.int64)) for x in wh)], names=["fp", "g1", "g2", "off", "h1", "h2"])
+                 *(pa.array(x.view(np.int64)) for x in wh), rep(doc)], names=["fp", "g1", "g2", "off", "h1", "h2", "doc"])
 
-    return keyed.select("kd", "kt", "text").mapInArrow(run, "fp bigint, g1 bigint, g2 bigint, off int, h1 bigint, h2 bigint")
+    return keyed.select("kd", "kt", "text").mapInArrow(run, "fp bigint, g1 bigint, g2 bigint, off int, h1 bigint, h2 bigint, doc bigint")
 
 
 def shared_words(keyed: DataFrame) -> DataFrame:
@@ -137,18 +138,17 @@ def shared_words(keyed: DataFrame) -> DataFrame:
     again = materialise(_anchors(keyed).groupBy("fp").agg(F.count("*").alias("m")).where("m > 1").select("fp"), "words-again")
     # written first, so that the joins' sides are plain exchanges and a common passage can be split
     met = materialise(_listed(keyed, bit_filter(again, "fp")).join(again, "fp"), "words-met")
-    doc = F.struct("kd", "kt")
+    doc = F.col("kd").bitwiseXOR(F.col("kt"))
     classes = materialise(met.groupBy("fp", "g1", "g2").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")), "word-classes")
     whole = classes.where("lo <> hi").select("fp", "g1", "g2")
     spans = met.join(whole, ["fp", "g1", "g2"]).select("kd", "kt", F.col("pos").alias("s"), (F.col("pos") + F.col("w") - 1 + WORDS).alias("e"))
     several = classes.groupBy("fp").agg(F.count("*").alias("m"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("m > 1 and a <> b")
-    mixed = materialise(classes.join(several.select("fp"), "fp"), "mixed-words")
-    # the windows of one document's run of each class
-    wanted = mixed.select(F.col("lo.kd").bitwiseXOR(F.col("lo.kt")).bitwiseXOR(F.col("g1")).alias("run"))
-    windows = materialise(_windows(keyed, bit_filter(wanted, "run")).join(mixed, ["fp", "g1", "g2"]), "word-windows")
-    both = windows.groupBy("fp", "off", "h1", "h2").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").drop("a", "b")
-    # a class of two documents is covered already
-    parts = windows.where("lo = hi").join(both, ["fp", "off", "h1", "h2"]).groupBy("fp", "g1", "g2").agg(F.collect_set("off").alias("offs"))
+    mixed = classes.join(several.select("fp"), "fp")
+    # the windows of each class from two of its documents, if it has two: equal windows have equal hashes, whatever their class
+    wanted = mixed.select(F.explode(F.array("lo", "hi")).alias("doc"), "g1").select(F.col("doc").bitwiseXOR(F.col("g1")).alias("run"))
+    windows = materialise(_windows(keyed, bit_filter(wanted, "run")), "word-windows")
+    both = windows.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("h1", "h2")
+    parts = windows.join(materialise(both, "windows-met"), ["h1", "h2"]).groupBy("fp", "g1", "g2").agg(F.collect_set("off").alias("offs"))
     partly = met.join(parts, ["fp", "g1", "g2"]).select("kd", "kt", F.explode("offs").alias("off"), (F.col("pos") + F.col("rel")).alias("at")) \
         .select("kd", "kt", (F.col("at") + F.col("off")).alias("s"), (F.col("at") + F.col("off") + WORDS).alias("e"))
     found = spans.unionByName(partly).groupBy("kd", "kt").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
