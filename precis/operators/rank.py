@@ -45,8 +45,6 @@ K = ["doc_id", "i"]
 SMALL = (2_000, 1_000_000)
 #: Edges and nodes of a document's graph that one task may hold.
 SMALL_GRAPH = 1_000_000
-#: Sentence vectors that one task holds at a time.
-VECTOR_BLOCK = 20_000
 # A row of the cosine graph whose weights sum to (numerically) zero is
 # dangling: exactly zero for a zero vector or a one-sentence document.
 DANGLING_EPS = 1e-12
