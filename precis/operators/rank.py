@@ -39,12 +39,15 @@ from ..functions.fixed import (LEXRANK_EPSILON, LEXRANK_THRESHOLD, LSA_SMOOTH, L
 from ..functions.text import rank_words, split_sentences, whitespace_tokens
 from ..session import cut_lineage
 from . import rank_kernels
+from .long_documents import embedding_rounds
 
 K = ["doc_id", "i"]
 #: Sentences, and characters in them, of a document that one task may hold.
 SMALL = (2_000, 1_000_000)
 #: Edges and nodes of a document's graph that one task may hold.
 SMALL_GRAPH = 1_000_000
+#: Sentences of a document whose vectors one task may hold.
+SMALL_VECTORS = 20_000
 # A row of the cosine graph whose weights sum to (numerically) zero is
 # dangling: exactly zero for a zero vector or a one-sentence document.
 DANGLING_EPS = 1e-12
@@ -494,7 +497,8 @@ def _cosine_rank(alpha: float, tol: float, max_rounds: int, dangling: float):
 
 
 def embedding_textrank_scores(vecs: DataFrame, alpha: float = PAGERANK_ALPHA, tol: float = PAGERANK_TOL,
-                              max_rounds: int = PAGERANK_MAX_ITER) -> DataFrame:
+                              max_rounds: int = PAGERANK_MAX_ITER, sents: DataFrame | None = None,
+                              small: int | None = None) -> DataFrame:
     """R1 + R7: PageRank over the complete cosine graph (zero diagonal).
 
     With unit vectors ``u_i`` (zero for a zero vector) the weight is
@@ -513,6 +517,17 @@ def embedding_textrank_scores(vecs: DataFrame, alpha: float = PAGERANK_ALPHA, to
     as in the library, a document that has not settled after ``max_rounds``
     has no scores (``converged`` false, null).
     """
+    large = (vecs if sents is None else sents).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_x")) \
+        .where(F.col("_x") > (SMALL_VECTORS if small is None else small)).select("doc_id")
+    large = _checkpoint(large)
+    if large.isEmpty():
+        return _cosine_in_tasks(vecs, alpha, tol, max_rounds)
+    same = vecs["doc_id"].eqNullSafe(large["doc_id"])
+    rounds = embedding_rounds(_checkpoint(vecs.join(large, same, "left_semi")), alpha, tol, max_rounds, DANGLING_EPS, _DIVERGED)
+    return _cosine_in_tasks(vecs.join(large, same, "left_anti"), alpha, tol, max_rounds).unionByName(rounds)
+
+
+def _cosine_in_tasks(vecs: DataFrame, alpha: float, tol: float, max_rounds: int) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in vecs.schema.fields}
     return vecs.select("doc_id", "i", F.col("vec").cast("array<double>").alias("vec")).groupBy("doc_id").applyInArrow(
         _cosine_rank(alpha, tol, max_rounds, DANGLING_EPS),
@@ -582,7 +597,7 @@ RANKERS = {
     "Lsa": lambda s, n, vectors: lsa_scores(s),
     "Luhn": lambda s, n, vectors: luhn_scores(s),
     "KL": lambda s, n, vectors: kl_scores(s, n),
-    "MyTextRank": lambda s, n, vectors: embedding_textrank_scores(sentence_vectors(s, *vectors)),
+    "MyTextRank": lambda s, n, vectors: embedding_textrank_scores(sentence_vectors(s, *vectors), sents=s),
 }
 #: Separator of rankers whose summaries are in score order, not in that of the document.
 SCORE_ORDER = {"MyTextRank": ". "}

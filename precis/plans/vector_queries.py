@@ -310,6 +310,6 @@ def r1_embedding_textrank(spark, sf):
     cosines are positive, as those of texts in one language are."""
     wv, dim = _doc_vectors(spark, sf)
     wv = wv.withColumn("vector", F.transform("vector", lambda c: F.abs(c)))
-    vecs = R.sentence_vectors(R.sentence_table(table(spark, sf, "documents")), wv, dim)
-    s = R.embedding_textrank_scores(vecs)
+    sents = R.sentence_table(table(spark, sf, "documents"))
+    s = R.embedding_textrank_scores(R.sentence_vectors(sents, wv, dim), sents=sents)
     return s.select("doc_id", F.col("i").cast("long").alias("i"), _r6(F.col("score")).alias("score"), "converged")
