@@ -186,25 +186,32 @@ def rouge(df: DataFrame, pred: str = "prediction", ref: str = "reference",
     return per.groupBy(*group_cols).agg(*[F.avg(c).alias(c) for c in names])
 
 
+def poisson_steps() -> np.ndarray:
+    """The cumulative distribution of Poisson(1), up to where doubles end."""
+    return np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(18)])
+
+
 def rouge_bootstrap(df: DataFrame, pred: str = "prediction", ref: str = "reference",
                     key_cols: Sequence[str] = ("doc_id",), types: Sequence[str] = ("rouge1", "rouge2", "rougeL"),
                     n_resamples: int = 1000, seed: int = 42,
                     quantiles: Sequence[float] = (0.025, 0.5, 0.975)) -> DataFrame:
     """M4 with intervals: seeded Poisson(1) bootstrap of the row mean.
 
-    Each row takes a repeatable Poisson(1) weight per replicate (from a hash
-    of key, seed and replicate), so replicates are weighted means.  Each task
+    Each row takes a repeatable Poisson(1) weight per replicate (splitmix64 over
+    60 bits of the MD5 of key and seed, and the replicate's number), so
+    replicates are weighted means.  Each task
     sums its rows' weighted scores for all replicates (a matrix product per
     batch) and sends one row per replicate; rows are not copied.
     """
     toks = df.select(*key_cols, rouge_tokens(pred).alias("_p"), rouge_tokens(ref).alias("_r"))
     per = toks.select(*key_cols, *rouge_scores("_p", "_r", types))
     names = [c for c in per.columns if c not in key_cols]
-    per = per.select(F.xxhash64(*[F.col(k) for k in key_cols], F.lit(seed)).alias("_h"),
+    start_of = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key_cols], F.lit(str(seed))))
+    per = per.select(F.conv(F.substring(start_of, 1, 15), 16, 10).cast("long").alias("_h"),
                      *[F.col(c).cast("double").alias(c) for c in names])
     # Poisson(1) by inverse CDF: the weight is the number of steps that the
     # uniform value reaches; the last step is where doubles end.
-    cdf = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(18)])
+    cdf = poisson_steps()
 
     def partial(batches):
         total = np.zeros((n_resamples, len(names) + 1))

@@ -19,6 +19,7 @@ from ..session import ensure_checkpoint_dir, table
 from ..sources import results as RS
 from ..sources import stories as SS
 from ..sources.corpus import conversation_pairs
+from ..sources.story_source import load_stories, write_stories
 from . import duck
 from .flagship import corpus_vectors, grid
 from .registry import register
@@ -255,17 +256,31 @@ def s2_s3_stories(spark, sf):
     return SS.read_story_arrays(spark, out, "doc_id bigint").select("doc_id", "article", "highlights")
 
 
+@register("s2_story_files", _STORY_SQL)
+def s2_story_files(spark, sf):
+    """S2 through the data source: a ``.story`` file for each document, written
+    by tasks of many and read back with the default glob."""
+    from ..functions.text import split_sentences
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("article"), F.array(F.coalesce(
+        F.try_element_at(split_sentences("text"), F.lit(1)), F.lit(""))).alias("highlights"))
+    path = _scratch(spark, "story-files")
+    write_stories(d, path)
+    return load_stories(spark, path).select(F.col("key").cast("long").alias("doc_id"), "article", "highlights")
+
+
 @register("s7_vector_text_file",
-          "WITH vocab AS (SELECT DISTINCT unnest(" + duck.ws_tokens("lower(text)") + ") AS word FROM benchmark), "
+          "WITH vocab AS (SELECT DISTINCT unnest(" + duck.ws_tokens("lower(text)") + ") AS word FROM "
+          "(SELECT text FROM documents UNION ALL SELECT text FROM benchmark)), "
           "wv AS (SELECT v.word, e.embedding AS vector FROM vocab v JOIN embeddings e ON "
           "e.vec_id = ('0x' || substr(md5(v.word), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)) "
           "SELECT word, round(sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])), 6) AS norm FROM wv")
 def s7_vector_text_file(spark, sf):
-    """The benchmark vocabulary's vectors written as a ``word v1 ...``
-    text file (every line twice, so the later-wins rule is exercised) and
-    read back."""
+    """The vectors of all words of documents and benchmark written as
+    ``word v1 ...`` text files (every line twice, so the later-wins rule is
+    exercised) and read back."""
     from ..operators.vectors import word_vectors
-    wv = word_vectors(table(spark, sf, "benchmark"), "text", table(spark, sf, "embeddings"))
+    texts = table(spark, sf, "documents").select("text").unionByName(table(spark, sf, "benchmark").select("text"))
+    wv = word_vectors(texts, "text", table(spark, sf, "embeddings"))
     path = _scratch(spark, "vectors-txt")
     SS.write_word_vectors(wv.unionByName(wv), path)
     back = SS.read_word_vectors(spark, path)

@@ -138,15 +138,17 @@ def m5_glove_cosine(spark, sf):
 # ------------------------------------------------------------------ J1
 
 @register("j1_lookup_default",
-          "WITH " + _DOC_WV + f", w AS (SELECT DISTINCT unnest({duck.ws_tokens('text')}) AS word FROM benchmark) "
+          "WITH " + _DOC_WV + f", w AS (SELECT DISTINCT unnest({duck.ws_tokens('text')}) AS word FROM "
+          "(SELECT text FROM documents UNION ALL SELECT text FROM benchmark)) "
           f"SELECT w.word, (wv.word IS NOT NULL) AS known, "
           f"{_rs('coalesce(sqrt(list_dot_product(wv.vector::DOUBLE[], wv.vector::DOUBLE[])), 0.0)')} AS norm "
           "FROM w LEFT JOIN wv USING (word)")
 def j1_lookup_default(spark, sf):
-    """Word -> vector with a zero default (case-sensitive, as the lookup
-    table is lower-case)."""
+    """Word -> vector with a zero default for all words of documents and
+    benchmark (case-sensitive, as the lookup table is lower-case)."""
     wv, dim = _doc_vectors(spark, sf)
-    words = table(spark, sf, "benchmark").select(F.explode(whitespace_tokens("text")).alias("word")).distinct()
+    texts = table(spark, sf, "documents").select("text").unionByName(table(spark, sf, "benchmark").select("text"))
+    words = texts.select(F.explode(whitespace_tokens("text")).alias("word")).distinct()
     looked = V.lookup_with_default(words, wv.withColumn("known", F.lit(True)), dim)
     known = words.join(wv.select("word", F.lit(True).alias("known")), "word", "left")
     l2, _ = _fingerprint(F.col("vector"))
