@@ -97,13 +97,20 @@ def _listed(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
         run, "kd bigint, kt bigint, fp bigint, g1 bigint, g2 bigint, pos int, w int, rel int")
 
 
-def _windows(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
+def _windows(keyed: DataFrame, docs: np.ndarray, bits: np.ndarray) -> DataFrame:
     """(fp, g1, g2, off, h1, h2, doc) of the windows of the runs that the filter
-    may hold, by document and class; ``off``: from the anchor to the window's start."""
+    may hold, by document and class; ``off``: from the anchor to the window's start.
+    Texts that the filter ``docs`` does not hold are not read."""
     shared = keyed.sparkSession.sparkContext.broadcast(bits)  # 2 MB
+    held = keyed.sparkSession.sparkContext.broadcast(docs)  # 2 MB
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kd, kt = (batch.column(c).to_numpy().view(np.uint64) for c in ("kd", "kt"))
+            yield batch.filter(pa.array(in_filter(held.value, kd ^ kt)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_rows(batches, "text", _BATCH):
+        for batch, texts in text_rows(having(batches), "text", _BATCH):
             w = words_of(texts)
             runs = _runs(w.hashes, w.first)
             if not len(runs[0]):
@@ -145,8 +152,9 @@ def shared_words(keyed: DataFrame) -> DataFrame:
     several = classes.groupBy("fp").agg(F.count("*").alias("m"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("m > 1 and a <> b")
     mixed = classes.join(several.select("fp"), "fp")
     # the windows of each class from two of its documents, if it has two: equal windows have equal hashes, whatever their class
-    wanted = mixed.select(F.explode(F.array("lo", "hi")).alias("doc"), "g1").select(F.col("doc").bitwiseXOR(F.col("g1")).alias("run"))
-    windows = materialise(_windows(keyed, bit_filter(wanted, "run")), "word-windows")
+    wanted = materialise(mixed.select(F.explode(F.array("lo", "hi")).alias("doc"), "g1")
+                         .select("doc", F.col("doc").bitwiseXOR(F.col("g1")).alias("run")), "word-runs")
+    windows = materialise(_windows(keyed, bit_filter(wanted, "doc"), bit_filter(wanted, "run")), "word-windows")
     both = windows.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("h1", "h2")
     parts = windows.join(materialise(both, "windows-met"), ["h1", "h2"]).groupBy("fp", "g1", "g2").agg(F.collect_set("off").alias("offs"))
     partly = met.join(parts, ["fp", "g1", "g2"]).select("kd", "kt", F.explode("offs").alias("off"), (F.col("pos") + F.col("rel")).alias("at")) \
