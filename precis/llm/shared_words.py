@@ -26,21 +26,29 @@ _GRAM = 26
 _SPAN = WORDS - _GRAM  # an anchor lies 0 to _SPAN words behind its window's start
 _BATCH = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_KEPT = 1 << 18  # powers made once; a longer text makes its own
 _LOW = np.uint64((1 << 21) - 1)  # low bits that hold a place in a batch of ordinary texts
 
 
+_POWERS = tuple((powers(base, _KEPT), powers(pow(base, -1, 1 << 64), _KEPT)) for base in _BASES)
+
+
 def _sums(hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each base running sums of a polynomial over the words, and what takes a place out of it."""
     out = []
-    for base in _BASES:
-        s = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * powers(base, len(hashes)), out=s[1:])
-        out.append((s, powers(pow(base, -1, 1 << 64), len(hashes))))
+    n = len(hashes)
+    for base, (there, back) in zip(_BASES, _POWERS):
+        if n > _KEPT:
+            there, back = powers(base, n), powers(pow(base, -1, 1 << 64), n)
+        s = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * there[:n], out=s[1:])
+        out.append((s, back))
     return out
 
 
-def _runs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor - start, anchor hash, two hashes of the run's words) of runs in texts' words."""
+def _runs(hashes: np.ndarray, first: np.ndarray, whole: bool = True) -> tuple[np.ndarray, ...]:
+    """(start, windows, anchor - start, anchor hash) of runs in texts' words, and
+    if asked for two hashes of the run's words."""
     if len(hashes) < WORDS:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     g = grams(hashes, _GRAM)
@@ -57,6 +65,8 @@ def _runs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(new)
     count = np.diff(np.concatenate([at, [len(starts)]]))
     s, a = starts[at], anchor[at]
+    if not whole:
+        return (s, count, a - s, g[a])
     e = s + count - 1 + WORDS
     shape = ((e - s) << 12 | (a - s)).astype(np.uint64)
     hashed = [mix64((p[e] - p[s]) * inv[s] + shape) for p, inv in _sums(hashes)]
@@ -68,7 +78,7 @@ def _anchors(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_rows(batches, "text", _BATCH):
             w = words_of(texts)
-            fp = _runs(w.hashes, w.first)[3]
+            fp = _runs(w.hashes, w.first, whole=False)[3]
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], names=["fp"])
 
     return keyed.select("text").mapInArrow(run, "fp bigint")
