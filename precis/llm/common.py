@@ -40,6 +40,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return cut_lineage(df, f"llm-{tag}")
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote and nothing will read again
+    (what was made from them is written itself)."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with ``columns`` added or replaced, each computed once per row.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.llm.common import bit_filter, in_filter, materialise, mix64, powers, text_rows, window_min
+from precis.llm.common import bit_filter, discard, in_filter, materialise, mix64, powers, text_rows, window_min
 from precis.llm.words import grams, words_of
 
 #: Words of a window: passages of over 50 words.
@@ -108,7 +108,7 @@ def _listed(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def _windows(keyed: DataFrame, docs: np.ndarray, bits: np.ndarray) -> DataFrame:
-    """(fp, g1, g2, off, h1, h2, doc) of the windows of the runs that the filter
+    """(g1, g2, off, h1, h2, doc) of the windows of the runs that the filter
     may hold, by document and class; ``off``: from the anchor to the window's start.
     Texts that the filter ``docs`` does not hold are not read."""
     shared = keyed.sparkSession.sparkContext.broadcast(bits)  # 2 MB
@@ -130,17 +130,17 @@ def _windows(keyed: DataFrame, docs: np.ndarray, bits: np.ndarray) -> DataFrame:
             ok = np.flatnonzero(in_filter(shared.value, kd ^ kt ^ runs[4].view(np.uint64)))
             if not len(ok):
                 continue
-            s, count, rel, fp, g1, g2 = (x[ok] for x in runs)
+            s, count, rel, _, g1, g2 = (x[ok] for x in runs)
             doc = (kd ^ kt)[ok]
             k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(s, count) + k
             wh = [mix64((p[at + WORDS] - p[at]) * inv[at]) for p, inv in _sums(w.hashes)]
             rep = lambda x: pa.array(np.repeat(x, count).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [rep(fp), rep(g1), rep(g2), pa.array((k - np.repeat(rel, count)).astype(np.int32)),
-                 *(pa.array(x.view(np.int64)) for x in wh), rep(doc)], names=["fp", "g1", "g2", "off", "h1", "h2", "doc"])
+                [rep(g1), rep(g2), pa.array((k - np.repeat(rel, count)).astype(np.int32)),
+                 *(pa.array(x.view(np.int64)) for x in wh), rep(doc)], names=["g1", "g2", "off", "h1", "h2", "doc"])
 
-    return keyed.select("kd", "kt", "text").mapInArrow(run, "fp bigint, g1 bigint, g2 bigint, off int, h1 bigint, h2 bigint, doc bigint")
+    return keyed.select("kd", "kt", "text").mapInArrow(run, "g1 bigint, g2 bigint, off int, h1 bigint, h2 bigint, doc bigint")
 
 
 def shared_words(keyed: DataFrame) -> DataFrame:
@@ -155,10 +155,9 @@ def shared_words(keyed: DataFrame) -> DataFrame:
     again = materialise(_anchors(keyed).groupBy("fp").agg(F.count("*").alias("m")).where("m > 1").select("fp"), "words-again")
     # written first, so that the joins' sides are plain exchanges and a common passage can be split
     met = materialise(_listed(keyed, bit_filter(again, "fp")).join(again, "fp"), "words-met")
+    discard(again)
     doc = F.col("kd").bitwiseXOR(F.col("kt"))
     classes = materialise(met.groupBy("fp", "g1", "g2").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")), "word-classes")
-    whole = classes.where("lo <> hi").select("fp", "g1", "g2")
-    spans = met.join(whole, ["fp", "g1", "g2"]).select("kd", "kt", F.col("pos").alias("s"), (F.col("pos") + F.col("w") - 1 + WORDS).alias("e"))
     several = classes.groupBy("fp").agg(F.count("*").alias("m"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("m > 1 and a <> b")
     mixed = classes.join(several.select("fp"), "fp")
     # the windows of each class from two of its documents, if it has two: equal windows have equal hashes, whatever their class
@@ -166,11 +165,22 @@ def shared_words(keyed: DataFrame) -> DataFrame:
                          .select("doc", F.col("doc").bitwiseXOR(F.col("g1")).alias("run")), "word-runs")
     windows = materialise(_windows(keyed, bit_filter(wanted, "doc"), bit_filter(wanted, "run")), "word-windows")
     both = windows.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("h1", "h2")
-    parts = windows.join(materialise(both, "windows-met"), ["h1", "h2"]).groupBy("fp", "g1", "g2").agg(F.collect_set("off").alias("offs"))
-    partly = met.join(parts, ["fp", "g1", "g2"]).select("kd", "kt", F.explode("offs").alias("off"), (F.col("pos") + F.col("rel")).alias("at")) \
-        .select("kd", "kt", (F.col("at") + F.col("off")).alias("s"), (F.col("at") + F.col("off") + WORDS).alias("e"))
-    found = spans.unionByName(partly).groupBy("kd", "kt").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    both = materialise(both, "windows-met")
+    parts = windows.join(both, ["h1", "h2"]).groupBy("g1", "g2").agg(F.collect_set("off").alias("offs"))
+    # what is shared of a class, all (no list) or windows by their place: one join with the runs does for both
+    whole = classes.where("lo <> hi").select("g1", "g2", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("offs"))
+    marks = materialise(whole.unionByName(parts.withColumn("whole", F.lit(False))).groupBy("g1", "g2").agg(
+        F.max("whole").alias("whole"), F.first("offs", ignorenulls=True).alias("offs")), "word-marks")
+    discard(classes, wanted, windows, both)
+    at = F.col("pos") + F.col("rel") + F.col("off")
+    spans = met.join(marks, ["g1", "g2"]).select(
+        "kd", "kt", "pos", "w", "rel", "whole", F.explode(F.when(F.col("whole"), F.array(F.lit(0))).otherwise(F.col("offs"))).alias("off")).select(
+        "kd", "kt", F.when(F.col("whole"), F.col("pos")).otherwise(at).alias("s"),
+        F.when(F.col("whole"), F.col("pos") + F.col("w") - 1).otherwise(at).alias("last")).select("kd", "kt", "s", (F.col("last") + WORDS).alias("e"))
+    found = spans.groupBy("kd", "kt").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("spans", zero, lambda a, x: F.struct(
         F.greatest(a["end"], x["e"]).alias("end"), (a["n"] + x["e"] - F.least(x["e"], F.greatest(a["end"], x["s"]))).alias("n")), lambda a: a["n"])
-    return found.select("kd", "kt", covered.alias("n_shared_words"))
+    out = materialise(found.select("kd", "kt", covered.alias("n_shared_words")), "shared-words")
+    discard(met, marks)
+    return out

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.llm.common import (bit_filter, broadcast_if_small, in_filter, key_groups, materialise, mix64, powers,
+from precis.llm.common import (bit_filter, broadcast_if_small, discard, in_filter, key_groups, materialise, mix64, powers,
                                text_rows, window_min)
 from precis.llm.shared_words import shared_words
 
@@ -302,10 +302,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of an anchor with several classes goes to a construction.
     """
     keyed = _keyed(docs, id_col, text_col)
-    runs = materialise(_listed(keyed), "runs").select("kd", "kt", F.inline("runs"))
+    listed = materialise(_listed(keyed), "runs")
+    runs = listed.select("kd", "kt", F.inline("runs"))
     # written first, so that the join's sides are plain exchanges and a hash with many runs can be split
     again = materialise(runs.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1").select("fp"), "again")
     met = materialise(runs.join(again, "fp"), "met")
+    discard(listed, again)
     classes = materialise(met.groupBy("fp", "g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct(
         "kd", "kt", "pos")).alias("one")), "classes")
     whole = met.join(classes.where("n > 1").select("fp", "g1", "g2"), ["fp", "g1", "g2"]).select(
@@ -350,7 +352,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col, text_col, limit)
     shared = F.lit(None).cast("long")
     if with_shared:
-        passages = materialise(shared_words(keyed), "shared-words").withColumnRenamed("n_shared_words", "shared")
+        passages = shared_words(keyed).withColumnRenamed("n_shared_words", "shared")
         # 16 bytes a key and a number: both go to the texts in one join
         spans = spans.join(passages, ["kd", "kt"], "full")
         shared = F.coalesce("shared", F.lit(0).cast("long"))
