@@ -12,6 +12,16 @@ PART = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+def _joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """``left`` with the rows of ``right`` of the same conversation (null is one)
+    and equal ``keys``.  ``ck`` alone, a hash of the id, may be that of two."""
+    right = right.withColumnsRenamed({c: f"_{c}" for c in ("conv", *keys)})
+    match = F.col("conv").eqNullSafe(F.col("_conv"))
+    for k in keys:
+        match &= F.col(k) == F.col(f"_{k}")
+    return left.join(right, match).drop("_conv", *(f"_{k}" for k in keys))
+
+
 def _facts(convs: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """The turns in order, written in ranges: ``part`` is the range and ``at`` the place of a row.
 
@@ -31,12 +41,12 @@ def _facts(convs: DataFrame, conv: str, turn: str, role: str, text: str) -> Data
 
 
 def _sizes(facts: DataFrame) -> DataFrame:
-    """(ck, part, shift, total): of each part of a conversation what makes a place a
+    """(conv, ck, part, shift, total): of each part of a conversation what makes a place a
     position (pos = at + shift), and the number of turns of the conversation."""
     so_far = Window.partitionBy("conv", "ck").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = facts.groupBy("conv", "ck", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     return materialise(sizes.select(
-        "ck", "part", (F.coalesce(F.sum("n").over(so_far), F.lit(0)) - F.col("first") + 1).alias("shift"),
+        "conv", "ck", "part", (F.coalesce(F.sum("n").over(so_far), F.lit(0)) - F.col("first") + 1).alias("shift"),
         F.sum("n").over(Window.partitionBy("conv", "ck")).alias("total")), "turn-counts")
 
 
@@ -49,27 +59,27 @@ def prefixes(facts: DataFrame, sizes: DataFrame) -> DataFrame:
     running total over parts, one row each, does the rest.
     """
     so_far = Window.partitionBy("conv", "ck").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    rows = facts.drop("text").join(sizes, ["ck", "part"]).withColumn("pos", F.col("at") + F.col("shift"))
+    rows = _joined(facts.drop("text"), sizes, "ck", "part").withColumn("pos", F.col("at") + F.col("shift"))
     rows = rows.withColumn("e1", F.xxhash64("pos", "h1")).withColumn("e2", F.xxhash64("pos", "h2", "h1"))
     rows = materialise(rows.select("conv", "ck", "part", "pos", "total", "e1", "e2"), "turns")
     sums = (rows.groupBy("conv", "ck", "part").agg(F.bit_xor("e1").alias("x1"), F.bit_xor("e2").alias("x2"))
             .withColumn("b1", F.coalesce(F.bit_xor("x1").over(so_far), F.lit(0)))
-            .withColumn("b2", F.coalesce(F.bit_xor("x2").over(so_far), F.lit(0))).select("ck", "part", "b1", "b2"))
+            .withColumn("b2", F.coalesce(F.bit_xor("x2").over(so_far), F.lit(0))).select("conv", "ck", "part", "b1", "b2"))
     rolling = Window.partitionBy("conv", "ck", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("r1", F.bit_xor("e1").over(rolling)).withColumn("r2", F.bit_xor("e2").over(rolling))
-    return rows.join(sums, ["ck", "part"]).select(
+    return _joined(rows, sums, "ck", "part").select(
         "conv", "ck", "pos", "total", F.col("r1").bitwiseXOR(F.col("b1")).alias("p1"),
         F.col("r2").bitwiseXOR(F.col("b2")).alias("p2"))
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
-    """(ck, n_turns, n_same): conversations that are no proper prefix of another;
+    """(conv, ck, n_turns, n_same): conversations that are no proper prefix of another;
     of equal ones that with the least id, with their number."""
     ends = rolled.where("pos = total").groupBy("pos", "p1", "p2").agg(
         F.min(F.struct(F.col("conv").isNull().alias("none"), "conv", "ck")).alias("first"), F.count("*").alias("n_same"))
     inner = rolled.where("pos < total").select("pos", "p1", "p2").distinct()
     return ends.join(inner, ["pos", "p1", "p2"], "left_anti").select(
-        F.col("first.ck").alias("ck"), F.col("pos").alias("n_turns"), "n_same")
+        F.col("first.conv").alias("conv"), F.col("first.ck").alias("ck"), F.col("pos").alias("n_turns"), "n_same")
 
 
 def _safe(c: Column) -> Column:
@@ -97,10 +107,10 @@ def render(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """
     facts = _facts(convs, conv_col, turn_col, role_col, text_col)
     sizes = _sizes(facts)
-    kept = materialise(sizes.join(maximal(prefixes(facts, sizes)), "ck"), "maximal")
+    kept = materialise(_joined(sizes, maximal(prefixes(facts, sizes)), "ck"), "maximal")
     line = F.concat(F.lit(OPEN), _safe(F.col("role")), F.lit("\n"), _safe(F.col("text")), F.lit(CLOSE + "\n"))
     pos = F.col("at") + F.col("shift")
-    rows = facts.join(kept, ["ck", "part"]).select(
+    rows = _joined(facts, kept, "ck", "part").select(
         "conv", "ck", F.floor((pos - 1) / PART).cast("long").alias("part"), "n_turns", "n_same", pos.alias("pos"), line.alias("line"))
     parts = rows.groupBy("conv", "ck", "part", "n_turns", "n_same").agg(
         F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("turns"))
