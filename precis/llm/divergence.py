@@ -16,9 +16,12 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o".split(),
 }
 _WORDS = 24
+_ANY_COMMON = sorted({word for words in COMMON_WORDS.values() for word in words})
 #: Character classes: upper-case letters, digits, punctuation and symbols of the
 #: byte range by pattern; spaces and all other characters (mostly letters) follow.
 CLASSES = {"upper": r"[A-Z]", "digit": r"[0-9]", "point": r"[!\"'(),.:;?-]", "symbol": r"[#*$%&|<>]"}
+#: Runs of characters of none of them ("point" last, as it ends in a hyphen).
+_UNCLASSED = "[^" + "".join(CLASSES[c][1:-1] for c in ("upper", "digit", "symbol", "point")) + "]+"
 
 #: Largest Jensen-Shannon distances (0 to 1) and least lengths for the verdict.
 CLASS_LIMIT, CLASS_MIN_CHARS = 0.27, 200
@@ -63,16 +66,18 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     spaces, t = F.lit(ASCII_SPACE), F.col("text")
     df = stage(df, words=let(F.trim(t, spaces), lambda x: F.when(x == "", F.array().cast("array<string>"))
                              .otherwise(F.split(x, _SPACES))),
-               lines=F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{_SPACES[1:-2]}]")))
+               marks=F.regexp_replace(t, _UNCLASSED, ""), lines=F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{_SPACES[1:-2]}]")))
     w = F.col("words")
-    counts = {c: F.size(F.split(t, p, -1)) - 1 for c, p in CLASSES.items()}
+    counts = {c: F.size(F.split("marks", p, -1)) - 1 for c, p in CLASSES.items()}
+    # one pass finds the words of any list; the 24 passes of a list go over those alone
+    commons = F.when(F.col("lang").isin(*COMMON_WORDS), let(F.filter(w, lambda x: x.isin(_ANY_COMMON)), lambda few: F.transform(
+        _word_list("lang"), lambda c: (F.size(few) - F.size(F.array_remove(few, c))).cast("long"))))
     df = stage(
         df, n_chars=F.length(t).cast("long"), n_words=F.size(w).cast("long"),
         word_chars=F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
         n_symbols=counts["symbol"].cast("long"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        n_repeat_words=_repeated("words"), upper=counts["upper"], digit=counts["digit"], point=counts["point"],
-        commons=F.transform(_word_list("lang"), lambda c: (F.size(w) - F.size(F.array_remove(w, c))).cast("long")))
+        n_repeat_words=_repeated("words"), upper=counts["upper"], digit=counts["digit"], point=counts["point"], commons=commons)
     classes = [F.col(c).cast("long") for c in ("upper", "digit", "point", "n_symbols")] + [F.col("n_chars") - F.col("word_chars")]
     others = F.col("n_chars") - sum(classes[1:], classes[0])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
