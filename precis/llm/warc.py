@@ -16,13 +16,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from precis.llm.common import bit_filter, in_filter, key_groups, materialise, text_rows
+from precis.llm.common import bit_filter, broadcast_if_small, discard, in_filter, key_groups, materialise, text_rows
 from precis.session import ensure_checkpoint_dir
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
+#: Bytes of an archive by which records cut by the end of a split meet what their payloads span.
+_CELL = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -272,6 +274,7 @@ def reachable(spark: SparkSession, path: str) -> DataFrame:
     for c in ("place", "next", "leaves"):
         on = on.withColumn(c, F.when((F.col(c) >= 0) | F.lit(c == "place"), F.col(c) + F.col("base")).otherwise(-1))
     on = materialise(on.drop("base", "end"), "warc-offsets")
+    discard(found)
     jumps = on.where("leaves >= 0").select("file", F.col("place").alias("u"), F.col("leaves").alias("v"))
     entries = jumps.select("file", F.col("v").alias("u")).distinct()
     starts = on.where("place = 0").select("file", F.lit(0).cast("long").alias("u")).distinct()
@@ -279,11 +282,12 @@ def reachable(spark: SparkSession, path: str) -> DataFrame:
     reached = materialise(starts, "warc-reached")
     n = -1
     while (now := reached.count()) != n:
-        n = now
+        n, old = now, (reached, jumps)
         reached = materialise(reached.unionByName(reached.join(jumps, ["file", "u"]).select("file", F.col("v").alias("u")))
                               .distinct(), "warc-reached")
         further = jumps.select("file", F.col("u").alias("v"), F.col("v").alias("w"))
         jumps = materialise(jumps.join(further, ["file", "v"]).select("file", "u", F.col("w").alias("v")), "warc-jumps")
+        discard(*old)
     marked = on.join(reached.withColumn("entry", F.lit(True)), (on["file"] == reached["file"]) & (on["place"] == reached["u"]),
                      "left").select(on["*"], F.coalesce("entry", F.lit(False)).alias("entry"))
     sql = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema)
@@ -292,7 +296,11 @@ def reachable(spark: SparkSession, path: str) -> DataFrame:
 
 def _across(spark: SparkSession, path: str, cut: DataFrame) -> DataFrame:
     """(file, place, n, digest) of responses that go on beyond their split
-    because their payload holds the magic string there."""
+    because their payload holds the magic string there.
+
+    A record is sent to each cell of the file that it spans and a chunk to the
+    one that it starts in, so that chunks meet the records around them only.
+    """
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, block, _, place, chunk in _splits(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in (
@@ -322,9 +330,11 @@ def _across(spark: SparkSession, path: str, cut: DataFrame) -> DataFrame:
     lengths = chunks.groupBy("file", "block").agg(F.max(F.col("place") + F.length("value") + len(MAGIC)).alias("length"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = lengths.select("file", "block", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"))
-    at = chunks.join(base, ["file", "block"]).select("file", (F.col("place") + F.col("base")).alias("start"), "value")
-    wanted = cut.select("file", "place", "next")
-    rows = at.join(wanted, "file").where((F.col("start") > F.col("place")) & (F.col("start") < F.col("next")))
+    cell = lambda c: F.floor(c / _CELL)
+    at = chunks.join(broadcast_if_small(base, 200_000), ["file", "block"]).select(
+        "file", (F.col("place") + F.col("base")).alias("start"), "value").withColumn("cell", cell(F.col("start")))
+    wanted = cut.select("file", "place", "next", F.explode(F.sequence(cell(F.col("place")), cell(F.col("next")))).alias("cell"))
+    rows = at.join(broadcast_if_small(wanted, 200_000), ["file", "cell"]).where((F.col("start") > F.col("place")) & (F.col("start") < F.col("next")))
     return (rows.select("file", "place", "next", "start", "value").repartition("file", "place")
             .sortWithinPartitions("file", "place", "start")
             .mapInArrow(digest, "file bigint, place bigint, n bigint, digest string"))
