@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .rank import sentence_vectors, split_by_size
+from .text_vectors import VectorTable, over_vectors, per_document
 
 #: Rows of a block.
 BLOCK = 2048
@@ -90,6 +92,41 @@ def pairwise_cosine(vecs: DataFrame, top: int | None = None, least: float | None
     return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= top).drop("rn")
 
 
+def _within(top: int | None, least: float | None):
+    """The pairs of one document's sentences, as :func:`pairwise_cosine` gives them."""
+    def run(table: pa.Table) -> pa.Table:
+        ids, m = table.column("i").to_numpy(), _matrix(table.column("vec"))
+        cos = m @ m.T
+        np.fill_diagonal(cos, np.nan)
+        row, col = _best(cos, ids, top, least)
+        i, j, c = ids[row], ids[col], cos[row, col]
+        if top is not None and len(np.unique(ids)) < len(ids):  # rows with one key share their places
+            order = np.lexsort((j, -np.round(c, PLACES), i))
+            i, j, c = i[order], j[order], c[order]
+            start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
+            keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < top
+            i, j, c = i[keep], j[keep], c[keep]
+        return pa.table({"doc_id": table.column("doc_id").combine_chunks().take(pa.array(np.zeros(len(i), np.int64))),
+                         "i": pa.array(i), "j": pa.array(j), "cosine": pa.array(c)})
+
+    return run
+
+
+def pairwise_text_cosine(sents: DataFrame, vectors: DataFrame | VectorTable, dim: int, top: int | None = None, least: float | None = None,
+                         chars: int | None = None, block: int = BLOCK) -> DataFrame:
+    """:func:`pairwise_cosine` of the E1 vectors of sentences ``(doc_id, i,
+    sentence)``.  A document of one block is compared where its vectors are
+    made, which no shuffle carries; larger ones go through the pairs of blocks."""
+    types = {f.name: f.dataType.simpleString() for f in sents.schema.fields}
+    rows, large = split_by_size(sents, F.count(F.lit(1)) > block)
+    out = over_vectors(rows, vectors, dim, per_document(_within(top, least)),
+                       f"doc_id {types['doc_id']}, i {types['i']}, j {types['i']}, cosine double", chars=chars)
+    if large is None:
+        return out
+    vecs = cut_lineage(sentence_vectors(large, vectors, dim), "vectors")
+    return out.unionByName(pairwise_cosine(vecs, top, least, block).select(out.columns))
+
+
 # ------------------------------------------------------------------ E7
 
 def _assign(df: DataFrame, centroids: np.ndarray, probe: int) -> DataFrame:

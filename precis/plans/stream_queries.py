@@ -55,7 +55,8 @@ def _cosine_events(pairs, epoch):
 
 
 def _cosine_stream(spark, sf, epoch):
-    pairs, vectors, dim = _pair_vectors(spark, sf)
+    pairs, (words, rows), dim = _pair_vectors(spark, sf)
+    vectors = words.join(rows, "vec_id").select("word", "vector")
     events = _cosine_events(pairs, epoch)
     return streaming_cosine(spark, ST.stage_files(events), events.schema, vectors, dim, ["conv_id", "turn"])
 

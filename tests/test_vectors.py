@@ -10,6 +10,7 @@ from precis.operators import embeddings as E
 from precis.operators import nearest as N
 from precis.operators import rank as R
 from precis.operators import vectors as V
+from precis.operators.metrics import cosine
 from precis.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -147,3 +148,54 @@ def test_ppmi_and_its_factors(spark):
         mine = np.linalg.norm(full - (x * np.sign(value[first])) @ x.T)
         assert mine <= 1.02 * best
     assert E.factorise(m, 32, more=20).count() == len(names)  # more than the rank needs
+
+
+def test_text_vectors_by_block_equal_the_sums_of_each_sentence(spark):
+    """Repeated and null keys, repeated words and vectors, null vectors, long documents, many blocks."""
+    from precis.operators import text_vectors as T
+
+    rng = np.random.default_rng(3)
+    names = [f"w{k}" for k in range(40)]
+    docs = [(d, i, " ".join(rng.choice([*names, "zz"], rng.integers(0, 9)))) for d in range(30) for i in range(int(rng.integers(1, 8)))]
+    docs += [(5, 0, "w1 w2"), (None, 0, "w1"), (31, 0, "  "), (31, 1, None), (31, 2, "nil zz"), (31, 3, "nil w1")]
+    sents = spark.createDataFrame(docs, "doc_id long, i int, sentence string")
+    words = spark.createDataFrame([(n, k % 11) for k, n in enumerate(names)] + [("nil", 11)], "word string, vec_id long")
+    vec = {k: rng.normal(size=3).astype(np.float32) for k in range(11)}
+    rows = [(k, v.tolist()) for k, v in vec.items()] + [(3, vec[3].tolist()), (11, None)]
+    vectors = T.VectorTable(words, spark.createDataFrame(rows, "vec_id long, vector array<float>"))
+    weight = {n: (2 if k % 11 == 3 else 1) * vec[k % 11].astype(float) for k, n in enumerate(names)}
+    want = []
+    for d, i, s in docs:
+        n = len((s or "").split())
+        mine = [w for e, j, t in docs if d is not None and (e, j) == (d, i) for w in (t or "").split()]
+        v = sum((weight[w] for w in mine if w in weight), np.zeros(3)) / (n + 0.001) if n else np.zeros(3)
+        want.append((d, i, [None] * 3 if mine == ["nil", "zz"] else v))
+    key = lambda r: (r[0] is None, r[0], r[1])
+    got = sorted(((r.doc_id, r.i, r.vec) for r in R.sentence_vectors(sents, vectors, 3).collect()), key=key)
+    assert [k[:2] for k in got] == [k[:2] for k in sorted(want, key=key)]
+    for a in {k[:2] for k in got}:
+        mine, theirs = ([r[2] for r in x if r[:2] == a] for x in (got, want))
+        assert (mine == theirs) if None in mine[0] else np.allclose(sorted(map(list, mine)), sorted(map(list, theirs)), atol=1e-6)
+
+    clean = sents.where("doc_id < 31")
+    whole = R.sentence_vectors(clean, vectors, 3).cache()
+    nxt = whole.selectExpr("doc_id", "i - 1 as i", "vec as nv")
+    want = sorted((r.doc_id, r.i, round(r.c, 6)) for r in whole.join(nxt, ["doc_id", "i"]).select("doc_id", "i", cosine("vec", "nv").alias("c")).collect())
+    for small in (None, 3):  # all within blocks, and the longer ones by a join
+        got = sorted((r.doc_id, r.i, round(r.cosine, 6)) for r in R.adjacent_cosine(clean, vectors, 3, small=small).collect())
+        assert len(got) == len(want) and np.allclose(got, want, atol=2e-6)
+    once = clean.where("doc_id <> 5")
+    for top in (None, 2):
+        want = sorted((r.doc_id, r.i, r.j) for r in N.pairwise_cosine(R.sentence_vectors(once, vectors, 3), top=top).collect())
+        for block in (N.BLOCK, 3):
+            assert sorted((r.doc_id, r.i, r.j) for r in N.pairwise_text_cosine(once, vectors, 3, top=top, block=block).collect()) == want
+
+
+def test_sentence_vectors_move_texts_and_not_a_vector_for_each_word(spark):
+    """No aggregate of dimensions: the only vectors in an exchange are the rows that a block refers to."""
+    from precis.operators import text_vectors as T
+
+    sents = spark.createDataFrame([(0, 0, "a b")], "doc_id long, i int, sentence string")
+    vectors = T.VectorTable(spark.createDataFrame([("a", 0)], "word string, vec_id long"), spark.createDataFrame([(0, [1.0])], "vec_id long, vector array<float>"))
+    plan = R.sentence_vectors(sents, vectors, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "sum(" not in plan and "MapInArrow" in plan
