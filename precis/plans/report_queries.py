@@ -19,7 +19,7 @@ from ..session import ensure_checkpoint_dir, table
 from ..sources import results as RS
 from ..sources import stories as SS
 from ..sources.corpus import conversation_pairs
-from ..sources.story_source import load_stories, write_stories
+from ..sources.story_source import load_stories, write_stories, write_story_files
 from . import duck
 from .flagship import corpus_vectors, grid
 from .registry import register
@@ -242,16 +242,18 @@ _STORY_SQL = (
 @register("s2_s3_stories", _STORY_SQL)
 def s2_s3_stories(spark, sf):
     """S2 over story files derived from ``documents`` (text, a marker, the
-    first sentence as highlight; one file per document), then S3 writes
-    the (X, y) rows and reads them back."""
+    first sentence as highlight; one file per document, written and read by
+    tasks of many), then S3 writes the (X, y) rows and reads them back."""
     from ..functions.text import split_sentences
     d = table(spark, sf, "documents")
     story = F.concat("text", F.lit("\n\n@highlight\n\n"), F.coalesce(F.try_element_at(split_sentences("text"), F.lit(1)), F.lit("")))
     src = _scratch(spark, "stories")
-    d.select("doc_id", story.alias("value")).write.partitionBy("doc_id").text(src)
-    parsed = SS.read_stories(spark, src, "*.txt")
+    # a file for each row: the row's number keeps rows with one id, or none, apart
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("_"), F.monotonically_increasing_id().cast("string"))
+    write_story_files(d.select(name.alias("name"), F.coalesce(story, F.lit("")).alias("value")), src)
+    parsed = load_stories(spark, src)
     out = _scratch(spark, "story-json")
-    doc = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long")
+    doc = F.nullif(F.substring_index("key", "_", 1), F.lit("")).cast("long")
     SS.write_story_arrays(parsed.withColumn("doc_id", doc), out, ["doc_id"])
     return SS.read_story_arrays(spark, out, "doc_id bigint").select("doc_id", "article", "highlights")
 

@@ -114,9 +114,13 @@ def write_stories(stories: DataFrame, path: str, key: str = "doc_id", article: s
     name = F.col(key).cast("string")
     if not stories.groupBy(name.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or k is null").isEmpty():
         raise ValueError(f"{key} must be distinct and not null to name files")
-    stories.sparkSession.dataSource.register(StorySource)
-    stories.select(name.alias("name"), story_text(F.col(article), F.col(highlights)).alias("value")) \
-        .write.format("stories").mode("append").save(path)
+    write_story_files(stories.select(name.alias("name"), story_text(F.col(article), F.col(highlights)).alias("value")), path)
+
+
+def write_story_files(files: DataFrame, path: str) -> None:
+    """A ``.story`` file for each row ``(name, value)``; names must be distinct."""
+    files.sparkSession.dataSource.register(StorySource)
+    files.select("name", "value").write.format("stories").mode("append").save(path)
 
 
 def load_stories(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:

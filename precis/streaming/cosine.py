@@ -26,16 +26,23 @@ SALTS = 16
 _KEYS = ["key", "salt"]
 
 
-def _cosines(words: pd.DataFrame, dim: int) -> pd.DataFrame:
-    """``(epoch, cosine)`` of each pair of one batch from its words' vectors."""
-    pair, pairs = pd.factorize(pd.MultiIndex.from_frame(words[["epoch", "id"]]))
-    sums = np.zeros((len(pairs), 2, dim))
+def _add_up(sums: dict, words: pd.DataFrame, dim: int) -> None:
+    """Adds the vectors of words to the two sums of their pairs."""
+    pair, pairs = pd.factorize(words["id"])
+    at = pair * 2 + words["side"].to_numpy()
     known = words["vector"].notna().to_numpy()
+    more = np.zeros((len(pairs) * 2, dim))
     if known.any():
-        np.add.at(sums, (pair[known], words["side"].to_numpy()[known]), np.stack(words["vector"][known].to_list()).astype(float))
-    size = np.linalg.norm(sums, axis=2).prod(axis=1)
-    dot = (sums[:, 0] * sums[:, 1]).sum(axis=1)
-    return pd.DataFrame({"epoch": [p[0] for p in pairs], "cosine": np.divide(dot, size, out=np.zeros(len(dot)), where=size > 0)})
+        np.add.at(more, at[known], np.stack(words["vector"][known].to_list()).astype(float))
+    for p, v in zip(pairs, more.reshape(-1, 2, dim)):
+        sums[p] = sums[p] + v if p in sums else v.copy()
+
+
+def _cosines(sums: dict) -> np.ndarray:
+    v = np.stack(list(sums.values()))
+    size = np.linalg.norm(v, axis=2).prod(axis=1)
+    dot = (v[:, 0] * v[:, 1]).sum(axis=1)
+    return np.divide(dot, size, out=np.zeros(len(dot)), where=size > 0)
 
 
 def cosine_state(stream: DataFrame, vectors: DataFrame, dim: int, id_cols: Sequence[str], key: str = "key",
@@ -44,8 +51,8 @@ def cosine_state(stream: DataFrame, vectors: DataFrame, dim: int, id_cols: Seque
     """The state's updates ``(key, salt, epoch, total, n)`` for a stream of pairs.
 
     ``id_cols`` tell the pairs of an epoch apart; null texts have no words
-    (cosine 0); a null epoch is 0, a null reset is none.  A task holds the pair
-    vectors of one key and salt of one micro-batch.
+    (cosine 0); a null epoch is 0, a null reset is none.  A task holds two vectors
+    for each pair of one key and salt of one micro-batch, and one batch of words.
     """
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col(pred).alias("text")),
                     F.struct(F.lit(1).alias("side"), F.col(ref).alias("text")))
@@ -57,15 +64,18 @@ def cosine_state(stream: DataFrame, vectors: DataFrame, dim: int, id_cols: Seque
     found = words.join(vectors.select("word", F.col("vector").cast("array<double>").alias("vector")), "word", "left").drop("word")
 
     def update(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        words = pd.concat(list(frames), ignore_index=True)
         at, total, n = state.get if state.exists else (None, 0.0, 0)
-        newest = int(words["epoch"].max())
-        if at is None or newest > at:
-            at, total, n = newest, 0.0, 0
-        words = words[(words["epoch"] == at) & ~words["reset"].astype(bool)].reset_index(drop=True)
-        if len(words):
-            c = _cosines(words, dim)["cosine"]
-            total, n = total + float(c.sum()), n + len(c)
+        sums = {}
+        for words in frames:
+            newest = int(words["epoch"].max())
+            if at is None or newest > at:
+                at, total, n = newest, 0.0, 0
+                sums.clear()
+            words = words[(words["epoch"] == at) & ~words["reset"].astype(bool)]
+            if len(words):
+                _add_up(sums, words, dim)
+        if sums:
+            total, n = total + float(_cosines(sums).sum()), n + len(sums)
         state.update((at, total, n))
         yield pd.DataFrame({"key": [group[0]], "salt": [group[1]], "epoch": [at], "total": [total], "n": [n]})
 

@@ -74,3 +74,25 @@ def test_streaming_cosine_of_nothing(spark):
     df = spark.createDataFrame([], SCHEMA)
     vectors = spark.createDataFrame(VECTORS, "word string, vector array<double>")
     assert C.streaming_cosine(spark, ST.stage_files(df), df.schema, vectors, 4, ["id"]).count() == 0
+
+
+def test_story_query_keeps_rows_with_one_id_or_none_apart(spark, tmp_path):
+    from precis.plans.report_queries import s2_s3_stories
+
+    rows = [(1, "One. Two."), (1, "One. Two."), (None, "Three."), (-2, "Four.\n\nFive.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in s2_s3_stories(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, "One. Two. ", "One. . ")] * 2 + [(None, "Three. ", "Three. . "), (-2, "Four. Five. ", "Four. . ")], key=str)
+
+
+def test_cosine_state_holds_sums_and_not_the_words_of_all_batches():
+    """Words of a pair that come in several batches are added to two vectors of the pair."""
+    import pandas as pd
+
+    from precis.streaming.cosine import _add_up, _cosines
+
+    sums = {}
+    for batch in ([("a", 0, [1.0, 0.0]), ("a", 1, [1.0, 0.0])], [("a", 1, [0.0, 1.0]), ("b", 0, None)]):
+        _add_up(sums, pd.DataFrame(batch, columns=["id", "side", "vector"]), 2)
+    assert list(sums) == ["a", "b"] and sums["a"].tolist() == [[1, 0], [1, 1]]
+    assert _cosines(sums).tolist() == pytest.approx([2 ** -0.5, 0.0])
