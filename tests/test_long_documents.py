@@ -45,3 +45,18 @@ def test_only_long_documents_go_through_rounds(spark, monkeypatch):
 def test_empty_table(spark):
     assert L.embedding_rounds(_vecs(spark).limit(0), 0.85, 1e-6, 10, R.DANGLING_EPS, R._DIVERGED).count() == 0
     assert R.embedding_textrank_scores(_vecs(spark).where(F.lit(False))).count() == 0
+
+
+def test_lsa_and_luhn_in_tasks_equal_those_by_words(spark):
+    """Documents that a task holds take no shuffle of words; repeated and null keys count as in the joins."""
+    from precis.operators import rank as R
+
+    rng = np.random.default_rng(5)
+    rows = [(d, i, " ".join(rng.choice(list("abcdefgh"), rng.integers(0, 12)))) for d in range(12) for i in range(int(rng.integers(1, 9)))]
+    rows += rows[:5] + [(0, 0, "a b a"), (None, 0, "a a b"), (None, 1, "a"), (3, 90, None), (4, 90, "1 2"), (50, 0, "")]
+    sents = spark.createDataFrame(rows, "doc_id long, i int, sentence string")
+    for scores in (R.lsa_scores, R.luhn_scores):
+        got, want = (sorted(((r.doc_id, r.i, round(r.score, 9)) for r in scores(sents, small=s).collect()), key=str) for s in (None, (0, 0)))
+        assert len(got) == len(rows) and got == want
+    plan = R.lsa_scores(sents)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Window" not in plan
