@@ -157,9 +157,9 @@ def test_text_vectors_by_block_equal_the_sums_of_each_sentence(spark):
     rng = np.random.default_rng(3)
     names = [f"w{k}" for k in range(40)]
     docs = [(d, i, " ".join(rng.choice([*names, "zz"], rng.integers(0, 9)))) for d in range(30) for i in range(int(rng.integers(1, 8)))]
-    docs += [(5, 0, "w1 w2"), (None, 0, "w1"), (31, 0, "  "), (31, 1, None), (31, 2, "nil zz"), (31, 3, "nil w1")]
+    docs += [(5, 0, "w1 w2"), (None, 0, "w1"), (31, 0, "  "), (31, 1, None), (31, 2, "nil zz"), (31, 3, "nil w1"), (31, 4, "gone w1"), (31, 5, "gone")]
     sents = spark.createDataFrame(docs, "doc_id long, i int, sentence string")
-    words = spark.createDataFrame([(n, k % 11) for k, n in enumerate(names)] + [("nil", 11)], "word string, vec_id long")
+    words = spark.createDataFrame([(n, k % 11) for k, n in enumerate(names)] + [("nil", 11), ("gone", 99)], "word string, vec_id long")
     vec = {k: rng.normal(size=3).astype(np.float32) for k in range(11)}
     rows = [(k, v.tolist()) for k, v in vec.items()] + [(3, vec[3].tolist()), (11, None)]
     vectors = T.VectorTable(words, spark.createDataFrame(rows, "vec_id long, vector array<float>"))
