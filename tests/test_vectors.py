@@ -150,6 +150,35 @@ def test_ppmi_and_its_factors(spark):
     assert E.factorise(m, 32, more=20).count() == len(names)  # more than the rank needs
 
 
+def test_pairs_of_words_are_counted_in_cells(spark, monkeypatch):
+    """Many chunks and cells, repeated texts, words beside themselves and of one occurrence; hashes that meet are drawn again."""
+    monkeypatch.setattr(E, "CHUNK", 50)
+    monkeypatch.setattr(E, "CELL", 40)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"W{int(rng.exponential(6))}" for _ in range(rng.integers(0, 30))) for _ in range(80)] + ["x y x", None, " ", "ab ab ab", "one"]
+    df = spark.createDataFrame([(t,) for t in texts * 2 + ["once w1 w2"]], "text string").repartition(3)
+    tokens = [(t or "").lower().split() for t in texts * 2 + ["once w1 w2"]]
+    seen, pairs = Counter(w for t in tokens for w in t), Counter()
+    for t in tokens:
+        for i in range(len(t)):
+            for j in range(i + 1, min(len(t), i + 6)):
+                pairs[t[i], t[j]] += 1
+                pairs[t[j], t[i]] += 1
+    assert {(r.a, r.b): r.n for r in E.cooccurrences(df).collect()} == dict(pairs)
+    pairs = {k: n for k, n in pairs.items() if seen[k[0]] > 1 and seen[k[1]] > 1}
+    margin = Counter()
+    for (a, _), n in pairs.items():
+        margin[a] += n
+    rows = {}
+    for (a, b), n in pairs.items():
+        if (w := np.log(n * sum(pairs.values()) / (margin[a] * margin[b]))) > 0:
+            rows.setdefault(a, []).append(w)
+    got = {r.word: (r.contexts, r.total, r.best) for r in E.ppmi_of_words(df).collect()}
+    assert got == {a: (len(w), pytest.approx(sum(w)), pytest.approx(max(w))) for a, w in rows.items()}
+    counts = E.count_cells(df, min_count=2)
+    assert counts.p > 3 and counts.cells.count() == counts.cells.select("cell").distinct().count() > 6  # a row holds a cell
+
+
 def test_text_vectors_by_block_equal_the_sums_of_each_sentence(spark):
     """Repeated and null keys, repeated words and vectors, null vectors, long documents, many blocks."""
     from precis.operators import text_vectors as T
