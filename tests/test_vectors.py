@@ -179,6 +179,19 @@ def test_pairs_of_words_are_counted_in_cells(spark, monkeypatch):
     assert counts.p > 3 and counts.cells.count() == counts.cells.select("cell").distinct().count() > 6  # a row holds a cell
 
 
+def test_factors_of_a_matrix_in_cells(spark, monkeypatch):
+    """They are those of the rows of the table; products are sums over cells and no vector is joined with a pair."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(" ".join(f"w{int(rng.exponential(20))}" for _ in range(40)),) for _ in range(60)] + [("alone",)] * 2, "text string")
+    monkeypatch.setattr(E, "SLICE", 7)
+    monkeypatch.setattr(E, "HELD_PAIRS", 50)
+    matrix = E.cut_lineage(E.ppmi(df), "test-ppmi")
+    want = {r.word: np.linalg.norm(r.vector) for r in E.factorise(matrix, 8, more=6).collect()}
+    counts = E.count_cells(df, min_count=2)
+    got = {r.word: np.linalg.norm(r.vector) for r in E.factorise_cells(counts, 8, more=6).collect()}
+    assert "alone" not in got and len(got) > 50 and got == pytest.approx(want, abs=1e-7)
+
+
 def test_text_vectors_by_block_equal_the_sums_of_each_sentence(spark):
     """Repeated and null keys, repeated words and vectors, null vectors, long documents, many blocks."""
     from precis.operators import text_vectors as T
