@@ -2,7 +2,7 @@
 
 A subword tokenizer is a per-row codec; here it is re-aimed as what a
 Spark user builds: a vocabulary table (word, id) computed once from the
-corpus, joined to the exploded tokens, and put back in order.
+corpus, joined to the distinct words of blocks of texts, and put in their places.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.regroup import put_together, take_apart
+from ..functions.regroup import GOES, replace_words
 from ..functions.text import whitespace_tokens
 from ..session import cut_lineage
 
@@ -73,11 +73,8 @@ def encode(df: DataFrame, cols: Sequence[str] | str, vocab: DataFrame, key_cols:
     unknown words map to the reserved unknown id).  Rows with equal
     ``key_cols`` stay rows of their own; a null text gives a null sequence."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    rows = take_apart(df, {c: tokens_of(c, lower) for c in cols})
-    v = vocab.select("word", F.col("id").cast("int").alias("id"))
-    j = rows.join(v, "word", "left").withColumn("id", F.when(
-        F.col("word").isNotNull(), F.coalesce("id", F.lit(UNK_ID))))
-    return put_together(j, "id", df.columns, cols, lambda ids: ids)
+    ids = vocab.select("word", F.coalesce(F.col("id").cast("int"), F.lit(UNK_ID)).alias("value"))
+    return replace_words(df, {c: tokens_of(c, lower) for c in cols}, ids, UNK_ID, joined=False)
 
 
 def decode(df: DataFrame, col: str, vocab: DataFrame, key_cols: Sequence[str] = ("doc_id",),
@@ -85,6 +82,5 @@ def decode(df: DataFrame, col: str, vocab: DataFrame, key_cols: Sequence[str] =
     """Ids back to text; reserved tokens are dropped.  Rows with equal
     keys stay apart; a null sequence gives a null text."""
     src = df.select(*key_cols, F.col(col).alias(out))
-    rows = take_apart(src, {out: F.transform(out, lambda x: x.cast("string"))})
-    v = vocab.where(F.col("id") >= FIRST_WORD_ID).select(F.col("id").cast("string").alias("word"), F.col("word").alias("w"))
-    return put_together(rows.join(v, "word", "left"), "w", [*key_cols, out], [out], lambda w: F.array_join(w, " "))
+    words = vocab.where(F.col("id") >= FIRST_WORD_ID).select(F.col("id").cast("string").alias("word"), F.col("word").alias("value"))
+    return replace_words(src, {out: F.transform(out, lambda x: x.cast("string"))}, words, GOES)

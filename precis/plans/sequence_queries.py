@@ -33,8 +33,8 @@ def _vocab(spark, sf):
     return build_vocabulary(_corpus(spark, sf), ["document", "summary"])
 
 
-def _encoded(spark, sf):
-    return encode(_corpus(spark, sf), ["document", "summary"], _vocab(spark, sf), ["split", "doc_id"])
+def _encoded(spark, sf, vocab=None):
+    return encode(_corpus(spark, sf), ["document", "summary"], vocab or _vocab(spark, sf), ["split", "doc_id"])
 
 
 def _ids_str(c):
@@ -116,7 +116,8 @@ def a3_a5_padded_sample(spark, sf):
           "LEFT JOIN dec ON dec.doc_id = tk.doc_id LEFT JOIN vocab v ON v.id = dec.id GROUP BY tk.doc_id")
 def a6_decode(spark, sf):
     """Ids back to text (reserved ids dropped)."""
-    return decode(_encoded(spark, sf), "document", _vocab(spark, sf))
+    vocab = _vocab(spark, sf)
+    return decode(_encoded(spark, sf, vocab), "document", vocab)
 
 
 @register("a7_label_range",
