@@ -108,6 +108,11 @@ def porter_stem(word: Column) -> Column:
 
 def porter_dictionary(words: DataFrame, word_col: str = "word") -> DataFrame:
     """(word, norm) of the distinct words that change: the stemmer runs once for
-    each word of the vocabulary, and the dictionary step joins the result back."""
+    each word of the vocabulary, and the dictionary step joins the result back.
+
+    The stems come out of a generator of one row, through which a filter is not
+    pushed: it would run the stemmer for every word of the texts, on both sides
+    of a join with the dictionary."""
     vocab = words.select(F.col(word_col).alias("word")).where(F.col("word").isNotNull()).distinct()
-    return vocab.select("word", porter_stem(F.col("word")).alias("norm")).where("norm <> word")
+    stems = vocab.select(F.explode(F.array(F.struct("word", porter_stem(F.col("word")).alias("norm")))).alias("x"))
+    return stems.select("x.word", "x.norm").where("norm <> word")

@@ -178,3 +178,35 @@ def test_checkpoint_folder_and_scan_partitions(spark, tmp_path):
     a = session.cut_lineage(spark.range(3), "test")
     b = session.cut_lineage(a.where("id > 0"), "test", a)
     assert not os.path.exists(a._cut_path.removeprefix("file:")) and b.count() == 2
+
+
+def test_words_are_replaced_by_blocks(spark):
+    from precis.functions.regroup import GOES, STAYS, replace_words
+    rows = [(k % 3, None if k % 7 == 0 else " ".join(f"w{(k * j) % 11}" for j in range(k % 9)), k) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    pairs = [("w1", "x"), ("w2", "z"), ("w2", "y"), ("w3", None), (None, "n")]  # several values in order; a null one is none
+    table = spark.createDataFrame(pairs, "word string, value string")
+    gives = {"w1": ["x"], "w2": ["y", "z"], "w3": []}
+    for unknown, other in ((STAYS, lambda w: [w]), (GOES, lambda w: []), ("?", lambda w: ["?"])):
+        got = replace_words(df, {"text": T.whitespace_tokens("text")}, table, unknown, block_chars=300)
+        want = sorted(((d, None if t is None else " ".join(v for w in t.split() for v in gives.get(w, other(w))), k) for d, t, k in rows), key=lambda r: r[2])
+        assert got.columns == df.columns and sorted((tuple(r) for r in got.collect()), key=lambda r: r[2]) == want
+
+
+def test_dictionary_step_shuffles_no_row_per_word(spark):
+    df = spark.createDataFrame([(k, "cats dogs a b " * 500) for k in range(40)], "doc_id long, text string")
+    out = C.normalize_words(df, ["text"], ["doc_id"])
+    assert {r["text"] for r in out.collect()} == {" ".join(["cats dogs a b"] * 500)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_rid" not in plan and "MapInArrow" in plan and "collect_list" not in plan
+
+
+def test_stemmer_runs_after_words_are_distinct(spark):
+    from precis.functions.porter import porter_dictionary
+    words = spark.createDataFrame([("relational",), ("relational",), ("cat",), (None,)], "word string")
+    d = porter_dictionary(words)
+    assert [tuple(r) for r in d.collect()] == [("relational", "relat")]
+    both = words.join(d, "word")
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [word"):] + plan[:plan.index("Aggregate [word")].split("Generate")[0]
+    assert "transform(" not in below
