@@ -42,7 +42,7 @@ def vector_table(vectors: DataFrame | VectorTable) -> VectorTable:
     return VectorTable(vectors.select("word", own).distinct(), vectors.select(own, "vector"))
 
 
-def _follows(column: pa.Array) -> np.ndarray:
+def same_as_before(column: pa.Array) -> np.ndarray:
     """Which values equal the one before (nulls are equal)."""
     if len(column) < 2:
         return np.zeros(len(column), bool)
@@ -50,7 +50,7 @@ def _follows(column: pa.Array) -> np.ndarray:
     same = valid[1:] == valid[:-1]
     if pa.types.is_struct(column.type):
         for child in column.flatten():
-            same &= _follows(child)[1:]
+            same &= same_as_before(child)[1:]
     else:
         equal = pc.fill_null(pc.equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
         same &= equal
@@ -130,8 +130,8 @@ def _vectors(block: _Block, t: pa.Table) -> pa.Table:
     """``(doc_id, i, vec, new)``: rows with one key share the sum of their words (J1: a null key has none); ``new`` marks
     the first row of a document."""
     doc, i, n = _plain(t.column("doc_id")), _plain(t.column("i")), t.column("n").to_numpy()
-    new = ~_follows(doc)
-    first = new | ~_follows(i)
+    new = ~same_as_before(doc)
+    first = new | ~same_as_before(i)
     s, found, held = block.sums(_plain(t.column("joined")), n)
     if not first.all():
         start = np.flatnonzero(first)
@@ -182,7 +182,7 @@ def over_vectors(sents: DataFrame, vectors: DataFrame | VectorTable, dim: int, k
                     block.close()
                 t = pa.Table.from_batches(held)
                 if not last:  # a key's rows stay together
-                    first = np.flatnonzero(~(_follows(_plain(t.column("doc_id"))) & _follows(_plain(t.column("i")))))
+                    first = np.flatnonzero(~(same_as_before(_plain(t.column("doc_id"))) & same_as_before(_plain(t.column("i")))))
                     t, rest = t.slice(0, first[-1]), t.slice(first[-1])
                     held, size = rest.to_batches(), 0
                 else:
@@ -192,7 +192,7 @@ def over_vectors(sents: DataFrame, vectors: DataFrame | VectorTable, dim: int, k
                     if carried is not None:
                         new = t.column("new").to_numpy().copy()
                         both = pa.concat_arrays([_plain(carried.column("doc_id"))[-1:], _plain(t.column("doc_id"))[:1]])
-                        new[0] = not _follows(both)[1]
+                        new[0] = not same_as_before(both)[1]
                         t = pa.concat_tables([carried, t.set_column(3, "new", pa.array(new))]).combine_chunks()
                     carried = t
             if carried is not None:

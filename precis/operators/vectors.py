@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.text import whitespace_tokens
+from ..session import cut_lineage
 from .metrics import cosine
-from .text_vectors import VectorTable
+from .text_vectors import VectorTable, same_as_before
 
 
 def vector_id(word: Column, n_vectors: int) -> Column:
@@ -92,18 +99,91 @@ def bag_of_words(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(df: DataFrame, key: str, text_col: str) -> DataFrame:
+#: Characters of a block's texts, and of the documents whose weights are made at once.
+BLOCK_CHARS, HELD_CHARS = 64 << 20, 16 << 20
+
+
+def _documents(batches: Iterator[pa.RecordBatch], held_chars: int) -> Iterator[tuple]:
+    """What ``(b, kind, key, terms, term, df)`` in order of block, kind and key holds, as ``(b, terms and df of the block,
+    rows of whole keys)``."""
+    at, words, held, size = None, [], [], 0
+    for batch in batches:
+        b, kind = (batch.column(c).to_numpy() for c in (0, 1))
+        cuts = np.flatnonzero((b[1:] != b[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
+            if hi == lo:
+                continue
+            if b[lo] != at:
+                if held:
+                    yield at, words, pa.Table.from_batches(held)
+                at, words, held, size = b[lo], [], [], 0
+            some = batch.slice(lo, hi - lo)
+            if kind[lo] == 0:
+                words.append(some.select(["term", "df"]))
+                continue
+            held.append(some.select(["key", "terms"]))
+            size += some.column("terms").nbytes
+            if size > held_chars:
+                t = pa.Table.from_batches(held).combine_chunks()
+                last = int(np.flatnonzero(~same_as_before(t.column("key").combine_chunks()))[-1])
+                if last:
+                    yield at, words, t.slice(0, last)
+                held, size = t.slice(last).to_batches(), 0
+    if held:
+        yield at, words, pa.Table.from_batches(held)
+
+
+def _term_counts(t: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of whole keys: first row of each key, the terms, and (key, term, count)."""
+    t = t.combine_chunks()
+    first = ~same_as_before(t.column("key").combine_chunks())
+    lists = pc.split_pattern(t.column("terms").combine_chunks(), " ")
+    of = np.repeat(np.cumsum(first) - 1, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    pair, tf = np.unique(of * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_counts=True)
+    return np.flatnonzero(first), coded.dictionary, *np.divmod(pair, max(len(coded.dictionary), 1)), tf
+
+
+def tfidf(df: DataFrame, key: str, text_col: str, block_chars: int = BLOCK_CHARS, held_chars: int = HELD_CHARS) -> DataFrame:
     """E5: unsmoothed TF-IDF ``tf * (ln(n / df) + 1)``, rows L2-normalised.
 
-    Relational: document frequencies by ``groupBy(term)``, joined back; the
-    row norm is a window over the row's terms.
+    The texts' terms are dealt into blocks by the key.  A block counts in how
+    many keys a term is, the blocks' counts are added up by term, and each block
+    gets the frequencies of its terms and weighs its documents; no row for each
+    term of each document is shuffled.
     """
-    bow = bag_of_words(df, key, text_col)
     n = df.select(key).distinct().count()
-    dfreq = bow.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = bow.join(dfreq, "term").select(key, "term", (F.col("tf") * (F.log(F.lit(n) / F.col("df")) + 1)).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.select(key, "term", (F.col("w") / norm).alias("weight"))
+    chars = df.agg(F.sum(F.length(text_col).cast("long"))).first()[0]
+    blocks = max(-(-int(chars or 0) // block_chars), df.sparkSession.sparkContext.defaultParallelism)
+    terms = F.filter(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), 0), lambda t: F.length(t) >= 2)
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"), F.lit(1).alias("kind"), F.col(key).alias("key"),
+                     F.explode(F.array(F.array_join(terms, " "))).alias("terms"), F.lit(None).cast("string").alias("term"),
+                     F.lit(None).cast("long").alias("df")).where("terms <> ''")
+    key_type = rows.schema["key"].dataType
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _, t in _documents(batches, held_chars):
+            _, names, _, term, _ = _term_counts(t)
+            d = np.bincount(term, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), b, np.int32)), names, pa.array(d)], names=["b", "term", "d"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, t in _documents(batches, held_chars):
+            first, names, doc, term, tf = _term_counts(t)
+            known = pa.Table.from_batches(words).combine_chunks()
+            at = pc.index_in(names, value_set=known.column("term").combine_chunks()).to_numpy(zero_copy_only=False)
+            w = tf * (np.log(n / known.column("df").to_numpy()[at[term]]) + 1)
+            keys = t.column("key").combine_chunks().take(pa.array(first[doc]))
+            norm = np.sqrt(np.bincount(doc, w * w))
+            yield pa.RecordBatch.from_arrays([keys, names.take(pa.array(term)), pa.array(w / norm[doc])], names=["key", "term", "weight"])
+
+    dealt = lambda x: x.repartitionById(blocks, "b").sortWithinPartitions("b", "kind", "key")
+    counts = dealt(rows).mapInArrow(count, "b int, term string, d long").groupBy("b", "term").agg(F.sum("d").alias("d"))
+    counts = cut_lineage(counts, "terms")
+    given = counts.join(counts.groupBy("term").agg(F.sum("d").alias("df")), "term").select(
+        "b", F.lit(0).alias("kind"), F.lit(None).cast(key_type).alias("key"), F.lit(None).cast("string").alias("terms"), "term", "df")
+    schema = StructType([StructField("key", key_type), StructField("term", StringType()), StructField("weight", DoubleType())])
+    return dealt(given.unionByName(rows)).mapInArrow(weigh, schema).withColumnRenamed("key", key)
 
 
 # ------------------------------------------------------------------ E6, E7

@@ -241,3 +241,29 @@ def test_sentence_vectors_move_texts_and_not_a_vector_for_each_word(spark):
     vectors = T.VectorTable(spark.createDataFrame([("a", 0)], "word string, vec_id long"), spark.createDataFrame([(0, [1.0])], "vec_id long, vector array<float>"))
     plan = R.sentence_vectors(sents, vectors, 1)._jdf.queryExecution().executedPlan().toString()
     assert "sum(" not in plan and "MapInArrow" in plan
+
+
+def test_tfidf_by_blocks(spark):
+    import math
+
+    from precis.operators.vectors import tfidf
+    words = ["oak", "elm", "Ash", "fir", "yew", "x", "box!"]
+    rows = [(None if k % 13 == 0 else k // 2, None if k % 17 == 0 else " ".join(words[(k * j + j) % 7] for j in range(k % 8))) for k in range(120)]
+    want, tf = {}, {}
+    for key, text in rows:
+        for w in (text or "").lower().replace("!", "").split():
+            if len(w) > 1:
+                tf.setdefault(key, {}).setdefault(w, 0)
+                tf[key][w] += 1
+    n = len({key for key, _ in rows})
+    for key, counts in tf.items():
+        w = {t: c * (math.log(n / sum(t in o for o in tf.values())) + 1) for t, c in counts.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        want |= {(key, t): x / norm for t, x in w.items()}
+    df = spark.createDataFrame(rows, "id long, text string")
+    out = tfidf(df, "id", "text", block_chars=100, held_chars=30)
+    assert out.columns == ["id", "term", "weight"]
+    got = {(r["id"], r["term"]): r["weight"] for r in out.collect()}
+    assert out.count() == len(want) == len(got) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
