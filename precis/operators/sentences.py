@@ -62,14 +62,22 @@ def word_type(token: Column) -> Column:
 
 
 def _has_period(token: Column) -> Column:
-    return F.regexp_extract(token, TOKEN, 2) == "."
+    return token.contains(".") & (F.regexp_extract(token, TOKEN, 2) == ".")
+
+
+def _typed(token: Column) -> Column:
+    """Type and period of a token, to come out of a generator: a filter on them is not
+    pushed through it, so each expression runs once (and for distinct tokens only, where these are counted)."""
+    return F.struct(word_type(token).alias("type"), _has_period(token).alias("period"))
 
 
 def abbreviation_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(type, with_period, without, score)`` of the word types that stand before a period."""
     toks = docs.select(F.explode(whitespace_tokens(F.coalesce(text_col, F.lit("")))).alias("t"))
-    counts = toks.select(word_type(F.col("t")).alias("type"), _has_period(F.col("t")).cast("long").alias("p")).where("type <> ''") \
-        .groupBy("type").agg(F.sum("p").alias("with_period"), F.sum(1 - F.col("p")).alias("without"))
+    toks = toks.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    types = toks.select("c", F.explode(F.array(_typed(F.col("t")))).alias("x")).where("x.type <> ''")
+    counts = types.groupBy("x.type").agg(F.sum(F.when(F.col("x.period"), F.col("c")).otherwise(0)).alias("with_period"),
+                                         F.sum(F.when(F.col("x.period"), 0).otherwise(F.col("c"))).alias("without"))
     counts = cut_lineage(counts, "types")
     total = counts.agg(F.sum("with_period").alias("np"), (F.sum("with_period") + F.sum("without")).alias("n"))  # one row
     a, ab = F.col("with_period") + F.col("without"), F.col("with_period")
@@ -91,11 +99,12 @@ def starter_counts(docs: DataFrame, abbreviations: DataFrame, text_col: str = "t
     """``(type, after_end, total, ratio)`` of the types that follow sentence ends;
     an end is !, ? or the period of a type that is no abbreviation."""
     toks = whitespace_tokens(F.coalesce(text_col, F.lit("")))
+    mark = lambda t: (t.contains("!") | t.contains("?")) & t.rlike(r"[!?][)\"'\]]*$")
     pairs = docs.select(toks.alias("t")).select(F.explode(F.zip_with(
         F.concat(F.array(F.lit("")), F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0)))), "t",
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("x")).where("x.b is not null")
-    rows = pairs.select(word_type(F.col("x.b")).alias("type"), F.when(_has_period(F.col("x.a")), word_type(F.col("x.a"))).alias("before"),
-                        F.col("x.a").rlike(r"[!?][)\"'\]]*$").alias("mark")).where("type <> ''")
+        lambda a, b: F.struct(b.isNotNull().alias("some"), word_type(b).alias("type"), F.when(_has_period(a), word_type(a)).alias("before"),
+                              mark(a).alias("mark")))).alias("x")).where("x.some")
+    rows = pairs.select("x.type", "x.before", "x.mark").where("type <> ''")
     known = abbreviations.select(F.col("type").alias("before"), F.lit(True).alias("abbreviated"))
     ends = F.col("mark") | (F.col("before").isNotNull() & (F.length("before") > 1) & F.col("abbreviated").isNull())
     counts = rows.groupBy("type", "before", "mark").agg(F.count(F.lit(1)).alias("c")).join(known, "before", "left") \
