@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import (LEXRANK_THRESHOLD, LSA_SMOOTH, LUHN_MAX_GAP, PAGERANK_ALPHA, PAGERANK_TOL,
                                ROW_NORM_EPS, TEXTRANK_DAMPING, TEXTRANK_EPSILON, LEXRANK_EPSILON)
 from ..operators import rank as R
-from ..session import table
+from ..session import cut_lineage, table
 from . import duck
 from .registry import register
 
@@ -264,8 +264,9 @@ def _chain_sql(k: int) -> str:
 
 @register("r7_pagerank_chain", _settled_sql(_chain_sql(CHAIN_ROUNDS), CHAIN_ROUNDS))
 def r7_pagerank_chain(spark, sf):
-    """R7 on each document's sentence chain (i -- i+1, weight 1)."""
-    s = _sents(spark, sf)
+    """R7 on each document's sentence chain (i -- i+1, weight 1).  The texts are
+    split once: the positions of the sentences are written, and all else is made of them."""
+    s = cut_lineage(_sents(spark, sf).select("doc_id", "i"), "positions")
     nxt = s.select("doc_id", (F.col("i") - 1).alias("i")).join(s.select("doc_id", "i"), ["doc_id", "i"], "left_semi")
     ce = nxt.select("doc_id", "i", (F.col("i") + 1).alias("j"), F.lit(1.0).alias("w"))
     edges = ce.unionByName(ce.select("doc_id", F.col("j").alias("i"), F.col("i").alias("j"), "w"))
