@@ -336,3 +336,13 @@ def test_registered_grid_has_every_cleaning_and_ranker(spark, monkeypatch):
     assert Q.m8_grid(spark, "/root/testdata/sf0.001").count() == 1
     assert set(asked["pipelines"]) == {"strong", "mid", "simple", "nothing"} and set(asked["models"]) <= set(rank.RANKERS)
     assert len(asked["models"]) == 6 and asked["n"] is None and asked["vectors"] is not None
+
+
+def test_chain_splits_texts_once(spark, tmp_path):
+    from precis.plans.rank_queries import r7_pagerank_chain
+    docs = spark.createDataFrame([(1, "One is here. Two is there. Three is gone."), (2, "Only one."), (3, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = r7_pagerank_chain(spark, str(tmp_path))
+    assert "documents.parquet" not in out._jdf.queryExecution().optimizedPlan().toString() and "text#" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["doc_id"], r["i"]): r["score"] for r in out.collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (2, 0)] and got[1, 0] == got[1, 2] < got[1, 1] and abs(got[2, 0] - 1) < 1e-6

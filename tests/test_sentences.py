@@ -78,3 +78,19 @@ def test_splitter_learns_abbreviations(spark):
     assert rule == len(got) + 4
     empty = S.Splitter.train(df.limit(0))
     assert empty.sentences(df).count() == df.select(F.explode(split_sentences("text"))).count() - len(rows)  # J. stays an initial
+
+
+def test_token_types_are_taken_once_of_distinct_tokens(spark, monkeypatch):
+    import precis.operators.sentences as module
+    plans, cut = [], module.cut_lineage
+
+    def seen(df, *args, **kw):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df, *args, **kw)
+
+    monkeypatch.setattr(module, "cut_lineage", seen)
+    df = spark.createDataFrame([(1, "Dr. Oak met Mr. Elm. He said no! (Yes.) 3.5 a.b. ?! Dr. Oak"), (2, None)], "doc_id long, text string")
+    got = {r["type"]: (r["with_period"], r["without"]) for r in module.abbreviation_counts(df).collect()}
+    assert got == {"dr": (2, 0), "mr": (1, 0), "elm": (1, 0), "yes": (1, 0), "a.b": (1, 0)}
+    below = plans[0][plans[0].index("Aggregate [t"):]
+    assert "regexp_extract" not in below
