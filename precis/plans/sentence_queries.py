@@ -10,7 +10,7 @@ from ..functions.cleaning import normalize_words
 from ..functions.text import whitespace_tokens
 from ..operators import rank as R
 from ..operators import sentences as S
-from ..session import table
+from ..session import cut_lineage, table
 from . import duck
 from .rank_queries import _LSA_CTES, _LUHN_CTES, BASE, TIE_NUDGE
 from .registry import register
@@ -42,7 +42,7 @@ _AFTER = BASE[BASE.index("rw AS"):]
           f"round(luhn.score + {TIE_NUDGE!r}, 6) AS luhn FROM bt LEFT JOIN lsa USING (doc_id, i) LEFT JOIN luhn USING (doc_id, i)")
 def rank_blocks(spark, sf):
     """Sentences by paragraph; headings are listed and left out of the ranking."""
-    blocks = S.block_table(table(spark, sf, "documents"))
+    blocks = cut_lineage(S.block_table(table(spark, sf, "documents")), "blocks")  # read by both rankers
     sents = blocks.where(~F.col("heading")).select("doc_id", "i", "sentence")
     scores = lambda df, name: df.select("doc_id", "i", F.round(F.col("score") + TIE_NUDGE, 6).alias(name))
     out = blocks.join(scores(R.lsa_scores(sents), "lsa"), ["doc_id", "i"], "left").join(scores(R.luhn_scores(sents), "luhn"), ["doc_id", "i"], "left")
