@@ -5,10 +5,11 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from precis.functions.text import rank_words
+from precis.functions.text import rank_words, rouge_tokens, whitespace_tokens
 from precis.operators import metrics as M
 from precis.operators import rank as R
 
@@ -346,3 +347,30 @@ def test_chain_splits_texts_once(spark, tmp_path):
     assert "documents.parquet" not in out._jdf.queryExecution().optimizedPlan().toString() and "text#" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["doc_id"], r["i"]): r["score"] for r in out.collect()}
     assert sorted(got) == [(1, 0), (1, 1), (1, 2), (2, 0)] and got[1, 0] == got[1, 2] < got[1, 1] and abs(got[2, 0] - 1) < 1e-6
+
+
+def test_overlaps_of_a_batch_equal_the_folds_of_each_row(spark, monkeypatch):
+    """The grid's metrics count the n-grams of many rows together; null and empty texts are as in the folds."""
+    import io
+    from contextlib import redirect_stdout
+
+    monkeypatch.setattr(M, "_OVERLAPS_UDF", [])
+    rng = np.random.default_rng(3)
+    text = lambda: rng.choice([None, "", " ", *(" ".join(rng.choice(["a", "b", "c'd", "E!", "--", "ünï x"], rng.integers(1, 25))) for _ in range(9))])
+    df = spark.createDataFrame([(k % 3, text(), text()) for k in range(150)] + [(9, None, None)], "g int, prediction string, reference string")
+    tokens = df.select(whitespace_tokens("prediction").alias("a"), whitespace_tokens("reference").alias("b"),
+                       rouge_tokens("prediction").alias("c"), rouge_tokens("reference").alias("d"))
+    both = M.overlaps("a", "b", "c", "d")
+    fold = M.bleu_stats("a", "b", 4) + M.rouge_scores("c", "d")
+    made = M.bleu_stats("a", "b", 4, both) + M.rouge_scores("c", "d", counted=both)
+    for r in tokens.select(F.array(*(c.cast("double") for c in fold)).alias("x"), F.array(*(c.cast("double") for c in made)).alias("y")).collect():
+        assert r.x == r.y
+    assert M._count_overlaps(*[pa.array([], pa.string())] * 4).to_pylist() == []
+    monkeypatch.setattr(M, "HELD_BYTES", 8)
+    a = pa.array(["a b a", None, "", "b b c", "a"])
+    b = pa.array(["b a", "a", "a", "c b b", "a a"])
+    assert [list(x.values()) for x in M._count_overlaps(a, b, a, b).to_pylist()] == [
+        [2, 1, 0, 0, 2, 1, 2], [0] * 7, [0] * 7, [3, 1, 0, 0, 3, 1, 2], [1, 0, 0, 0, 1, 0, 1]]
+    with redirect_stdout(out := io.StringIO()):
+        M.evaluate_metrics(df, group_cols=["g"], clean=False).explain(True)
+    assert "ArrowEvalPython" in out.getvalue() and "aggregate(" not in out.getvalue()
