@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import simple
-from ..session import table
+from ..operators.text_vectors import VectorTable
+from ..session import cut_lineage, table
 from ..sources.corpus import conversation_pairs
 from ..streaming import metrics as ST
 from ..streaming.cosine import streaming_cosine
@@ -56,7 +57,7 @@ def _cosine_events(pairs, epoch):
 
 def _cosine_stream(spark, sf, epoch):
     pairs, (words, rows), dim = _pair_vectors(spark, sf)
-    vectors = words.join(rows, "vec_id").select("word", "vector")
+    vectors = VectorTable(cut_lineage(words, "words"), rows)  # each micro-batch reads it
     events = _cosine_events(pairs, epoch)
     return streaming_cosine(spark, ST.stage_files(events), events.schema, vectors, dim, ["conv_id", "turn"])
 

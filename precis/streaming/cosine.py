@@ -1,7 +1,9 @@
 """Word-vector cosine on a stream (M5), by key, with a reset (ST4).
 
-Words are joined with the static table of vectors, and a keyed state operator
-keeps the sum and the number of the cosines of the key's present epoch.  A row
+A micro-batch's words meet the static table of vectors by blocks of texts, where
+the cosines of its pairs are made (no vector of a word leaves its block); these
+are a stream of their own, of which a keyed state operator
+keeps the sum and the number of the key's present epoch.  A row
 of a later epoch, a ``reset`` row or a pair, starts the key from zero; rows of
 earlier epochs that come late are left out.  So the state depends on the rows
 only, not on how they were cut into batches.  A key is dealt over ``salts``
@@ -15,15 +17,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import whitespace_tokens
+from ..operators.text_vectors import VectorTable, over_vectors, same_as_before
 from .metrics import FILES_PER_BATCH, _scratch
 
 SALTS = 16
 _KEYS = ["key", "salt"]
+#: A pair's cosine, or a reset (without one), as the keyed state gets them; and the state's updates.
+COSINES = "key string, salt int, epoch long, reset boolean, cosine double"
+UPDATES = "key string, salt int, epoch long, total double, n long"
 
 
 def _add_up(sums: dict, words: pd.DataFrame, dim: int) -> None:
@@ -45,43 +52,69 @@ def _cosines(sums: dict) -> np.ndarray:
     return np.divide(dot, size, out=np.zeros(len(dot)), where=size > 0)
 
 
-def cosine_state(stream: DataFrame, vectors: DataFrame, dim: int, id_cols: Sequence[str], key: str = "key",
+def _of_pairs(dim: int):
+    """The cosine of each document's two texts, as a kernel of :func:`over_vectors`."""
+    def run(t: pa.Table) -> pa.Table:
+        new, side = t.column("new").to_numpy(), t.column("i").combine_chunks()
+        once = np.flatnonzero(new | ~same_as_before(side))  # rows of one text hold one vector
+        v = pc.fill_null(t.column("vec").combine_chunks().flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(-1, dim)
+        sums = {}
+        _add_up(sums, pd.DataFrame({"id": np.cumsum(new)[once], "side": side.to_numpy()[once], "vector": list(v[once])}), dim)
+        return pa.table({"doc_id": t.column("doc_id").take(pa.array(np.flatnonzero(new))), "cosine": _cosines(sums)})
+
+    return run
+
+
+def pair_cosines(events: DataFrame, vectors: DataFrame | VectorTable, dim: int, id_cols: Sequence[str], key: str = "key",
                  epoch: str = "epoch", reset: str = "reset", pred: str = "prediction", ref: str = "reference",
                  salts: int = SALTS) -> DataFrame:
-    """The state's updates ``(key, salt, epoch, total, n)`` for a stream of pairs.
+    """The rows ``COSINES`` of a micro-batch's events: one for each pair, one for each reset.
 
-    ``id_cols`` tell the pairs of an epoch apart; null texts have no words
-    (cosine 0); a null epoch is 0, a null reset is none.  A task holds two vectors
-    for each pair of one key and salt of one micro-batch, and one batch of words.
+    ``id_cols`` tell the pairs of an epoch apart (rows of one pair add up); null texts have
+    no words (cosine 0); a null epoch is 0, a null reset is none.
     """
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col(pred).alias("text")),
-                    F.struct(F.lit(1).alias("side"), F.col(ref).alias("text")))
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(epoch).cast("long"), F.lit(0)).alias("epoch"),
-                         F.coalesce(F.col(reset), F.lit(False)).alias("reset"), F.to_json(F.struct(*id_cols)).alias("id"),
-                         F.explode(sides).alias("x"))
-    words = rows.select("key", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), "epoch", "reset", "id", "x.side",
-                        F.explode_outer(whitespace_tokens("x.text")).alias("word"))
-    found = words.join(vectors.select("word", F.col("vector").cast("array<double>").alias("vector")), "word", "left").drop("word")
+    rows = events.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(epoch).cast("long"), F.lit(0)).alias("epoch"),
+                         F.coalesce(F.col(reset), F.lit(False)).alias("reset"), F.to_json(F.struct(*id_cols)).alias("id"), pred, ref)
+    sides = F.array(F.struct(F.lit(0).alias("i"), F.col(pred).alias("sentence")),
+                    F.struct(F.lit(1).alias("i"), F.col(ref).alias("sentence")))
+    texts = rows.where("not reset").select(F.struct("key", "epoch", "id").alias("doc_id"), F.explode(sides).alias("x")).select(
+        "doc_id", "x.i", "x.sentence")
+    found = over_vectors(texts, vectors, dim, _of_pairs(dim), "doc_id struct<key string, epoch bigint, id string>, cosine double")
+    found = found.select("doc_id.*", F.lit(False).alias("reset"), "cosine")
+    both = found.unionByName(rows.where("reset").select("key", "epoch", "id", "reset", F.lit(None).cast("double").alias("cosine")))
+    return both.select("key", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), "epoch", "reset", "cosine")
+
+
+def cosine_stream(stream: DataFrame, vectors: DataFrame | VectorTable, dim: int, id_cols: Sequence[str], salts: int = SALTS) -> str | None:
+    """Runs :func:`pair_cosines` over all that is available; the folder of the rows, in one of its own for each micro-batch
+    (running it again gives the same), or None if there was none."""
+    base, numbers = _scratch(stream.sparkSession, "cosines"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        pair_cosines(batch, vectors, dim, id_cols, salts=salts).write.mode("overwrite").parquet(f"{base}/{number}")
+        numbers.append(number)
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", _scratch(stream.sparkSession, "ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return f"{base}/*" if numbers else None
 
+
+def cosine_state(stream: DataFrame) -> DataFrame:
+    """The state's updates ``UPDATES`` for a stream of ``COSINES``.  A task holds one batch of them."""
     def update(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, total, n = state.get if state.exists else (None, 0.0, 0)
-        sums = {}
-        for words in frames:
-            newest = int(words["epoch"].max())
+        for rows in frames:
+            newest = int(rows["epoch"].max())
             if at is None or newest > at:
                 at, total, n = newest, 0.0, 0
-                sums.clear()
-            words = words[(words["epoch"] == at) & ~words["reset"].astype(bool)]
-            if len(words):
-                _add_up(sums, words, dim)
-        if sums:
-            total, n = total + float(_cosines(sums).sum()), n + len(sums)
+            mine = rows["cosine"][(rows["epoch"] == at) & ~rows["reset"].astype(bool)]
+            total, n = total + float(mine.sum()), n + len(mine)
         state.update((at, total, n))
         yield pd.DataFrame({"key": [group[0]], "salt": [group[1]], "epoch": [at], "total": [total], "n": [n]})
 
-    return found.groupBy(*_KEYS).applyInPandasWithState(
-        update, "key string, salt int, epoch long, total double, n long", "epoch long, total double, n long",
-        "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(*_KEYS).applyInPandasWithState(update, UPDATES, "epoch long, total double, n long", "update",
+                                                         GroupStateTimeout.NoTimeout)
 
 
 def run_updates(state: DataFrame, keys: Sequence[str] = _KEYS) -> DataFrame:
@@ -115,8 +148,12 @@ def cosine_by_key(states: DataFrame) -> DataFrame:
         .groupBy("key", "epoch").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def streaming_cosine(spark: SparkSession, path: str, schema, vectors: DataFrame, dim: int, id_cols: Sequence[str],
+def streaming_cosine(spark: SparkSession, path: str, schema, vectors: DataFrame | VectorTable, dim: int, id_cols: Sequence[str],
                      files_per_batch: int = FILES_PER_BATCH, salts: int = SALTS) -> DataFrame:
-    """M5 by key end to end: file source -> keyed state -> ``(key, epoch, total, n)``."""
+    """M5 by key end to end: file source -> cosines of pairs -> keyed state -> ``(key, epoch, total, n)``."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return cosine_by_key(run_updates(cosine_state(stream, vectors, dim, id_cols, salts=salts)))
+    made = cosine_stream(stream, vectors, dim, id_cols, salts)
+    if made is None:
+        return cosine_by_key(spark.createDataFrame([], UPDATES))
+    made = spark.readStream.schema(COSINES).option("maxFilesPerTrigger", files_per_batch).parquet(made)
+    return cosine_by_key(run_updates(cosine_state(made)))

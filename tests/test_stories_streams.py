@@ -96,3 +96,21 @@ def test_cosine_state_holds_sums_and_not_the_words_of_all_batches():
         _add_up(sums, pd.DataFrame(batch, columns=["id", "side", "vector"]), 2)
     assert list(sums) == ["a", "b"] and sums["a"].tolist() == [[1, 0], [1, 1]]
     assert _cosines(sums).tolist() == pytest.approx([2 ** -0.5, 0.0])
+
+
+def test_the_keyed_state_gets_a_number_for_each_pair(spark, monkeypatch):
+    """Neither words nor vectors are dealt out by key: a micro-batch's cosines are, made by blocks of texts."""
+    rows = [("k", 0, False, 1, "a b", "a"), ("k", 0, False, 1, "c", "x"), ("k", 0, False, 2, None, "a"), ("k", None, None, 3, "a a", "a"),
+            (None, 1, True, None, None, None)]
+    vectors = spark.createDataFrame(VECTORS + [("h", None)], "word string, vector array<double>")
+    got = {(r.key, r.epoch, r.reset, None if r.cosine is None else round(r.cosine, 9)) for r in
+           C.pair_cosines(spark.createDataFrame(rows, SCHEMA), vectors, 4, ["id"]).collect()}
+    v = {w: np.array(x) for w, x in VECTORS}
+    first = v["a"] + v["b"] + v["c"]  # rows of one pair add up
+    want = first @ v["a"] / np.linalg.norm(first) / np.linalg.norm(v["a"])
+    assert got == {("k", 0, False, round(want, 9)), ("k", 0, False, 0.0), ("k", 0, False, 1.0), (None, 1, True, None)}
+    seen, state = [], C.cosine_state
+    monkeypatch.setattr(C, "cosine_state", lambda s, *a, **b: seen.append(s.dtypes) or state(s, *a, **b))
+    path = ST.stage_files(spark.createDataFrame(rows[:3], SCHEMA))
+    assert [r.n for r in C.streaming_cosine(spark, path, SCHEMA, vectors, 4, ["id"], salts=2).collect()] == [2]
+    assert seen == [[("key", "string"), ("salt", "int"), ("epoch", "bigint"), ("reset", "boolean"), ("cosine", "double")]]
