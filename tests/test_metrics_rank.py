@@ -374,3 +374,28 @@ def test_overlaps_of_a_batch_equal_the_folds_of_each_row(spark, monkeypatch):
     with redirect_stdout(out := io.StringIO()):
         M.evaluate_metrics(df, group_cols=["g"], clean=False).explain(True)
     assert "ArrowEvalPython" in out.getvalue() and "aggregate(" not in out.getvalue()
+
+
+def test_lexrank_edges_in_tasks_equal_those_of_joins(spark, monkeypatch):
+    """Documents that a task holds need no row for each word; rows that share a key, null keys and empty sentences are as in the joins."""
+    import io
+    from contextlib import redirect_stdout
+
+    rng = np.random.default_rng(8)
+    say = lambda: " ".join(rng.choice(list("abcdefghij"), rng.integers(0, 7)))
+    rows = [(d, i, say()) for d in range(12) for i in range(int(rng.integers(1, 9)))] + [(None, 0, "a b"), (None, 1, "a b c"), (20, 0, "7"), (20, 1, "")]
+    rows += [r for r in rows if r[0] in (2, 3)]
+    s = spark.createDataFrame(rows, "doc_id long, i int, sentence string").cache()
+    got, want = R.lexrank_edges(s), R._edges_of_words(s, R.LEXRANK_THRESHOLD)
+    assert got.schema == want.schema
+    found = sorted(tuple(r) for r in got.collect())
+    assert found == sorted(tuple(r) for r in want.collect()) and len(found) > 50
+    assert found == sorted(tuple(r) for r in R.lexrank_edges(s, small=(4, 1000)).collect())
+    with redirect_stdout(out := io.StringIO()):
+        got.explain()
+    assert "Generate" not in out.getvalue() and "Join" not in out.getvalue()
+    x = R.rank_kernels.texts(pa.table({"doc_id": [1, 1, 1, 2, 2, 2], "joined": ["a b", "c d", "e", "a x", "b y", "c"]}), np.array([1, 0, 0] * 2) > 0, np.zeros(6, bool))
+    monkeypatch.setattr(R.rank_kernels, "_EDGES", 0)
+    assert [a.min() for a, _ in R.rank_kernels.lexrank_edges(0.1)(x)] == [0, 3]
+    monkeypatch.setattr(R.rank_kernels, "_BLOCK", 7)  # a few rows and words at a time
+    assert [a.tolist() for a, _ in R.rank_kernels.lexrank_edges(0.1)(x)] == [[0, 1], [2], [3, 4], [5]]
