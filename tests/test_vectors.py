@@ -267,3 +267,23 @@ def test_tfidf_by_blocks(spark):
     assert out.count() == len(want) == len(got) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "MapInArrow" in plan
+
+
+def test_rowwise_cosine_is_made_where_the_vectors_are(spark):
+    """No vector of a text leaves its block; rows that share a key add up, null texts and vectors count as zero."""
+    import io
+    from contextlib import redirect_stdout
+
+    from precis.operators import vectors as V
+
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("n", None)], "word string, vector array<float>")
+    rows = [(1, 0, "a", "b a"), (1, 1, "a b", "b"), (1, 1, "a", "x"), (2, None, None, "a"), (None, 3, "n", "n a"), (4, 4, "a x", "a a")]
+    df = spark.createDataFrame(rows, "k long, t int, prediction string, reference string")
+    made = V.rowwise_cosine(df, ["k", "t"], vectors, 2)
+    got = {(r.k, r.t): r.cosine for r in made.collect()}
+    want = {(1, 0): 2 ** -0.5, (1, 1): 5 ** -0.5, (2, None): 0.0, (None, 3): 0.0, (4, 4): 1.0}
+    assert got == pytest.approx(want) and made.count() == len(want)
+    with redirect_stdout(out := io.StringIO()):
+        made.explain()
+    above, _, below = out.getvalue().partition("MapInArrow")
+    assert below and "Exchange" not in above and "Aggregate" not in above
